@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_windows, decontam, secrets_crf, toxicity
+from . import chat_windows, decontam, html_extract, mixing, quality, secrets_crf, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets_crf.op1_secret_scan,
     "op2_chat_format": chat_windows.op2_chat_format,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontaminate": decontam.op4_decontaminate,
+    "op5_quality": quality.op5_quality,
+    "op6_html_extract": html_extract.op6_html_extract,
+    "op8_token_count": token_count.op8_token_count,
+    "op10_mix": mixing.op10_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontam.OP4_SQL,
+    "op10_mix": mixing.OP10_SQL,
 }
