@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_windows, decontam, html_extract, mixing, quality, secrets_crf, token_count, toxicity
+from . import chat_windows, decontam, html_extract, mixing, ngram_join, quality, secrets_crf, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets_crf.op1_secret_scan,
@@ -16,10 +16,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": quality.op5_quality,
     "op6_html_extract": html_extract.op6_html_extract,
     "op8_token_count": token_count.op8_token_count,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_mix": mixing.op10_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontam.OP4_SQL,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_mix": mixing.OP10_SQL,
 }
