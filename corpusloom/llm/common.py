@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,18 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a
-    session that names none (a local test) gets a temporary one.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one the session names in ``spark.checkpoint.dir``; only a session that names none (a local test) gets a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def reread(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def changed(batch: pa.RecordBatch, text: str, new: list, length: str | None) -> pa.RecordBatch:
+    """The batch with the texts ``new`` (None: as it was); ``length``, where there is such a column, follows."""
+    if all(x is None for x in new):
+        return batch
+    at = batch.schema.get_field_index(text)
+    cols = list(batch.columns)
+    cols[at] = pa.array([o if n is None else n for o, n in zip(cols[at].to_pylist(), new)], type=batch.schema.field(at).type)
+    if length and (size := batch.schema.get_field_index(length)) >= 0:
+        cols[size] = pa.array([o if n is None else len(n) for o, n in zip(cols[size].to_pylist(), new)], type=batch.schema.field(size).type)
+    return pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+
+def picked(batch: pa.RecordBatch, keep: list[int]) -> pa.RecordBatch:
+    return batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``text`` column holds about ``limit`` bytes."""
     for batch in batches:

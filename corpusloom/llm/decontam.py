@@ -26,12 +26,9 @@ import hashlib
 import re
 from collections.abc import Iterable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import map_texts, steps, table, texts
+from .common import changed, map_texts, picked, steps, table, texts
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -276,32 +273,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
     ``length_col``, where there is one, is set to the new length of a text that changed.
     """
     given = automata(benchmark, window)
-    schema = docs.schema
-    at = schema.fieldNames().index(text_col)
-    size = schema.fieldNames().index(length_col) if length_col in schema.fieldNames() else None
 
     def run(batches):
         for batch in steps(batches, text_col):
             values = texts(batch, text_col)
             got = find(values, given)
-            keep = [i for i, (n, spans, _) in enumerate(got) if sum(b - a for a, b in spans) <= max_coverage * n]
-            changed = [i for i in keep if got[i][1]]
-            batch_ = batch
-            if changed:
-                new = batch.column(at).to_pylist()
-                lengths = batch.column(size).to_pylist() if size is not None else None
-                for i in changed:
-                    new[i] = without(values[i], got[i][1])
-                    if lengths:
-                        lengths[i] = len(new[i])
-                cols = list(batch.columns)
-                cols[at] = pa.array(new, type=batch.schema.field(at).type)
-                if lengths:
-                    cols[size] = pa.array(lengths, type=batch.schema.field(size).type)
-                batch_ = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
-            yield batch_ if len(keep) == batch.num_rows else batch_.take(pa.array(keep, pa.int64()))
-
-    return docs.mapInArrow(run, schema)
+            new = [without(v, spans) if spans else None for v, (_, spans, _) in zip(values, got)]
+            yield picked(changed(batch, text_col, new, length_col), [i for i, (n, spans, _) in enumerate(got) if sum(b - a for a, b in spans) <= max_coverage * n])
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_windows, decontam, html_extract, mixing, ngram_join, quality, secrets_crf, token_count, toxicity
+from . import chat_windows, decontam, html_extract, mixing, ngram_join, quality, secrets_crf, suffix_dedup, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets_crf.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": decontam.op4_decontaminate,
     "op5_quality": quality.op5_quality,
     "op6_html_extract": html_extract.op6_html_extract,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_token_count": token_count.op8_token_count,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_mix": mixing.op10_mix,

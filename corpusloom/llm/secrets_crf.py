@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_texts, table
+from .common import changed, map_texts, steps, table, texts
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -308,5 +308,21 @@ def redact(text: str, spans: str, mask: str = "[SECRET]") -> str:
     return "".join(parts) + text[at:]
 
 
+def clean(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mask: str = "[SECRET]") -> DataFrame:
+    """All documents and columns, every found span masked; ``length_col``, where there is one, follows the text."""
+    given = docs.sparkSession.sparkContext.broadcast(trained())
+
+    def run(batches):
+        chain = given.value
+        for batch in steps(batches, text_col):
+            new = []
+            for text in texts(batch, text_col):
+                spans = base_spans(text) + crf_spans(text, chain)
+                new.append(redact(text, ordered(spans), mask) if spans else None)
+            yield changed(batch, text_col, new, length_col)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf")

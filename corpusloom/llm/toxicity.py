@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hash_sample, map_texts, steps, table, texts
+from .common import cut, hash_sample, map_texts, picked, steps, table, texts
 
 LABEL_BOUND = 12_000
 LEXICON_BOUND = 5_000
@@ -174,8 +174,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND, lexicon_
     spark = docs.sparkSession
     chosen = hash_sample(labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", bound)
     # at most ``bound`` ids and marks: 16 bytes each
-    picked = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    total = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
+    sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    total = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
     if not bad or not good:
         return Lexicon(dict(BUILT_IN))
@@ -191,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND, lexicon_
             both = pa.table({"entry": pa.array(entries, pa.string()), "bad": pa.array(marks, pa.int64())}).group_by("entry").aggregate([("bad", "sum"), ("bad", "count")])
             yield from both.select(["entry", "bad_sum", "bad_count"]).rename_columns(["entry", "bad", "n"]).combine_chunks().to_batches()
 
-    counts = picked.mapInArrow(spread, "entry string, bad long, n long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    counts = sample.mapInArrow(spread, "entry string, bad long, n long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     share = bad / (bad + good)
     weight = F.log((F.col("bad") + 0.1) / F.lit(bad + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.1) / F.lit(good + 1.0))
     # Chernoff bound on seeing so many toxic rows by chance, against the number of entries tried
@@ -210,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND, lexicon_
             x = [lex.features(t) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_pydict({"a": pa.array([v[0] for v in x], pa.float64()), "b": pa.array([v[1] for v in x], pa.float64()), "y": batch.column("toxic").cast(pa.float64())})
 
-    seen = picked.mapInArrow(measure, "a double, b double, y double").orderBy("a", "b", "y").toPandas()  # at most ``bound`` rows of three numbers
+    seen = sample.mapInArrow(measure, "a double, b double, y double").orderBy("a", "b", "y").toPandas()  # at most ``bound`` rows of three numbers
     lexicon.curve = fitted(seen[["a", "b"]].to_numpy(), seen["y"].to_numpy())
     return lexicon
 
@@ -231,6 +231,18 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     return map_texts(docs, id_col, text_col, make, "score double, n_matches int")
 
 
+def accepted(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all columns, that score below the threshold."""
+    given = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches):
+        lex = given.value
+        for batch in steps(batches, text_col):
+            yield picked(batch, [i for i, t in enumerate(texts(batch, text_col)) if lex.score(lex.features(t)) < threshold])
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> "F.Column":
     """Whether a document is kept from training: crc32 of its id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
