@@ -10,9 +10,12 @@ a rank needs no sort of all positions; Spark brings equal names together.
 1. Names of ``GRAM`` bytes at the anchors: those of one document only are done.
 2. Names of the context, all bytes that strings with this anchor can hold: in each
    context the smallest document stays, the others' contexts are removed whole.
-3. Anchors of different contexts under one name of round 1 are ranked once more
-   by each of their strings of ``LENGTH`` bytes; only the edges of repeated passages
-   come this far.  Here names have 128 bits.
+3. Names of twice the length: every string holds ``GRAM`` + ``HALF`` bytes to the right
+   of its anchor or as many to the left.  Contexts that share a name of round 1 but
+   neither of these are done (16 bits of each name travel; equal ones only cost work).
+4. Contexts that share one are ranked once more by each of their strings of
+   ``LENGTH`` bytes on that side; only the edges of repeated passages come this far.
+   Here names have 128 bits.
 
 A document's removed bytes follow from its marked contexts and strings, which
 are found again in the whole document; the text itself is shuffled by id once.
@@ -32,10 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, inverses, mixed, powers, steps, table
+from .common import cut, free, inverses, mixed, powers, steps, table
 
 LENGTH = 50
 GRAM = 16
+HALF = (LENGTH - GRAM) // 2
+#: What a mark asks for, in the lowest bits of a context's name.
+REMOVE, RIGHT, LEFT = 1, 2, 4
+_BITS = np.uint64(7)
 _SEEDS = np.random.default_rng(5).integers(0, 2**63, (2, 256), dtype=np.uint64)
 
 
@@ -75,12 +82,23 @@ def anchors(h: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
 
 
 def contexts(h: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and name of what strings with these anchors can hold; the lowest bit of a name is clear."""
+    """Start, end and name of what strings with these anchors can hold; the lowest bits of a name are clear."""
     n = len(h) - 1
     lo, hi = np.maximum(0, at - (length - gram)), np.minimum(n, at + length)
     with np.errstate(over="ignore"):
         c = mixed(names(h, lo, hi) + (at - lo).astype(np.uint64) * np.uint64(256) + (hi - at).astype(np.uint64))
-    return lo, hi, c & ~np.uint64(1)
+    return lo, hi, c & ~_BITS
+
+
+def sides(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """16 bits of the names to the right of the anchors and, above them, to the left; 0 where the text ends before."""
+    n = len(h) - 1
+    out = np.zeros(len(at), dtype=np.uint32)
+    for shift, lo, hi in ((0, at, at + LENGTH - HALF), (16, at - HALF, at + GRAM)):
+        there = (lo >= 0) & (hi <= n)
+        tag = (names(h, lo[there], hi[there]) >> np.uint64(16)).astype(np.uint32) & np.uint32(0xFFFF)
+        out[there] |= np.maximum(tag, np.uint32(1)) << np.uint32(shift)
+    return out
 
 
 def strings(lo: np.ndarray, hi: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -96,28 +114,28 @@ def _bytes_of(value) -> np.ndarray:
 
 
 def _packed(part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows of (bucket, packed columns): 64-bit numbers as they are, the last column (ids) as low and high halves."""
+    """Rows of (bucket, packed columns): numbers as they are, the last column (ids) as low and high halves."""
     order = np.argsort(part, kind="stable")
     part = part[order]
     cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
-    columns = [c[order] for c in columns]
-    blobs = []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        ids = columns[-1][a:b].view(np.uint64)
-        blobs.append(b"".join([*(c[a:b].tobytes() for c in columns[:-1]), (ids & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (ids >> np.uint64(32)).astype(np.uint32).tobytes()]))
+    ids = columns[-1][order].view(np.uint64)
+    columns = [*(c[order] for c in columns[:-1]), (ids & np.uint64(0xFFFFFFFF)).astype(np.uint32), (ids >> np.uint64(32)).astype(np.uint32)]
+    blobs = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts[:-1], cuts[1:])]
     return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(blobs, type=pa.binary())], names=["bucket", "packed"])
 
 
-def _unpacked(blobs: list[bytes], width: int) -> list[np.ndarray]:
-    """The columns of several blobs: ``width`` 64-bit numbers and the ids."""
-    out: list[list[np.ndarray]] = [[] for _ in range(width + 1)]
+def _unpacked(blobs: list[bytes], kinds: tuple) -> list[np.ndarray]:
+    """The columns of several blobs: those of ``kinds`` and the ids."""
+    kinds = (*kinds, np.uint32, np.uint32)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    out: list[list[np.ndarray]] = [[] for _ in kinds]
     for b in blobs:
-        n = len(b) // (8 * width + 8)
-        for k in range(width):
-            out[k].append(np.frombuffer(b, np.uint64, n, 8 * n * k))
-        low, high = np.frombuffer(b, np.uint32, n, 8 * n * width), np.frombuffer(b, np.uint32, n, 8 * n * width + 4 * n)
-        out[width].append((low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))).view(np.int64))
-    return [np.concatenate(x) for x in out]
+        n, at = len(b) // sum(widths), 0
+        for k, (kind, w) in enumerate(zip(kinds, widths)):
+            out[k].append(np.frombuffer(b, kind, n, at))
+            at += n * w
+    cols = [np.concatenate(x) for x in out]
+    return [*cols[:-2], (cols[-2].astype(np.uint64) | (cols[-1].astype(np.uint64) << np.uint64(32))).view(np.int64)]
 
 
 def _by_bucket(batches):
@@ -143,32 +161,38 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def ranked_contexts(name: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rounds 1 and 2 on a bucket: ids and contexts; bit 0 is 1 where the context is to be removed, 0 where its strings must be ranked."""
-    order = np.argsort(name, kind="stable")
-    name, context, doc = name[order], context[order], doc[order]
-    first = _starts(name)
+def _grouped(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.concatenate([first, [n]]))
+
+
+def _several(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Whether rows, sorted by the keys, are in a group with more than one document."""
+    first = _starts(*keys)
     if not len(first):
-        return doc[:0], context[:0]
-    size = np.diff(np.concatenate([first, [len(name)]]))
-    shared = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-    keep = np.repeat(shared, size)
-    name, context, doc = name[keep], context[keep], doc[keep]
-    order = np.lexsort((doc, context, name))
-    name, context, doc = name[order], context[order], doc[order]
+        return np.zeros(0, dtype=bool)
+    return np.repeat(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), _grouped(first, len(doc)))
+
+
+def ranked_contexts(name: np.ndarray, context: np.ndarray, tags: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rounds 1 to 3 on a bucket: ids and contexts, with what is asked for each in the lowest bits."""
+    order = np.argsort(name, kind="stable")
+    order = order[_several(doc[order], name[order])]
+    order = order[np.lexsort((doc[order], context[order], name[order]))]
+    name, context, tags, doc = name[order], context[order], tags[order], doc[order]
     first = _starts(name, context)
     if not len(first):
         return doc[:0], context[:0]
-    size = np.diff(np.concatenate([first, [len(name)]]))
-    least = doc[first]
-    again = doc > np.repeat(least, size)
-    top = _starts(name[first])
-    sizes = np.diff(np.concatenate([top, [len(first)]]))
-    several = np.repeat(np.minimum.reduceat(least, top) != np.maximum.reduceat(least, top), sizes)
-    rank = np.zeros(len(name), dtype=bool)
-    rank[first[several]] = True
-    take = again | rank
-    return doc[take], context[take] | again[take].astype(np.uint64)
+    again = doc > np.repeat(doc[first], _grouped(first, len(doc)))
+    ask = again.astype(np.uint64) * np.uint64(REMOVE)
+    name_, tags_, doc_ = name[first], tags[first], doc[first]
+    for shift, what in ((0, RIGHT), (16, LEFT)):
+        tag = (tags_ >> np.uint32(shift)) & np.uint32(0xFFFF)
+        there = np.flatnonzero(tag)
+        there = there[np.lexsort((tag[there], name_[there]))]
+        hit = there[_several(doc_[there], name_[there], tag[there])]
+        ask[first[hit]] |= np.uint64(what)
+    take = ask > 0
+    return doc[take], context[take] | ask[take]
 
 
 def ranked_strings(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,12 +207,12 @@ def ranked_strings(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> tuple[n
     return doc[again], one[again]
 
 
-def _ranking(packed: DataFrame, width: int, rank) -> DataFrame:
+def _ranking(packed: DataFrame, kinds: tuple, rank) -> DataFrame:
     """Brings each bucket together, ranks it, and gives ``doc_id`` and the list of its marks."""
 
     def run(batches):
         for blobs in _by_bucket(batches):
-            ids, marks = rank(*_unpacked(blobs, width))
+            ids, marks = rank(*_unpacked(blobs, kinds))
             for at in range(0, len(ids), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 200_000]), pa.array(marks[at : at + 200_000].view(np.int64))], names=["doc_id", "mark"])
 
@@ -209,12 +233,18 @@ def _marks(value) -> np.ndarray:
 
 
 def _ranked_bounds(h: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds of the contexts to remove, then of those whose strings are ranked."""
+    """Bounds of the contexts to remove, then of the stretches whose strings are ranked."""
     at, _ = anchors(h)
     lo, hi, c = contexts(h, at)
-    gone = np.isin(c | np.uint64(1), marks)
-    rank = np.isin(c, marks) & ~gone
-    return lo[gone], hi[gone], lo[rank], hi[rank]
+    marks = np.sort(marks)
+    bare = marks & ~_BITS
+    k = np.searchsorted(bare, c)
+    k[k == len(bare)] = 0
+    ask = np.where(bare[k] == c, marks[k] & _BITS, np.uint64(0)) if len(bare) else np.zeros(len(c), np.uint64)
+    gone, right, left = ((ask & np.uint64(bit)) > 0 for bit in (REMOVE, RIGHT, LEFT))
+    start = np.concatenate([np.maximum(lo, at - HALF)[right], lo[left]])
+    end = np.concatenate([hi[right], np.minimum(hi, at - HALF + LENGTH)[left]])
+    return lo[gone], hi[gone], start, end
 
 
 def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -245,13 +275,15 @@ def _finished(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> Data
                 h = sums(b)
                 at, name = anchors(h)
                 _, _, c = contexts(h, at)
+                tags = sides(h, at)
                 c, once = np.unique(c, return_index=True)
-                found.append((name[once], c, np.full(len(c), doc, np.int64)))
+                found.append((name[once], c, tags[once], np.full(len(c), doc, np.int64)))
             if found:
-                name, c, ids = map(np.concatenate, zip(*found))
-                yield _packed(_bucket_of(name, n_buckets), [name, c, ids])
+                name, c, tags, ids = map(np.concatenate, zip(*found))
+                yield _packed(_bucket_of(name, n_buckets), [name, c, tags, ids])
 
-    marked = cut(_ranking(rows.mapInArrow(name_all, "bucket int, packed binary"), 2, ranked_contexts))
+    marked = cut(_ranking(rows.mapInArrow(name_all, "bucket int, packed binary"), (np.uint64, np.uint64, np.uint32), ranked_contexts))
+    free(spark)
 
     def name_strings(batches):
         for batch in steps(batches, "text", 8_000_000):
@@ -267,8 +299,9 @@ def _finished(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> Data
                 yield _packed(_bucket_of(one, n_buckets), [one, two, ids])
 
     both = rows.join(marked, "doc_id", "left")
-    some = both.where(F.exists("marks", lambda m: m.bitwiseAND(F.lit(1)) == 0))
-    again = _ranking(some.mapInArrow(name_strings, "bucket int, packed binary"), 2, ranked_strings)
+    some = rows.join(marked.where(F.exists("marks", lambda m: m.bitwiseAND(F.lit(RIGHT | LEFT)) != 0)), "doc_id")
+    again = cut(_ranking(some.mapInArrow(name_strings, "bucket int, packed binary"), (np.uint64, np.uint64), ranked_strings))
+    free(spark)
     joined = both.join(again.withColumnRenamed("marks", "strings"), "doc_id", "left").select("doc_id", "text", "marks", "strings")
 
     def finish(batches):
