@@ -48,10 +48,14 @@ def _contracted(batches):
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (``a``, ``b``, longs) → ``id``, ``label`` (the smallest id of the component) for each node that has an edge.
 
-    Each task first turns its edges into stars; then every node takes the
-    smallest label next to it and its label's label, until nothing changes.
+    Each task first turns its edges into stars, so that a node has one edge a task
+    at most; a node's neighbours are then tied to the smallest of them instead of to
+    the node, which keeps what is connected and leaves a node hardly more than one
+    edge.  Then every node takes the smallest label next to it and its label's
+    label, until nothing changes.
     """
-    stars = edges.select("a", "b").mapInArrow(_contracted, _EDGE)
+    stars = edges.select("a", "b").mapInArrow(_contracted, _EDGE).groupBy("a").agg(F.collect_set("b").alias("bs"), F.min("b").alias("b"))
+    stars = stars.select("b", F.explode(F.array_append("bs", F.col("a"))).alias("a")).where("a > b").distinct()
     both = cut(stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
     while True:
