@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,12 +34,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def free(spark: SparkSession) -> None:
-    """Collect garbage on the driver, so that Spark's cleaner drops the shuffle files that no plan needs any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def reread(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -48,6 +41,20 @@ def reread(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """As ``reread``, and the shuffle files of the write are dropped once it has ended, before the next round adds its own."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, None)
+    conf.set(_CLEAN, "true")
+    try:
+        return reread(df, name)
+    finally:
+        conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
+
+
 def changed(batch: pa.RecordBatch, text: str, new: list, length: str | None) -> pa.RecordBatch:
     """The batch with the texts ``new`` (None: as it was); ``length``, where there is such a column, follows."""
     if all(x is None for x in new):

@@ -23,6 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontam.OP4_SQL,
-    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_mix": mixing.OP10_SQL,
 }

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free, inverses, mixed, powers, steps, table
+from .common import inverses, mixed, powers, settled, steps, table
 
 LENGTH = 50
 GRAM = 16
@@ -266,7 +266,7 @@ def _finished(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> Data
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def name_all(batches):
-        for batch in steps(batches, "text", 8_000_000):
+        for batch in steps(batches, "text"):
             found = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 b = _bytes_of(text)
@@ -282,11 +282,10 @@ def _finished(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> Data
                 name, c, tags, ids = map(np.concatenate, zip(*found))
                 yield _packed(_bucket_of(name, n_buckets), [name, c, tags, ids])
 
-    marked = cut(_ranking(rows.mapInArrow(name_all, "bucket int, packed binary"), (np.uint64, np.uint64, np.uint32), ranked_contexts))
-    free(spark)
+    marked = settled(_ranking(rows.mapInArrow(name_all, "bucket int, packed binary"), (np.uint64, np.uint64, np.uint32), ranked_contexts), "contexts")
 
     def name_strings(batches):
-        for batch in steps(batches, "text", 8_000_000):
+        for batch in steps(batches, "text"):
             found = []
             for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 h = sums(b := _bytes_of(text))
@@ -300,12 +299,11 @@ def _finished(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> Data
 
     both = rows.join(marked, "doc_id", "left")
     some = rows.join(marked.where(F.exists("marks", lambda m: m.bitwiseAND(F.lit(RIGHT | LEFT)) != 0)), "doc_id")
-    again = cut(_ranking(some.mapInArrow(name_strings, "bucket int, packed binary"), (np.uint64, np.uint64), ranked_strings))
-    free(spark)
+    again = settled(_ranking(some.mapInArrow(name_strings, "bucket int, packed binary"), (np.uint64, np.uint64), ranked_strings), "strings")
     joined = both.join(again.withColumnRenamed("marks", "strings"), "doc_id", "left").select("doc_id", "text", "marks", "strings")
 
     def finish(batches):
-        for batch in steps(batches, "text", 8_000_000):
+        for batch in steps(batches, "text"):
             out = []
             for text, marks, found in zip(*(batch.column(i) for i in (1, 2, 3))):
                 b = _bytes_of(text)
