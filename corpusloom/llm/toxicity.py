@@ -210,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND, lexicon_
             x = [lex.features(t) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_pydict({"a": pa.array([v[0] for v in x], pa.float64()), "b": pa.array([v[1] for v in x], pa.float64()), "y": batch.column("toxic").cast(pa.float64())})
 
-    seen = sample.mapInArrow(measure, "a double, b double, y double").orderBy("a", "b", "y").toPandas()  # at most ``bound`` rows of three numbers
+    seen = sample.mapInArrow(measure, "a double, b double, y double").toPandas().sort_values(["a", "b", "y"])  # at most ``bound`` rows of three numbers
     lexicon.curve = fitted(seen[["a", "b"]].to_numpy(), seen["y"].to_numpy())
     return lexicon
 
