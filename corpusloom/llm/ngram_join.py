@@ -210,7 +210,8 @@ def _verify(threshold: float):
 def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, size: int = SHINGLE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``doc_id``, ``rep_id`` (smallest id with the same text), ``class_id``, ``n_links`` (other texts it is linked to)."""
     rows = cut(signed(docs, trees, recall, threshold, size))
-    reps = rows.groupBy("tkey").agg(F.min("doc_id").alias("rep"))
+    # materialised, so that the join below has an exchange on both sides and a text with very many copies can be split over tasks
+    reps = cut(rows.groupBy("tkey").agg(F.min("doc_id").alias("rep")))
     named = cut(rows.select("doc_id", "tkey").join(reps, "tkey").select("doc_id", "rep"))
     nodes = rows.join(named.where("doc_id = rep").select("doc_id").distinct(), "doc_id").where("nodes is not null").select(F.col("doc_id").alias("rep"), "n", "nodes")
     spread = nodes.select("rep", F.explode("nodes").alias("node"))
