@@ -29,6 +29,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -221,7 +222,28 @@ def _ranking(packed: DataFrame, kinds: tuple, rank) -> DataFrame:
 
 
 def _buckets(spark: SparkSession) -> int:
-    return 8 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Two a shuffle partition: a task then writes about as many packed rows as Spark writes shuffle blocks."""
+    return 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Names that a task gathers before it packs them.
+GATHERED = 1_000_000
+
+
+def _gathered(parts: Iterator[tuple[np.ndarray, ...]], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packs columns (the first names the bucket, the last are ids) whenever ``GATHERED`` rows have come together."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= GATHERED:
+            cols = [np.concatenate(c) for c in zip(*held)]
+            yield _packed(_bucket_of(cols[0], n_buckets), cols)
+            held, n = [], 0
+    if n:
+        cols = [np.concatenate(c) for c in zip(*held)]
+        yield _packed(_bucket_of(cols[0], n_buckets), cols)
 
 
 def _bucket_of(name: np.ndarray, n: int) -> np.ndarray:
@@ -265,9 +287,8 @@ def _finished(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> Data
     n_buckets = _buckets(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
-    def name_all(batches):
+    def named(batches):
         for batch in steps(batches, "text"):
-            found = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 b = _bytes_of(text)
                 if doc is None or len(b) < LENGTH:
@@ -277,25 +298,24 @@ def _finished(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> Data
                 _, _, c = contexts(h, at)
                 tags = sides(h, at)
                 c, once = np.unique(c, return_index=True)
-                found.append((name[once], c, tags[once], np.full(len(c), doc, np.int64)))
-            if found:
-                name, c, tags, ids = map(np.concatenate, zip(*found))
-                yield _packed(_bucket_of(name, n_buckets), [name, c, tags, ids])
+                yield name[once], c, tags[once], np.full(len(c), doc, np.int64)
+
+    def name_all(batches):
+        return _gathered(named(batches), n_buckets)
 
     marked = settled(_ranking(rows.mapInArrow(name_all, "bucket int, packed binary"), (np.uint64, np.uint64, np.uint32), ranked_contexts), "contexts")
 
-    def name_strings(batches):
+    def stretches(batches):
         for batch in steps(batches, "text"):
-            found = []
             for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 h = sums(b := _bytes_of(text))
                 _, _, lo, hi = _ranked_bounds(h, _marks(marks))
                 at = strings(lo, hi)
                 if len(at):
-                    found.append((names(h, at, at + LENGTH), names(sums(b, 1), at, at + LENGTH), np.full(len(at), doc, np.int64)))
-            if found:
-                one, two, ids = map(np.concatenate, zip(*found))
-                yield _packed(_bucket_of(one, n_buckets), [one, two, ids])
+                    yield names(h, at, at + LENGTH), names(sums(b, 1), at, at + LENGTH), np.full(len(at), doc, np.int64)
+
+    def name_strings(batches):
+        return _gathered(stretches(batches), n_buckets)
 
     both = rows.join(marked, "doc_id", "left")
     some = rows.join(marked.where(F.exists("marks", lambda m: m.bitwiseAND(F.lit(RIGHT | LEFT)) != 0)), "doc_id")
