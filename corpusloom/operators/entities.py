@@ -156,17 +156,20 @@ def resolve_all(people: DataFrame, persons: DataFrame, relations: DataFrame) ->
 
     A suffix match depends on the names known at that moment.  Names interact only
     if their keys end in the same word, so each last word is a group of its own
-    that runs through its files in order; relations go with their subject's last word.
+    that runs through its files in order (``file_ord``, text or number); relations go with
+    their subject's last word.
     """
     last = lambda c: F.element_at(F.split(match_key(F.coalesce(F.col(c), F.lit(""))), " "), -1)
     empty = F.lit("").alias
-    p = people.select(last("name").alias("last"), F.lit(0).alias("stage"), "ord", F.lit(-1).cast("long").alias("file_ord"), F.col("pid").cast("string").alias("person"), "name", empty("file_name"), empty("target"), empty("relation_type"), empty("evidence"))
+    kind = persons.schema["file_ord"].dataType
+    none = F.lit("" if kind.simpleString() == "string" else 0).cast(kind).alias("file_ord")
+    p = people.select(last("name").alias("last"), F.lit(0).alias("stage"), "ord", none, F.col("pid").cast("string").alias("person"), "name", empty("file_name"), empty("target"), empty("relation_type"), empty("evidence"))
     e = persons.select(last("name").alias("last"), F.lit(1).alias("stage"), "ord", "file_ord", empty("person"), "name", "file_name", empty("target"), empty("relation_type"), empty("evidence"))
     r = relations.select(last("subject").alias("last"), F.lit(2).alias("stage"), "ord", "file_ord", empty("person"), F.col("subject").alias("name"), "file_name", F.coalesce("object", F.lit("")).alias("target"), F.coalesce("predicate", F.lit("related to")).alias("relation_type"), F.coalesce("evidence", F.lit(DEFAULT_EVIDENCE)).alias("evidence"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         m, out = Merge(), []
-        for x in g.sort_values(["file_ord", "stage", "ord"]).itertuples():
+        for x in g.assign(roster=g["stage"] > 0).sort_values(["roster", "file_ord", "stage", "ord"]).itertuples():
             if x.stage == 0:
                 if _key(x.name):
                     m.know(_key(x.name), x.person)
