@@ -17,6 +17,10 @@ a rank needs no sort of all positions; Spark brings equal names together.
    ``LENGTH`` bytes on that side; only the edges of repeated passages come this far.
    Here names have 128 bits.
 
+A task settles what its own documents show before anything is shuffled (equal
+contexts, equal strings, names with more than ``HOT`` contexts), so a passage in
+very many documents brings a bounded number of rows of each task together.
+
 A document's removed bytes follow from its marked contexts and strings, which
 are found again in the whole document; the text itself is shuffled by id once.
 
@@ -140,17 +144,17 @@ def _unpacked(blobs: list[bytes], kinds: tuple) -> list[np.ndarray]:
 
 
 def _by_bucket(batches):
-    """The blobs of each bucket, from rows in the order of buckets."""
+    """Each bucket and its blobs, from rows in the order of buckets."""
     at, blobs = None, []
     for batch in batches:
         for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if bucket != at:
                 if blobs:
-                    yield blobs
+                    yield at, blobs
                 at, blobs = bucket, []
             blobs.append(blob)
     if blobs:
-        yield blobs
+        yield at, blobs
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -177,8 +181,14 @@ def _several(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 def ranked_contexts(name: np.ndarray, context: np.ndarray, tags: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rounds 1 to 3 on a bucket: ids and contexts, with what is asked for each in the lowest bits."""
     order = np.argsort(name, kind="stable")
-    order = order[_several(doc[order], name[order])]
-    order = order[np.lexsort((doc[order], context[order], name[order]))]
+    first = _starts(name[order])
+    if not len(first):
+        return doc[:0], context[:0]
+    told = np.repeat(np.minimum.reduceat(context[order], first) == 0, _grouped(first, len(order)))
+    keep = _several(doc[order], name[order]) | told
+    order, told = order[keep], told[keep]
+    sort = np.lexsort((doc[order], context[order], name[order]))
+    order, told = order[sort], told[sort]
     name, context, tags, doc = name[order], context[order], tags[order], doc[order]
     first = _starts(name, context)
     if not len(first):
@@ -192,7 +202,8 @@ def ranked_contexts(name: np.ndarray, context: np.ndarray, tags: np.ndarray, doc
         there = there[np.lexsort((tag[there], name_[there]))]
         hit = there[_several(doc_[there], name_[there], tag[there])]
         ask[first[hit]] |= np.uint64(what)
-    take = ask > 0
+    ask[first[told[first]]] |= np.uint64(RIGHT | LEFT)
+    take = (ask > 0) & (context != 0)
     return doc[take], context[take] | ask[take]
 
 
@@ -212,8 +223,11 @@ def _ranking(packed: DataFrame, kinds: tuple, rank) -> DataFrame:
     """Brings each bucket together, ranks it, and gives ``doc_id`` and the list of its marks."""
 
     def run(batches):
-        for blobs in _by_bucket(batches):
-            ids, marks = rank(*_unpacked(blobs, kinds))
+        for bucket, blobs in _by_bucket(batches):
+            if bucket < 0:
+                marks, ids = _unpacked(blobs, (np.uint64,))
+            else:
+                ids, marks = rank(*_unpacked(blobs, kinds))
             for at in range(0, len(ids), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 200_000]), pa.array(marks[at : at + 200_000].view(np.int64))], names=["doc_id", "mark"])
 
@@ -230,20 +244,71 @@ def _buckets(spark: SparkSession) -> int:
 GATHERED = 1_000_000
 
 
-def _gathered(parts: Iterator[tuple[np.ndarray, ...]], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packs columns (the first names the bucket, the last are ids) whenever ``GATHERED`` rows have come together."""
+#: Contexts of one name in a gathering beyond which the task settles them itself.
+HOT = 32
+
+
+def _direct(marks: np.ndarray, ids: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """Marks that a task has settled: spread by document over the negative buckets, which are only passed on."""
+    return _packed(-1 - (mixed(ids.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32), [marks, ids])
+
+
+def _gathered(parts: Iterator[tuple[np.ndarray, ...]], n_buckets: int, settle) -> Iterator[pa.RecordBatch]:
+    """Packs columns (the first names the bucket, the last are ids) whenever ``GATHERED`` rows have come together.
+
+    ``settle`` takes the columns and returns those that others must see and (marks, ids) of what is settled here.
+    """
     held: list[tuple[np.ndarray, ...]] = []
     n = 0
+
+    def packed():
+        cols, marks, ids = settle(*(np.concatenate(c) for c in zip(*held)))
+        if len(cols[0]):
+            yield _packed(_bucket_of(cols[0], n_buckets), cols)
+        if len(ids):
+            yield _direct(marks, ids, n_buckets)
+
     for part in parts:
         held.append(part)
         n += len(part[0])
         if n >= GATHERED:
-            cols = [np.concatenate(c) for c in zip(*held)]
-            yield _packed(_bucket_of(cols[0], n_buckets), cols)
+            yield from packed()
             held, n = [], 0
     if n:
-        cols = [np.concatenate(c) for c in zip(*held)]
-        yield _packed(_bucket_of(cols[0], n_buckets), cols)
+        yield from packed()
+
+
+def settled_contexts(name: np.ndarray, context: np.ndarray, tags: np.ndarray, doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """A task's part of the ranking, so that no name brings more than ``HOT`` rows from a gathering into one task.
+
+    Of equal contexts the smallest document stays, the others are marked here.
+    If a name still has more than ``HOT`` contexts, all their strings are to be
+    ranked (which needs no other context), and one row with context 0 tells the
+    others under this name to have theirs ranked too.
+    """
+    order = np.lexsort((doc, context, name))
+    name, context, tags, doc = name[order], context[order], tags[order], doc[order]
+    first = _starts(name, context)
+    again = doc > np.repeat(doc[first], _grouped(first, len(doc)))
+    marks, ids = [context[again] | np.uint64(REMOVE)], [doc[again]]
+    name, context, tags, doc = name[first], context[first], tags[first], doc[first]
+    top = _starts(name)
+    size = _grouped(top, len(name))
+    many = np.repeat(size > HOT, size)
+    marks.append(context[many] | np.uint64(RIGHT | LEFT))
+    ids.append(doc[many])
+    tell = top[size > HOT]
+    cols = [np.concatenate([x[~many], y]) for x, y in ((name, name[tell]), (context, np.zeros(len(tell), np.uint64)), (tags, np.zeros(len(tell), np.uint32)), (doc, doc[tell]))]
+    return cols, np.concatenate(marks), np.concatenate(ids)
+
+
+def settled_strings(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of equal strings in a gathering the smallest document goes on, the others are marked here."""
+    order = np.lexsort((doc, two, one))
+    one, two, doc = one[order], two[order], doc[order]
+    first = _starts(one, two)
+    again = doc > np.repeat(doc[first], _grouped(first, len(doc)))
+    return [one[first], two[first], doc[first]], one[again], doc[again]
 
 
 def _bucket_of(name: np.ndarray, n: int) -> np.ndarray:
@@ -301,7 +366,7 @@ def _finished(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> Data
                 yield name[once], c, tags[once], np.full(len(c), doc, np.int64)
 
     def name_all(batches):
-        return _gathered(named(batches), n_buckets)
+        return _gathered(named(batches), n_buckets, settled_contexts)
 
     marked = settled(_ranking(rows.mapInArrow(name_all, "bucket int, packed binary"), (np.uint64, np.uint64, np.uint32), ranked_contexts), "contexts")
 
@@ -315,7 +380,7 @@ def _finished(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> Data
                     yield names(h, at, at + LENGTH), names(sums(b, 1), at, at + LENGTH), np.full(len(at), doc, np.int64)
 
     def name_strings(batches):
-        return _gathered(stretches(batches), n_buckets)
+        return _gathered(stretches(batches), n_buckets, settled_strings)
 
     both = rows.join(marked, "doc_id", "left")
     some = rows.join(marked.where(F.exists("marks", lambda m: m.bitwiseAND(F.lit(RIGHT | LEFT)) != 0)), "doc_id")

@@ -11,8 +11,8 @@ through a logistic curve fitted to the labelled rows.
 ``learn`` takes at most ``LABEL_BOUND`` labelled rows (those with the smallest
 hashed ids), counts folded words and beginnings in toxic and other rows with
 Spark, and keeps at most ``LEXICON_BOUND`` entries whose share of toxic rows no
-chance explains: log-odds as weights.  The built-in entries stand where labels
-are too few to say anything.
+chance explains: log-odds as weights.  Built-in entries stay unless the labels
+speak against them.
 
 Defined results: null and empty texts score the curve's value for no match;
 repeated rows are scored each on its own; an empty label table leaves the
@@ -44,7 +44,10 @@ HOMOGLYPHS = "аaеeоoрpсcхxуyіiјjѕsԁdһhкkмmтtвbнnαaεeιiκkνv
 SUBSTITUTES = "0o1i3e4a5s7t8b@a$s!i€e|l"
 
 #: Built-in entries and phrases in which an entry is meant harmlessly.
-BUILT_IN = {" idiot": 3.0, " moron": 3.0, " scum ": 3.0, " loser": 2.0, " stupid": 2.0, " worthless ": 2.0, " pathetic ": 2.0, " imbecile": 3.0, " shut up ": 1.5, " hate you ": 2.5, " kill yourself ": 4.0}
+BUILT_IN = {
+    " idiot": 3.0, " moron": 3.0, " scum ": 3.0, " loser": 2.0, " stupid": 2.0, " worthless ": 2.0, " pathetic ": 2.0, " imbecile": 3.0, " disgusting ": 2.0, " trash ": 1.5, " clown ": 1.5,
+    " shut up ": 1.5, " hate you ": 2.5, " kill yourself ": 4.0,
+}
 EXCEPTIONS = (" not stupid ", " stupid mistake ", " no idiot ", " is not worthless ", " winner and loser ", " trash can ", " clown fish ", " circus clown ")
 
 
@@ -191,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND, lexicon_
             both = pa.table({"entry": pa.array(entries, pa.string()), "bad": pa.array(marks, pa.int64())}).group_by("entry").aggregate([("bad", "sum"), ("bad", "count")])
             yield from both.select(["entry", "bad_sum", "bad_count"]).rename_columns(["entry", "bad", "n"]).combine_chunks().to_batches()
 
-    counts = sample.mapInArrow(spread, "entry string, bad long, n long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    counts = cut(sample.mapInArrow(spread, "entry string, bad long, n long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where("bad >= 3 or n >= 8"))
     share = bad / (bad + good)
     weight = F.log((F.col("bad") + 0.1) / F.lit(bad + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.1) / F.lit(good + 1.0))
     # Chernoff bound on seeing so many toxic rows by chance, against the number of entries tried
@@ -200,7 +203,9 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND, lexicon_
     least = 3 + math.log(max(10.0, (bad + good) * 3.0))
     found = counts.where(F.col("bad") >= 3).where(F.col("bad") > F.col("n") * (share + 0.5 * (1 - share))).select("entry", "bad", weight.alias("w"), surprise.alias("s")).where(F.col("s") >= least)
     rows = found.orderBy(F.desc("s"), "entry").limit(lexicon_bound).collect()
-    weights = {r["entry"]: float(min(8.0, r["w"])) for r in rows if r["w"] > 1.0} or dict(BUILT_IN)
+    # a built-in entry stays unless the labels speak against it
+    against = {r["entry"] for r in counts.where(F.col("entry").isin(*BUILT_IN) & (F.col("n") >= 8) & (F.col("bad") < F.col("n") * 2 * share)).select("entry").collect()}
+    weights = {e: w for e, w in BUILT_IN.items() if e not in against} | {r["entry"]: float(min(8.0, r["w"])) for r in rows if r["w"] > 1.0}
     lexicon = Lexicon(weights)
     given = spark.sparkContext.broadcast(lexicon)
 

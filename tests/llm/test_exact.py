@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -150,6 +151,23 @@ def test_repeated_bytes(spark, documents):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS bucket", "2 AS marks")
     got = sorted((tuple(r) for r in suffix_dedup._finished(df, "doc_id", "text", True).collect()), key=str)
     assert got == sorted(plain.repeats(rows), key=str)
+    with pytest.MonkeyPatch.context() as m:  # names that a task settles itself
+        m.setattr(suffix_dedup, "HOT", 2)
+        h = lambda f, t: [np.concatenate(x) for x in zip(*(f(i, s) for i, s in t))]
+
+        def named(i, t):
+            sums = suffix_dedup.sums(np.frombuffer(t.encode(), np.uint8))
+            at, name = suffix_dedup.anchors(sums)
+            c = suffix_dedup.contexts(sums, at)[2]
+            return name, c, suffix_dedup.sides(sums, at), np.full(len(at), i, np.int64)
+
+        parts = [h(named, rows[:40]), h(named, rows[40:80])]
+        settled = [suffix_dedup.settled_contexts(*x) for x in parts]
+        ids, marks = suffix_dedup.ranked_contexts(*(np.concatenate(c) for c in zip(*(x[0] for x in settled))))
+        told = {(i, int(m) & ~7) for i, m in zip([*ids, *settled[0][2], *settled[1][2]], [*marks, *settled[0][1], *settled[1][1]])}
+        m.setattr(suffix_dedup, "HOT", 10**9)
+        ids, marks = suffix_dedup.ranked_contexts(*(np.concatenate(x) for x in zip(*parts)))
+        assert {(i, int(m) & ~7) for i, m in zip(ids, marks)} <= told  # nothing that must be looked at is lost
     rows = [tuple(r) for r in queries.QUERIES["op7_suffix_dedup"](spark, DATA).collect()]
     assert sorted(rows) == sorted(plain.repeats(documents))
 
