@@ -177,7 +177,9 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND, lexicon_
     spark = docs.sparkSession
     chosen = hash_sample(labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", bound)
     # at most ``bound`` ids and marks: 16 bytes each
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # copies of a text would count its words again and again
+    sample = cut(sample.withColumn("__h", F.md5("text")).dropDuplicates(["__h", "toxic"]).drop("__h"))
     total = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
     if not bad or not good:
@@ -200,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND, lexicon_
     # Chernoff bound on seeing so many toxic rows by chance, against the number of entries tried
     p = (F.col("bad") - 0.01) / F.col("n")
     surprise = F.col("n") * (p * F.log(p / F.lit(share)) + (1 - p) * F.log((1 - p) / F.lit(1 - share)))
-    least = 3 + math.log(max(10.0, (bad + good) * 3.0))
+    least = 3 + 1.25 * math.log(max(10.0, (bad + good) * 3.0))
     found = counts.where(F.col("bad") >= 3).where(F.col("bad") > F.col("n") * (share + 0.5 * (1 - share))).select("entry", "bad", weight.alias("w"), surprise.alias("s")).where(F.col("s") >= least)
     rows = found.orderBy(F.desc("s"), "entry").limit(lexicon_bound).collect()
     # a built-in entry stays unless the labels speak against it
