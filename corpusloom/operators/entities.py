@@ -60,10 +60,11 @@ def era_distribution(persons: DataFrame, by: str) -> DataFrame:
     return persons.where("calculus_number is not null").groupBy(by, eras.label(F.col("calculus_number")).alias("era")).agg(F.count("*").alias("n"))
 
 
-def semantic_relation(file_name: Column, subject: Column, predicate: Column, obj: Column, evidence: Column) -> Column:
+def semantic_relation(file_name: Column, subject: Column, predicate: Column, obj: Column, evidence: Column, by: str = "extraction") -> Column:
+    """An extracted relation as an edge; ``by`` says in its provenance what found it."""
     return F.struct(
         F.coalesce(subject, F.lit("")).alias("source"), F.coalesce(obj, F.lit("")).alias("target"), F.coalesce(predicate, F.lit("related to")).alias("relation_type"), F.lit(1.0).alias("weight"), F.lit("low").alias("confidence"),
-        F.coalesce(evidence, F.lit(DEFAULT_EVIDENCE)).alias("evidence_type"), F.concat(F.lit("graph_builder:"), file_name).alias("provenance"), F.lit("ai_hypothesis").alias("assertion_layer"),
+        F.coalesce(evidence, F.lit(DEFAULT_EVIDENCE)).alias("evidence_type"), F.concat(F.lit(f"{by}:"), file_name).alias("provenance"), F.lit("ai_hypothesis").alias("assertion_layer"),
     )
 
 

@@ -165,9 +165,9 @@ def person_text(p: dict[str, Column]) -> Column:
     return F.concat_ws("\n", *(F.when(F.trim(x) != "", x) for x in lines))
 
 
-def payload(people: DataFrame, text: Column) -> DataFrame:
+def payload(people: DataFrame, text: Column, source_type: str = "people_timeline") -> DataFrame:
     blank = lambda n: F.coalesce(F.col(n), F.lit("")) if n in people.columns else F.lit("")
-    return people.select(F.lit("sacred_timeline").alias("source_type"), F.coalesce(blank_to_null(blank("person_id")), F.lit("")).alias("person_id"), blank("name").alias("name"), "birth_year", "death_year", "calculus_number", blank("nationality").alias("nationality"), blank("field").alias("field"), text.alias("text"))
+    return people.select(F.lit(source_type).alias("source_type"), F.coalesce(blank_to_null(blank("person_id")), F.lit("")).alias("person_id"), blank("name").alias("name"), "birth_year", "death_year", "calculus_number", blank("nationality").alias("nationality"), blank("field").alias("field"), text.alias("text"))
 
 
 def contemporaries(people: DataFrame, width: int = 150, limit: int = 500) -> DataFrame:
@@ -186,7 +186,7 @@ def contemporaries(people: DataFrame, width: int = 150, limit: int = 500) -> Dat
     return born.join(by_year, born["birth_year"] == by_year["year"]).select("pid", "n_near", F.col("firsts.name").alias("near_names"))
 
 
-def snapshot(people: DataFrame) -> DataFrame:
+def snapshot(people: DataFrame, source_kind: str = "people_timeline_enriched") -> DataFrame:
     """One nested row a person: source record, candidate and canonical entity with its fields' provenance."""
     sid = F.concat(F.lit("src-"), person_key(F.col("name"), F.col("birth_year"), "-"))
     eid = person_key(F.col("name"), F.col("birth_year"), "-")
@@ -197,7 +197,7 @@ def snapshot(people: DataFrame) -> DataFrame:
 
     public = public_portrait(F.col("portrait_url")) if "portrait_url" in people.columns else F.lit(False)
     return people.select(
-        F.struct(sid.alias("id"), F.lit("sacred_timeline_enriched").alias("kind"), F.col("name").alias("label")).alias("sourceRecord"),
+        F.struct(sid.alias("id"), F.lit(source_kind).alias("kind"), F.col("name").alias("label")).alias("sourceRecord"),
         F.struct(F.concat(F.lit("cand-"), eid).alias("id"), eid.alias("entityId"), F.lit(0.9).alias("confidence")).alias("candidate"),
         F.struct(eid.alias("id"), field(F.col("name"), 0.9).alias("displayName"), field(F.col("birth_year"), 0.8).alias("birthYear"), field(F.col("death_year"), 0.8).alias("deathYear"), field(F.col("field"), 0.4).alias("field"), F.when(public, "public").otherwise("draft").alias("status")).alias("canonicalEntity"),
     )

@@ -101,16 +101,17 @@ def passage(number: Column, title: Column, file_name: Column, author: Column, ye
     return F.concat(F.lit("[Source "), number.cast("string"), F.lit(": "), citation, F.lit("]\n"), body)
 
 
-def person_passage(number: Column, name: Column, birth: Column, death: Column, era: Column, text: Column) -> Column:
+def person_passage(number: Column, name: Column, birth: Column, death: Column, era: Column, text: Column, roster: str = "People timeline") -> Column:
+    """As ``passage`` for a person of the roster, cited by its title."""
     from corpusloom.functions.text import dates_note
 
     dates = dates_note(birth, death)
     shown = F.when(dates != "", F.concat(F.lit(" "), dates)).otherwise("")
     era_s = F.when(era.isNotNull(), F.concat(F.lit(" [Era "), era.cast("string"), F.lit("]"))).otherwise("")
-    return F.concat(F.lit("[Source "), number.cast("string"), F.lit(": Sacred Timeline — "), F.coalesce(name, F.lit("Unknown")), shown, era_s, F.lit("]\n"), F.coalesce(text, F.lit("")))
+    return F.concat(F.lit("[Source "), number.cast("string"), F.lit(f": {roster} — "), F.coalesce(name, F.lit("Unknown")), shown, era_s, F.lit("]\n"), F.coalesce(text, F.lit("")))
 
 
-def fallback_answer(candidates: DataFrame, text: str = "text", service: str = "Claude", k: int = 3) -> DataFrame:
+def fallback_answer(candidates: DataFrame, text: str = "text", service: str = "LLM", k: int = 3) -> DataFrame:
     """What a question gets when no model answers: its first ``k`` passages."""
     line = F.concat(F.lit("["), (F.col("place") + 1).cast("string"), F.lit("] "), F.col(text))
     top = candidates.where(F.col("place") < k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))

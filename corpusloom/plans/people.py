@@ -148,7 +148,7 @@ def _relations(t):
 
 
 @query("entity_edges_merged", oracle(["v_people", "v_edges"], """SELECT person, subject AS source, object AS target, predicate AS relation_type, arg_min(file_name, o) AS provenance FROM (
-  SELECT person, upper(p.name) AS subject, 'T' || CAST(target % 50 AS STRING) AS object, substr(relation_type, 1, 1) AS predicate, 'graph_builder:f' || CAST(target % 97 AS STRING) || '.pdf' AS file_name, lpad(CAST(target AS STRING), 12, '0') || relation_type || lpad(CAST(source AS STRING), 12, '0') AS o
+  SELECT person, upper(p.name) AS subject, 'T' || CAST(target % 50 AS STRING) AS object, substr(relation_type, 1, 1) AS predicate, 'extraction:f' || CAST(target % 97 AS STRING) || '.pdf' AS file_name, lpad(CAST(target AS STRING), 12, '0') || relation_type || lpad(CAST(source AS STRING), 12, '0') AS o
   FROM v_edges JOIN v_people p ON source = pid JOIN (SELECT DISTINCT key, person FROM resolved) ON lower(p.name) = key) GROUP BY 1, 2, 3, 4""", _EXTRACTED))
 def entity_edges_merged(t):
     r = E.resolve_exact(t("v_people"), _extracted(t))
@@ -262,7 +262,7 @@ def person_text(t):
     return p.join(own, "name", "left_semi").select("pid", P.person_text(cols).alias("text"))
 
 
-@query("person_payload", oracle(["v_people"], "SELECT 'sacred_timeline' AS source_type, '' AS person_id, name, birth_year, death_year, calculus_number, '' AS nationality, field, name || ' (' || CAST(birth_year AS STRING) || '–' || CAST(death_year AS STRING) || ')' || coalesce(chr(10) || 'Era: Calculus ' || CAST(calculus_number AS STRING), '') AS text FROM v_people"))
+@query("person_payload", oracle(["v_people"], "SELECT 'people_timeline' AS source_type, '' AS person_id, name, birth_year, death_year, calculus_number, '' AS nationality, field, name || ' (' || CAST(birth_year AS STRING) || '–' || CAST(death_year AS STRING) || ')' || coalesce(chr(10) || 'Era: Calculus ' || CAST(calculus_number AS STRING), '') AS text FROM v_people"))
 def person_payload(t):
     p = t("v_people")
     return P.payload(p, P.person_text({c: F.col(c) for c in ("name", "birth_year", "death_year", "calculus_number")}))

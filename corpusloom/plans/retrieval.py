@@ -101,12 +101,12 @@ def format_passage(t):
     return d.select("doc_id", p.alias("passage"))
 
 
-@query("person_passage", oracle(["v_people"], """SELECT pid, '[Source 1: Sacred Timeline — ' || name || ' (' || CAST(birth_year AS STRING) || '–' || CAST(death_year AS STRING) || ')' || coalesce(' [Era ' || CAST(calculus_number AS STRING) || ']', '') || ']' || chr(10) || country AS passage FROM v_people"""))
+@query("person_passage", oracle(["v_people"], """SELECT pid, '[Source 1: People timeline — ' || name || ' (' || CAST(birth_year AS STRING) || '–' || CAST(death_year AS STRING) || ')' || coalesce(' [Era ' || CAST(calculus_number AS STRING) || ']', '') || ']' || chr(10) || country AS passage FROM v_people"""))
 def person_passage(t):
     return t("v_people").select("pid", R.person_passage(F.lit(1), F.col("name"), F.col("birth_year"), F.col("death_year"), F.col("calculus_number"), F.col("country")).alias("passage"))
 
 
-@query("answer_fallback_text", oracle([], """SELECT query_id, 'Claude API unavailable. Top retrieved passages:' || chr(10) || chr(10) || string_agg('[' || CAST(place + 1 AS STRING) || '] ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY place) AS answer
+@query("answer_fallback_text", oracle([], """SELECT query_id, 'LLM API unavailable. Top retrieved passages:' || chr(10) || chr(10) || string_agg('[' || CAST(place + 1 AS STRING) || '] ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY place) AS answer
   FROM fused f LEFT JOIN documents d ON f.id = CAST(d.doc_id AS STRING) WHERE place < 3 GROUP BY query_id""", _DENSE, _PEOPLE, _SPARSE, _FUSED))
 def answer_fallback_text(t):
     return R.fallback_answer(_with_texts(t).withColumn("text", F.coalesce("text", F.lit(""))))

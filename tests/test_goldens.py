@@ -17,7 +17,7 @@ def one(spark, value, expr, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(expr(F.col("x")).alias("y")).first().y
 
 
-@pytest.mark.parametrize("name, key", [("Auguste Laurent", "auguste laurent"), ("Évariste Galois", "evariste galois"), ("Augustin-Louis Cauchy", "augustin-louis cauchy"), ("  Poincaré  ", "poincare"), ("EULER", "euler"), ("Łukasz", "ukasz"), ("a \t b", "a b")])
+@pytest.mark.parametrize("name, key", [("Auguste Comte", "auguste comte"), ("Évariste Galois", "evariste galois"), ("Augustin-Louis Cauchy", "augustin-louis cauchy"), ("  Poincaré  ", "poincare"), ("EULER", "euler"), ("Łukasz", "ukasz"), ("a \t b", "a b")])
 def test_match_key(spark, name, key):
     assert one(spark, name, match_key) == key
 

@@ -20,7 +20,7 @@ def test_library(spark, tmp_path):
     (root / "fish.txt").write_text("The clown fish lives among anemones in cold water. " * 6)
     assert lib.index(str(root)) == 2 and lib.chunks().count() == n
     got = lib.query_library("bridges of Koenigsberg")
-    assert got["sources"][0]["title"] == "euler.txt" and got["answer"].startswith("Claude API unavailable")
+    assert got["sources"][0]["title"] == "euler.txt" and got["answer"].startswith("LLM API unavailable")
     assert lib.find_sources("clown anemones", 1)[0].startswith("1. fish.txt")
 
     def answer(df):
