@@ -230,7 +230,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, r
     whole = found.where("whole").select("rep", F.col("top").alias("class_id"))
     split = found.where("not whole and rep <> top").select(F.col("rep").alias("a"), F.col("top").alias("b"))
     tops = whole.union(components(split).select("id", "label")) if not split.isEmpty() else whole
-    linked = found.groupBy("rep").agg(F.sum("links").alias("n_links")).where("n_links > 0").join(tops, "rep")
+    linked = cut(found.groupBy("rep").agg(F.sum("links").alias("n_links")).where("n_links > 0").join(tops, "rep"))  # as with ``reps``
     return named.join(linked, "rep", "left").select("doc_id", F.col("rep").alias("rep_id"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
