@@ -32,6 +32,23 @@ def region_type(bbox: dict[str, Column], width: Column, height: Column, spans: C
     )
 
 
+IMAGE = 1  # a block's kind, as layout readers number it
+
+
+def page_regions(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Regions of a document in reading order: images and blank blocks go, the rest is numbered over all pages.
+
+    ``blocks``: ``doc, page, number, kind, x0, y0, x1, y1, width, height, lines`` (lines of spans of ``text, size, flags``).
+    """
+    text = diplomatic_text(F.col("lines"))
+    b = blocks.where(F.col("kind") != IMAGE).withColumn("text", text).where("text <> ''")
+    spans = F.flatten(F.transform("lines", lambda ln: ln["spans"]))
+    box = {k: F.col(k) for k in ("x0", "y0", "x1", "y1")}
+    seq = F.row_number().over(Window.partitionBy(doc).orderBy("page", "number")) - 1
+    key = F.sha2(F.concat_ws("\u0001", F.col(doc).cast("string"), "page", "number"), 256)
+    return b.select(doc, "page", seq.alias("seq"), key.alias("region_id"), region_type(box, F.col("width"), F.col("height"), spans).alias("region_type"), "text")
+
+
 def diplomatic_text(lines: Column) -> Column:
     """The spans of each line joined, blank lines dropped."""
     joined = F.transform(lines, lambda ln: F.array_join(F.transform(ln["spans"], lambda s: s["text"]), ""))

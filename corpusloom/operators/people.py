@@ -126,6 +126,17 @@ def pipeline_flags(era: Column, tagged: Column, n_edges: Column) -> Column:
     )
 
 
+def all_flags(flags: Column, suggested: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(flags, none), F.coalesce(suggested, none))
+
+
+def counters(people: DataFrame) -> DataFrame:
+    """Totals of a roster with ``pipeline_flags`` and ``n_edges``."""
+    has = lambda f: F.count_if(F.array_contains("pipeline_flags", f))
+    return people.agg(F.count("*").alias("people"), F.coalesce(F.sum("n_edges"), F.lit(0)).cast("long").alias("edges"), has("Auto-Tagged").alias("tagged"), has("Graph-Ready").alias("graph_ready"))
+
+
 # The tones of flags in the three views, which differ.
 CARD_TONES = {
     "green": ("Era-Assigned", "Auto-Tagged", "Tagging-Complete", "Ontology-Aligned", "Edges-Linked", "Graph-Ready", "Source-Verified", "Text-Extracted", "Quality-Verified", "Graph-Integrated"),

@@ -18,12 +18,15 @@ RRF_K = 60
 PLACES = 6
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors, summed in doubles; 0 for a zero vector."""
-    d = lambda c: F.transform(c, lambda x: x.cast("double"))
-    dot = lambda x, y: F.aggregate(F.zip_with(d(x), d(y), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(length == 0, F.lit(0.0)).otherwise(dot(a, b) / length)
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(a: Column) -> Column:
+    """The vector at length 1, in doubles; a zero vector stays.  The dot product of two is their cosine."""
+    d = F.transform(a, lambda x: x.cast("double"))
+    n = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(n == 0, d).otherwise(F.transform(d, lambda x: x / n))
 
 
 def dense_leg(queries: DataFrame, index: DataFrame, k: int = K_DENSE, rank: str = "dense_rank", score: str = "dense_score") -> DataFrame:
@@ -31,10 +34,11 @@ def dense_leg(queries: DataFrame, index: DataFrame, k: int = K_DENSE, rank: str
 
     Questions are a stated set against all rows: the questions are broadcast if
     the planner finds them small, the index streams past them, and each task
-    keeps ``k`` rows a question before the shuffle.
+    keeps ``k`` rows a question before the shuffle.  Lengths are divided out before
+    the join, once a vector instead of once a pair.
     """
-    q = queries.select("query_id", F.col("vector").alias("query_vector"))
-    scored = index.join(q).select("query_id", "id", F.round(cosine(F.col("query_vector"), F.col("vector")), PLACES).alias(score))
+    q = queries.select("query_id", unit(F.col("vector")).alias("query_vector"))
+    scored = index.select("id", unit(F.col("vector")).alias("vector")).join(q).select("query_id", "id", F.round(dot(F.col("query_vector"), F.col("vector")), PLACES).alias(score))
     return top_k(scored, ["query_id"], [F.desc(score), F.col("id")], k, rank)
 
 

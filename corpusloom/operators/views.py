@@ -49,5 +49,30 @@ def navigation(relations: DataFrame, people: DataFrame) -> DataFrame:
     return relations.withColumn("k", F.lower("target")).join(p, "k", "left").drop("k")
 
 
+def by_name(people: DataFrame, needle: str = "", era: str = "all") -> DataFrame:
+    """The catalogue's list: names that contain the needle, of one era or all, in the order of a reader's alphabet."""
+    out = people if era == "all" else people.where(era_key(F.col("calculus_number")) == era)
+    if needle.strip():
+        out = out.where(F.contains(F.lower("name"), F.lit(needle.strip().lower())))
+    return out.orderBy(F.collate("name", "UNICODE_CI"), "pid")
+
+
+def is_enriched(people: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Whether any person has anything in any of the array fields."""
+    some = F.lit(False)
+    for f in fields:
+        some = some | (F.coalesce(F.size(f), F.lit(0)) > 0)
+    return people.agg(F.coalesce(F.bool_or(some), F.lit(False)).alias("enriched"))
+
+
+def is_roster(people: Column) -> Column:
+    """Whether an array is a roster: not empty, each element with a name."""
+    return (F.size(people) > 0) & F.forall(people, lambda p: p["name"].isNotNull())
+
+
+def review_lists(tags: DataFrame, people: DataFrame, edges: DataFrame, order: tuple[str, str, str], limit: int = REVIEW_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(df.orderBy(o).limit(limit) for df, o in zip((tags, people, edges), order))
+
+
 def passages_stars(n: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(10), F.coalesce(n, F.lit(0))))

@@ -105,6 +105,25 @@ def era_tabs(t):
     return V.era_tabs(t("v_people"))
 
 
+@query("catalogue_names", oracle(["v_people"], "SELECT pid, name FROM v_people WHERE contains(lower(name), 'nation_1') AND calculus_number = 3"))
+def catalogue_names(t):
+    return V.by_name(t("v_people"), "Nation_1", "3").select("pid", "name")
+
+
+@query("roster_enriched", oracle(["v_people"], "SELECT count(*) FILTER (WHERE pid % 2 = 0) > 0 AS enriched FROM v_people"))
+def roster_enriched(t):
+    return V.is_enriched(_people(t), ("suggested_schools",))
+
+
+@query("roster_counters", oracle(["v_people", "v_edges"], """SELECT count(*) AS people, CAST(sum(n) AS BIGINT) AS edges, count(*) FILTER (WHERE cluster_id <> '') AS tagged, count(*) FILTER (WHERE cluster_id <> '' AND n > 0) AS graph_ready FROM (SELECT cluster_id, coalesce(n, 0) AS n FROM v_people LEFT JOIN (SELECT source, count(*) AS n FROM v_edges GROUP BY 1) ON pid = source)"""))
+def roster_counters(t):
+    from corpusloom.operators import people as P
+
+    n = t("v_edges").groupBy(F.col("source").alias("pid")).agg(F.count("*").alias("n_edges"))
+    p = t("v_people").join(n, "pid", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+    return P.counters(p.withColumn("pipeline_flags", P.pipeline_flags(F.col("calculus_number"), F.col("cluster_id") != "", F.col("n_edges"))))
+
+
 @query("review_backlog", oracle(["v_people", "v_edges"], "SELECT (SELECT count(*) FROM labels) AS tags, (SELECT count(*) FROM v_people) AS people, (SELECT count(*) FROM v_edges WHERE assertion_layer = 'ai_hypothesis') AS edges, (SELECT count(*) FROM labels) + (SELECT count(*) FROM v_people) + (SELECT count(*) FROM v_edges WHERE assertion_layer = 'ai_hypothesis') AS backlog"))
 def review_backlog(t):
     return V.review_backlog(t("labels"), t("v_people"), t("v_edges").where("assertion_layer = 'ai_hypothesis'"))

@@ -97,6 +97,37 @@ def ocr_pages(text: Column) -> Column:
     return F.split(text, r"\n#{1,3} Page \d+")
 
 
+def convert(files: DataFrame, command: tuple[str, ...], suffix: str = ".pdf", seconds: int = 300) -> DataFrame:
+    """``path, converted, error``: each file through an external program, in parallel.
+
+    ``command`` has ``{source}`` and ``{target}``; output of a run that failed or
+    took too long is removed.  The program and the files must be where tasks run.
+    """
+
+    def run(batches):
+        import os
+        import subprocess
+
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                source = path.removeprefix("file:")
+                target = source[: source.rindex(".")] + suffix
+                try:
+                    done = subprocess.run([a.format(source=source, target=target) for a in command], capture_output=True, timeout=seconds)
+                    error = done.stderr.decode(errors="replace")[:500] if done.returncode else None
+                except (OSError, subprocess.TimeoutExpired) as e:
+                    error = str(e)[:500]
+                if error is not None and os.path.exists(target):
+                    os.remove(target)
+                rows.append((path, target if error is None else None, error))
+            yield pd.DataFrame(rows, columns=["path", "converted", "error"])
+
+    return files.select("path").mapInPandas(run, "path string, converted string, error string")
+
+
 def log_tail(lines: DataFrame, n: int = 80) -> DataFrame:
     """The last ``n`` lines (``line_no, line``)."""
     return lines.orderBy(F.desc("line_no")).limit(n)

@@ -128,6 +128,22 @@ def test_latex(spark):
     assert "\\title{T\\_1}" in layers.rendered(docs, layers.latex_body(df)).first().latex
 
 
+def test_page_regions(spark):
+    span = lambda text, size=10.0, flags=0: [([(text, size, flags)],)]
+    rows = [(1, 2, 0, 0, 80, 300, 500, 320, span("body")), (1, 1, 3, 0, 80, 300, 500, 320, span("Big", 15.0)), (1, 1, 1, 1, 80, 100, 500, 120, span("image")), (1, 1, 2, 0, 80, 100, 500, 120, span("  ")), (1, 1, 4, 0, 80, 790, 500, 799, span("7")), (1, 1, 5, 0, 80, 600, 500, 620, span("note", 8.0)), (1, 1, 6, 0, 10, 300, 90, 320, span("side")), (1, 1, 7, 0, 80, 300, 500, 320, span("Fig. 1", 9.0)), (1, 1, 8, 0, 80, 300, 500, 320, span("Sub", 12.0, 16))]
+    df = spark.createDataFrame(rows, "doc_id int, page int, number int, kind int, x0 int, y0 int, x1 int, y1 int, lines array<struct<spans: array<struct<text: string, size: double, flags: int>>>>")
+    out = layers.page_regions(df.withColumn("width", F.lit(600)).withColumn("height", F.lit(800))).orderBy("seq").collect()
+    assert [(r.seq, r.region_type) for r in out] == list(enumerate(["heading", "running_title", "footnote", "margin_note", "caption", "subheading", "paragraph"]))
+
+
+def test_views(spark):
+    p = spark.createDataFrame([(1, "émile", 1), (2, "Zoe", None), (3, "Emil", 1), (4, "emma", 2)], "pid int, name string, calculus_number int")
+    assert [r.pid for r in views.by_name(p).collect()] == [3, 1, 4, 2]
+    assert [r.pid for r in views.by_name(p, " EM ", "1").collect()] == [3]
+    assert one(spark, [("A",), (None,)], views.is_roster, "array<struct<name: string>>") is False
+    assert one(spark, ["a"], lambda c: people.all_flags(c, F.lit(None).cast("array<string>")), "array<string>") == ["a"]
+
+
 def test_vocabulary(spark):
     lines = ["intro", "TAGS A — CLOSED", "", "one", "two", "", "three", "TAGS B", "four", "one"]
     df = spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")

@@ -22,6 +22,14 @@ def test_incremental_files(spark, tmp_path):
     assert SF.collect(spark, str(tmp_path), max_bytes=2).count() == 0
 
 
+def test_convert(spark, tmp_path):
+    (tmp_path / "a.djvu").write_text("x")
+    df = spark.createDataFrame([(str(tmp_path / "a.djvu"),)], "path string")
+    assert SF.convert(df, ("cp", "{source}", "{target}")).first().converted == str(tmp_path / "a.pdf")
+    assert SF.convert(df, ("false",)).first().converted is None and not (tmp_path / "a.pdf").exists()
+    assert SF.convert(df, ("no such program",)).first().error
+
+
 def test_json(spark, tmp_path):
     (tmp_path / "f.jsonl").write_text('{"a":1}\n\n[1]\n{bad\n{"a":2}x\n{"a":3}]\n{"a":4}}\n{"a":5},{"a":6}\n')
     assert [r.a for r in SJ.lines(spark, str(tmp_path / "f.jsonl")).select(F.variant_get("record", "$.a", "int").alias("a")).collect()] == [1]
