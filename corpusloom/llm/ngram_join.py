@@ -215,11 +215,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, r
     named = cut(rows.select("doc_id", "tkey").join(reps, "tkey").select("doc_id", "rep"))
     nodes = rows.join(named.where("doc_id = rep").select("doc_id").distinct(), "doc_id").where("nodes is not null").select(F.col("doc_id").alias("rep"), "n", "nodes")
     spread = nodes.select("rep", F.explode("nodes").alias("node"))
-    shared = spread.groupBy("node").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("node", "least")
+    shared = cut(spread.groupBy("node").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("node", "least"))  # as with ``reps``
     ties = spread.join(shared, "node").where("rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     parts = cut(components(ties).withColumnRenamed("id", "rep").join(nodes.select("rep", "n").distinct(), "rep"))
     blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / block_texts), F.ceil(F.sum("n") / block_shingles)).cast("int")
-    parts = parts.join(parts.groupBy("label").agg(blocks.alias("blocks")), "label")
+    large = cut(parts.groupBy("label").agg(blocks.alias("blocks")).where("blocks > 1"))
+    parts = parts.join(large, "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     parts = parts.select("rep", "label", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
     sets = _sets(docs, parts, size)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
