@@ -256,3 +256,20 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL for ``op9``: all pairs that share a shingle, then the closure of the links.
+OP9_SQL = r"""
+WITH RECURSIVE
+t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+r AS (SELECT text, min(doc_id) AS rep FROM t GROUP BY text),
+s AS (SELECT DISTINCT doc_id AS rep, array_to_string(w[i : i + 4], ' ') AS g FROM t SEMI JOIN r ON doc_id = rep, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 3))) AS i) WHERE len(w) > 0),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+c AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.rep JOIN n y ON b = y.rep WHERE 9 * c >= 4 * (x.n + y.n)),
+e AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT DISTINCT x AS id, x AS top FROM e UNION SELECT e.y, reach.top FROM reach JOIN e ON e.x = reach.id),
+top AS (SELECT id, min(top) AS top FROM reach GROUP BY id),
+k AS (SELECT x AS id, count(*) AS n_links FROM e GROUP BY x)
+SELECT doc_id, rep AS rep_id, coalesce(top, rep) AS class_id, coalesce(n_links, 0) AS n_links FROM t JOIN r USING (text) LEFT JOIN top ON rep = top.id LEFT JOIN k ON rep = k.id
+"""

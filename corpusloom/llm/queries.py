@@ -23,5 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontam.OP4_SQL,
+    "op7_suffix_dedup": suffix_dedup.OP7_SQL,
+    "op9_ngram_join": ngram_join.OP9_SQL,
     "op10_mix": mixing.OP10_SQL,
 }

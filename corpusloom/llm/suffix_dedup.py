@@ -418,3 +418,21 @@ def _finished(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> Data
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finished(table(spark, sf_dir, "documents"), "doc_id", "text", digest=True)
+
+
+#: DuckDB SQL for ``op7``: every 50-byte string with the smallest document it starts in; runs of removed bytes from gaps between starts.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::bigint AS n FROM documents),
+p AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS g FROM d, LATERAL (SELECT unnest(range(1, n - 48)) AS i) WHERE n >= 50),
+f AS (SELECT g, min(doc_id) AS first FROM p GROUP BY g),
+hit AS (SELECT doc_id, i FROM p JOIN f USING (g) WHERE first < doc_id),
+run AS (
+  SELECT doc_id, min(i) AS a, max(i) + 49 AS b
+  FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit))
+  GROUP BY doc_id, k),
+piece AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM run),
+k AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a + 1)::bigint AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM piece JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
