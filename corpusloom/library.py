@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom import providers
+from corpusloom import importable, providers
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking, entities, extraction, retrieval, state
 from corpusloom.sources import files as SF
@@ -25,6 +25,7 @@ CHUNKS = chunking.CHUNKS + ", context string, vector array<float>"
 
 class Library:
     def __init__(self, spark: SparkSession, folder: str, embed: str = "offline") -> None:
+        importable(spark)
         self.spark, self.folder, self.embed = spark, folder.rstrip("/"), providers.get("embed", embed)
 
     # --- tables ---

@@ -13,6 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom import importable
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -86,6 +88,7 @@ def query(name: str, sql: str | None = None):
 
     def put(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
             return f(lambda n: table(spark, sf_dir, n))
 
         run.__doc__ = f.__doc__
