@@ -21,6 +21,11 @@ SCIENCE = ("math", "physics", "chem", "bio", "astro", "science")
 PHILOSOPHY = ("philos", "logic", "ethics", "metaphys")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: an expression that is used in several places inside lambdas would be computed in each."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

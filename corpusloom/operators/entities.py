@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import eras
-from corpusloom.functions.text import norm
+from corpusloom.functions.text import let, norm
 from corpusloom.functions.unicode import match_key
 from corpusloom.sources.json import strict
 
@@ -42,17 +42,21 @@ def cleaned(raw: Column) -> Column:
     default, and relations stay whose object is one of the persons.
     """
     body = F.regexp_extract(F.regexp_replace(raw, r"```(?:json)?\s*|\s*```", ""), r"(?s)\{.*\}", 0)
-    data = F.from_json(F.when(strict(body).isNotNull(), body), RESPONSE)
     key = lambda c: norm(F.coalesce(c, F.lit("")))
-    persons = F.coalesce(data["persons"], F.array().cast(f"array<struct<{_ddl(PERSON)}>>"))
-    keys = F.transform(persons, lambda p: key(p["name"]))
-    first = F.filter(persons, lambda p, i: (key(p["name"]) != "") & (F.array_position(keys, key(p["name"])) == i + 1))
-    fixed = F.transform(first, lambda p: p.withField("calculus_number", eras.raised(p["calculus_number"], p["birth_year"])).withField("evidence", known_evidence(p["evidence"])))
-    names = F.transform(fixed, lambda p: key(p["name"]))
-    relations = F.coalesce(data["relationships"], F.array().cast(f"array<struct<{_ddl(RELATION)}>>"))
-    kept = F.filter(relations, lambda r: F.array_contains(names, key(r["object"])))
-    kept = F.transform(kept, lambda r: r.withField("evidence", known_evidence(r["evidence"])))
-    return F.when(data.isNotNull(), F.struct(fixed.alias("persons"), kept.alias("relationships")))
+
+    def persons(data: Column) -> Column:
+        given = F.coalesce(data["persons"], F.array().cast(f"array<struct<{_ddl(PERSON)}>>"))
+        first = let(F.transform(given, lambda p: key(p["name"])), lambda keys: F.filter(given, lambda p, i: (keys[i] != "") & (F.array_position(keys, keys[i]) == i + 1)))
+        return F.transform(first, lambda p: p.withField("calculus_number", eras.raised(p["calculus_number"], p["birth_year"])).withField("evidence", known_evidence(p["evidence"])))
+
+    def both(data: Column, fixed: Column) -> Column:
+        given = F.coalesce(data["relationships"], F.array().cast(f"array<struct<{_ddl(RELATION)}>>"))
+        kept = let(F.transform(fixed, lambda p: key(p["name"])), lambda names: F.filter(given, lambda r: F.array_contains(names, key(r["object"]))))
+        kept = F.transform(kept, lambda r: r.withField("evidence", known_evidence(r["evidence"])))
+        return F.struct(fixed.alias("persons"), kept.alias("relationships"))
+
+    parsed = let(body, lambda b: F.from_json(F.when(strict(b).isNotNull(), b), RESPONSE))
+    return let(parsed, lambda data: F.when(data.isNotNull(), let(persons(data), lambda fixed: both(data, fixed))))
 
 
 def era_distribution(persons: DataFrame, by: str) -> DataFrame:

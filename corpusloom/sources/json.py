@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import strip
+from corpusloom.functions.text import let, strip
 
 FEEDS = ("index", "queue_entity", "proposed_addition")
 
@@ -19,14 +19,13 @@ def strict(text: Column) -> Column:
     """
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    only = F.try_variant_get(listed, "$[1]", "variant").isNull() & named.isNotNull()
-    return F.when(only, F.try_variant_get(listed, "$[0]", "variant"))
+    first = lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull() & named.isNotNull(), F.try_variant_get(v, "$[0]", "variant"))
+    return let(listed, first)
 
 
 def objects(line: Column) -> Column:
     """A line as VARIANT if it holds a JSON object, else null."""
-    v = strict(line)
-    return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
+    return let(strict(line), lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v))
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
