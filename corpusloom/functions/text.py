@@ -96,9 +96,20 @@ def sentences(c: Column) -> Column:
 
 
 def tex(c: Column) -> Column:
-    """LaTeX's special characters escaped in one pass, so that no escape is escaped."""
+    """LaTeX's special characters escaped so that no escape is escaped.
+
+    Characters whose escapes have braces or backslashes of their own are marked
+    first and written last; a text that holds a mark goes character by character.
+    """
+    text = F.coalesce(c, F.lit(""))
+    marks = {"\\": "\u0001", "~": "\u0002", "^": "\u0003"}
+    out = F.translate(text, "".join(marks), "".join(marks.values()))
+    out = F.regexp_replace(out, r"([&%$#_{}])", r"\\$1")
+    for char, mark in marks.items():
+        out = F.replace(out, F.lit(mark), F.lit(TEX[char]))
     special = F.create_map(*(F.lit(x) for pair in TEX.items() for x in pair))
-    return F.array_join(F.transform(F.split(F.coalesce(c, F.lit("")), ""), lambda x: F.coalesce(F.element_at(special, x), x)), "")
+    slow = F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(F.element_at(special, x), x)), "")
+    return F.when(text.rlike("[\u0001-\u0003]"), slow).otherwise(out)
 
 
 def slug_plain(c: Column) -> Column:

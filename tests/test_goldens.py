@@ -36,6 +36,7 @@ def test_differs(spark, a, b, want):
 def test_text(spark):
     assert one(spark, "50% & 100$", T.tex) == r"50\% \& 100\$"
     assert one(spark, "a\\b~{", T.tex) == r"a\textbackslash{}b\textasciitilde{}\{"
+    assert one(spark, "a\x01\\^{", T.tex) == "a\x01" + r"\textbackslash{}\textasciicircum{}\{"
     assert one(spark, "é-\né a\nb\n\n\nc  d \n", T.page_text) == "éé a b\n\nc d"
     assert one(spark, "one two three", T.token_count) == 4
     assert one(spark, "deepseek/r1:free", T.short_model) == "r1"
