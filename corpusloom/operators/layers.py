@@ -98,21 +98,22 @@ def latex_body(regions: DataFrame, doc: str = "doc_id", source_language: str = "
     t = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
     r = regions.select(doc, "seq", "region_type", t("diplomatic").alias("d"), t("normalized").alias("n"), t("translation").alias("tr"), (template_name if template_name is not None else F.lit("article")).alias("tpl"))
     r = r.where("n <> '' or d <> ''").where(F.col("region_type") != "running_title").withColumn("b", F.when(F.col("n") != "", F.col("n")).otherwise(F.col("d")))
-    note = F.when((F.col("d") != "") & (F.col("n") != "") & differs(F.col("d"), F.col("n")), F.concat(F.lit("\\footnote{Diplomatic: "), tex(F.col("d")), F.lit("}"))).otherwise("")
+    r = r.withColumns({"tb": tex(F.col("b")), "td": tex(F.col("d")), "tt": tex(F.col("tr"))})  # each escaped once, used in many branches
+    note = F.when((F.col("d") != "") & (F.col("n") != "") & differs(F.col("d"), F.col("n")), F.concat(F.lit("\\footnote{Diplomatic: "), F.col("td"), F.lit("}"))).otherwise("")
     columns = (F.col("tpl") == "reledpar") & (F.lit(source_language) != "eng") & (F.col("tr") != "")
     flows = F.col("region_type").isin(*FLOWING) & ~columns
     r = r.withColumns({"note": note, "columns": F.col("region_type").isin(*FLOWING) & columns, "flush": F.when(flows, F.col("seq"))})
     ahead = Window.partitionBy(doc).orderBy("seq").rowsBetween(0, Window.unboundedFollowing)
     r = r.withColumn("to", F.first("flush", ignorenulls=True).over(ahead))
     is_note = F.col("region_type") == "footnote"
-    notes = r.where(is_note).withColumn("fn", tex(F.col("b")))
+    notes = r.where(is_note).withColumn("fn", F.col("tb"))
     inline = notes.where(F.col("to").isNotNull()).groupBy(doc, F.col("to").alias("seq")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", F.concat(F.lit("\\footnote{[Author's note] "), F.col("fn"), F.lit("}")).alias("x")))).getField("x"), "").alias("inline"))
-    command = lambda name: F.concat(F.lit(f"\\{name}{{"), tex(F.col("b")), F.lit("}"))
-    pairs = F.concat(F.lit("\\begin{pairs}\n\\begin{Leftside}\n\\pstart "), tex(F.col("b")), F.col("note"), F.lit(" \\pend\n\\end{Leftside}\n\\begin{Rightside}\n\\pstart "), tex(F.col("tr")), F.lit(" \\pend\n\\end{Rightside}\n\\Columns\n\\end{pairs}"))
+    command = lambda name: F.concat(F.lit(f"\\{name}{{"), F.col("tb"), F.lit("}"))
+    pairs = F.concat(F.lit("\\begin{pairs}\n\\begin{Leftside}\n\\pstart "), F.col("tb"), F.col("note"), F.lit(" \\pend\n\\end{Leftside}\n\\begin{Rightside}\n\\pstart "), F.col("tt"), F.lit(" \\pend\n\\end{Rightside}\n\\Columns\n\\end{pairs}"))
     kind = F.col("region_type")
     line = (
         F.when(kind == "heading", command("section")).when(kind == "subheading", command("subsection")).when(kind == "margin_note", command("marginnote")).when(kind == "caption", command("caption"))
-        .when(F.col("columns"), pairs).when(kind.isin(*FLOWING), F.concat(tex(F.col("b")), F.col("note"), F.coalesce("inline", F.lit("")), F.lit("\n"))).otherwise(F.concat(tex(F.col("b")), F.lit("\n")))
+        .when(F.col("columns"), pairs).when(kind.isin(*FLOWING), F.concat(F.col("tb"), F.col("note"), F.coalesce("inline", F.lit("")), F.lit("\n"))).otherwise(F.concat(F.col("tb"), F.lit("\n")))
     )
     body = r.where(~is_note).join(inline, [doc, "seq"], "left").select(doc, F.lit(0).alias("late"), "seq", line.alias("line"))
     trailing = F.concat(F.lit("\\footnote{[Author's note] "), tex(F.col("fn")) if escape_twice else F.col("fn"), F.lit("}"))
