@@ -9,6 +9,12 @@ the DOM.  A maximum flow parts content from boilerplate.  Before the flow, a
 block whose terminal outweighs all its edges is labelled and taken out, which is
 the label it has in every minimum cut; the flow then runs on what is left.
 
+Names of elements (class, id, role) are evidence, not a veto: an article inside
+boilerplate is disputed, which its own text and its neighbours can outweigh, and
+is the page's article if it outweighs all text outside boilerplate.  Names of
+<html> and <body> and what a layout has or lacks (``has-sidebar``) count for
+nothing; a form around plain blocks counts a little.
+
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by two line feeds in page order.
 
@@ -47,10 +53,16 @@ _SCOPE = frozenset("div section article aside nav header footer main body ul ol
 AWAY_TAGS = frozenset("nav footer aside form button menu dialog input".split())
 AWAY_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|foot\w*|header|masthead|topbar|side-?bar|aside|cookies?|consent|notice\w*|gdpr|popup|modal|overlay|comments?|comment-?list|replies|respond|disqus|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|search\w*|widget\w*|pagination|pager|toolbar|legal|copyright|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I)
 HOME_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|post|post-?(?:body|content|text)|entry\w*|story\w*|main\w*|content\w*|body-?text|text-?body)(?:$|[\s_-])", re.I)
+#: Names that only the main text has; with <article> and <main> they hold against boilerplate around them.
+STRONG_NAMES = re.compile(r"(?:^|\s)(?:main|main-?content|article|(?:article|post|entry|story)[_-]?(?:body|content|text)|body-?text)(?:$|\s)", re.I)
+#: Parts of a name that say what a layout has or lacks, not what the element is.
+_LAYOUT = re.compile(r"(?:(?<=[\s_-])|^)(?:has|no|with|without)[_-]\S+", re.I)
 _NOTICE = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved|cookie|privacy policy|terms of (?:use|service)|sign (?:in|up)|log ?in|subscribe", re.I)
 
 # Fixed weights of the block scorer, in thousandths of log-odds.
 BIAS, AWAY, HOME, HEADING, PARAGRAPH, LINKED, NOTICE, PER_LOG2_WORDS, STOPS, LIST = -1500, -8000, 7000, 600, 700, -4000, -1500, 450, 500, -500
+# Weaker evidence, within the range of a block's edges: an article inside boilerplate, and a form around a page.
+DISPUTED, FORM = -2500, -2000
 # Capacities of the smoothness edges.
 ADJACENT, SAME_PARENT, SAME_SCOPE = 250, 450, 350
 
@@ -62,7 +74,31 @@ class Block:
     tag: str
     parent: int
     scope: int
-    mark: int  # 1 inside an article or the like, -1 inside boilerplate, 0 neither
+    mark: int  # 1 inside an article or the like, -1 inside boilerplate, 2 in an article inside boilerplate, -2 in a form, 0 none of these
+
+
+def mark_of(tag: str, names: str, mark: int) -> int:
+    """The mark of an element with these names inside one with ``mark``."""
+    away = False
+    if names and tag not in ("html", "body") and AWAY_NAMES.search(names):
+        away = bool(AWAY_NAMES.search(_LAYOUT.sub(" ", names)))
+    strong = tag in ("article", "main") or bool(names and STRONG_NAMES.search(names))
+    if strong and tag not in AWAY_TAGS:
+        if mark in (0, -2, -1):
+            against = away + (mark < 0)
+            return 1 if against == 0 else 2 if against == 1 or tag == "main" else -1
+        return -1 if away and tag != "main" else mark
+    if away:
+        # a name of its own for the main text, next to one of boilerplate: class="post tag-social"
+        own = mark == 0 and any(HOME_NAMES.search(n) and not AWAY_NAMES.search(n) for n in names.split())
+        return 2 if own and tag not in AWAY_TAGS else -1
+    if tag == "form":
+        return -2 if mark in (0, -2) else -1
+    if tag in AWAY_TAGS or tag == "header" and mark not in (1, 2):
+        return -1
+    if names and HOME_NAMES.search(names):
+        return 1 if mark == 0 else 0 if mark == -2 else mark
+    return mark
 
 
 class _Reader:
@@ -104,12 +140,7 @@ class _Reader:
             return
         mark = stack[-1][3]
         names = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)) if attributes else ""
-        if tag in AWAY_TAGS or names and AWAY_NAMES.search(names):
-            mark = -1
-        elif tag == "header" and mark != 1:
-            mark = -1
-        elif tag in ("article", "main") or names and HOME_NAMES.search(names):
-            mark = 1 if mark >= 0 else mark
+        mark = mark_of(tag, names, mark)
         self.count += 1
         stack.append((tag, self.count, self.count if tag in _SCOPE else stack[-1][2], mark))
 
@@ -149,14 +180,29 @@ def read(page: str) -> list[Block]:
     if at < len(page):
         r.say(page[at:])
     r.flush()
+    settle(r.blocks)
     return r.blocks
 
 
+def settle(blocks: list[Block]) -> None:
+    """Disputed text that outweighs all other text outside boilerplate is the page's article; a form that does is a plain wrapper."""
+    sizes = {0: 0, 1: 0, -1: 0, 2: 0, -2: 0}
+    for b in blocks:
+        sizes[b.mark] += len(b.text) - b.linked
+    for mark, instead in ((2, 1), (-2, 0)):
+        if 2 * sizes[mark] > sum(sizes.values()) - sizes[-1]:
+            for b in blocks:
+                b.mark = instead if b.mark == mark else b.mark
+
+
+_MARKS = {0: 0, 1: HOME, -1: AWAY, 2: DISPUTED, -2: FORM}
+
+
 def log_odds(b: Block) -> int:
     """The scorer: positive where the block looks like content."""
     words = b.text.count(" ") + 1
     z = BIAS + PER_LOG2_WORDS * min(7, words.bit_length()) + LINKED * b.linked // max(1, len(b.text))
-    z += HOME if b.mark > 0 else AWAY if b.mark < 0 else 0
+    z += _MARKS[b.mark]
     if b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
         z += HEADING
     elif b.tag in ("p", "blockquote", "pre", "figcaption"):

@@ -137,6 +137,20 @@ def test_page_text(spark):
         assert r.text == "\n\n".join(b for b in blocks if b)
 
 
+def test_page_text_in_wrappers():
+    p = "<p>" + "The committee met on Tuesday and agreed on a plan for the bridge over the river. " * 6 + "</p>"
+    text = html_extract.extract(f"<article>{p}</article>")
+    assert text.count("bridge") == 6
+    pages = (
+        "<body class='single-post has-sidebar'><article>%s</article></body>", "<div class='layout no-sidebar'><main>%s</main></div>", "<div class='page-with-header'><div>%s</div></div>",
+        "<form><div>%s</div></form>", "<form><article>%s</article></form>", "<div class='sidebar-page'><article>%s</article></div>", "<article class='post tag-social'>%s</article>",
+    )
+    for page in pages:
+        assert html_extract.extract(page % p) == text, page
+    card = "<div class=related><article><h3>Card</h3><p>A short teaser of another story that you may want to read. Enjoy it.</p></article></div>"
+    assert html_extract.extract(f"<main>{p}</main>{card}<section class=comments><article class=comment>{p}</article></section>") == text
+
+
 def test_repeated_bytes(spark, documents):
     r = random.Random(6)
     base = ["".join(r.choice("abcdé ") for _ in range(300)) for _ in range(4)]
