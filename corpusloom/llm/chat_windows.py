@@ -5,9 +5,10 @@ tokens (``TOKEN`` matches, at least 1 a turn).  Prefix sums of these counts cut
 the conversation into windows: a window takes new turns while its system turn,
 its history and its new turns stay within ``budget``; a turn that is longer than
 the budget has a window of its own, whole.  Each window after the first repeats
-the system turn and the last turns before it that fit ``history`` tokens; the
-repeated assistant turns carry no loss, so each assistant text is under the loss
-mask once, in order.
+the system turn and the last turns before it that fit ``history`` tokens, as far
+as the first new turn leaves room: the oldest history goes first, the system turn
+last.  The repeated assistant turns carry no loss, so each assistant text is under
+the loss mask once, in order.
 
 Template: ``<s>[INST] text [/INST]`` for a user, `` text</s>`` for an assistant,
 ``<<SYS>>text<</SYS>>`` for a system turn and ``<<ROLE name>>text<</ROLE>>`` for
@@ -111,6 +112,8 @@ class Packer:
     history: int = HISTORY
     system: Turn | None = None
     tail: list[Turn] = field(default_factory=list)
+    #: what the open window repeats: the system turn and the tail, or less where the first new turn needs the room
+    repeated: list[Turn] = field(default_factory=list)
     new: list[Turn] = field(default_factory=list)
     used: int = 0
 
@@ -119,15 +122,31 @@ class Packer:
         out = None
         if self.new and self.used + turn.tokens > self.budget:
             out = self.close()
+        if not self.new:
+            self.open(turn.tokens)
         self.new.append(turn)
         self.used += turn.tokens
         return out
 
+    def open(self, tokens: int) -> None:
+        """Choose what the window that begins with a turn of ``tokens`` repeats."""
+        room = self.budget - tokens
+        lead = [self.system] if self.system and self.system.tokens <= room else []
+        room -= sum(t.tokens for t in lead)
+        kept = []
+        for turn in reversed(self.tail):
+            if turn.tokens > room:
+                break
+            kept.append(turn)
+            room -= turn.tokens
+        self.repeated = lead + kept[::-1]
+        self.used = sum(t.tokens for t in self.repeated)
+
     def close(self) -> Window | None:
         """The window of the turns so far; what follows starts with the system turn and the history."""
         if not self.new:
             return None
-        repeated = ([self.system] if self.system else []) + self.tail
+        repeated = self.repeated
         text, loss = [], []
         at = 0
         for i, turn in enumerate(repeated + self.new):
@@ -140,14 +159,13 @@ class Packer:
         if self.system is None and self.new[0].role == "system":
             self.system = self.new[0]
         rest = [t for t in self.tail + self.new if t is not self.system]
-        kept, room = [], min(self.history, self.budget - (self.system.tokens if self.system else 0))
+        kept, room = [], self.history
         for turn in reversed(rest):
             if turn.tokens > room:
                 break
             kept.append(turn)
             room -= turn.tokens
         self.tail, self.new = kept[::-1], []
-        self.used = sum(t.tokens for t in self.tail) + (self.system.tokens if self.system else 0)
         return out
 
 

@@ -70,6 +70,16 @@ def test_chat_round_trip(rows, budget, history):
     assert all(w.tokens <= budget or w.turns - w.fresh == 1 for w in windows)
 
 
+def test_chat_budget():
+    words = lambda w, n: " ".join([w] * n)
+    turns = [("system", words("s", 40)), ("user", words("a", 300)), ("assistant", words("b", 100)), ("user", words("c", 20)), ("assistant", words("d", 450)), ("user", words("e", 490)), ("assistant", words("f", 600)), ("user", words("g", 60))]
+    p = chat_windows.Packer(512, 128)
+    windows = [w for w in [p.add(*t) for t in turns] + [p.close()] if w]
+    got = [(w.tokens, [text[0] for _, text in chat_windows.parsed(w.text)], w.fresh) for w in windows]
+    # history gives way to d, the system turn to e; f is alone; g has the system turn again
+    assert got == [(460, ["s", "a", "b", "c"], 0), (510, ["s", "c", "d"], 2), (490, ["e"], 0), (600, ["f"], 0), (100, ["s", "g"], 1)]
+
+
 def test_chat_query(spark):
     rows = [(r.conv_id, r.turn, r.role or "", r.text or "") for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()]
     rows += [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
