@@ -4,22 +4,25 @@ A text's shingles are its runs of ``SHINGLE`` words (``[^\\x20\\x09-\\x0D]+``);
 of fewer words has itself as its one shingle.  Two texts are linked if the
 Jaccard similarity of their shingle sets is at least ``THRESHOLD``.
 
-1. Equal texts become one; its smallest id stands for it.
+1. Equal texts become one; its smallest id stands for it.  Inside, a text goes by
+   its name, a 64-bit hash of its key, as unlike texts may share an id.
 2. Each text has ``TREES`` sequences of MinHash values.  In a tree, the texts in
    the order of their sequences form a prefix trie; the texts below a node share
    a prefix.  Matched prefixes are shortened from ``DEPTH`` values on, one at a
    time, until a pair at the threshold meets below a common node of some tree
    with probability ``RECALL`` (``prefix_length``).  At a node every text is tied to
-   the node's smallest id, so a node of m texts has m - 1 ties, not its pairs.
+   the node's smallest name, so a node of m texts has m - 1 ties, not its pairs.
 3. The ties' connected components hold every pair that meets in a tree.
 4. Components are verified exactly, all pairs of each, from shingle sets counted
    together; a large component is cut by hashed id into blocks of bounded size
    and each pair of blocks is one piece of work.  A piece gives a count of links
-   for each text and one edge to the smallest id of its linked group.
-5. A class is a connected component of the verified links.
+   for each text and one edge to the smallest name of its linked group.
+5. A class is a connected component of the verified links; its id is the smallest
+   id of its texts.
 
 Defined results: null and empty texts are equal texts without shingles and have
-no links; repeated rows are copies; rows with a null id are left out of ``join``
+no links; repeated rows are copies; unlike texts under one id are told apart by
+their keys, each with a row of its own; rows with a null id are left out of ``join``
 and stay in ``keep_first``; an empty table gives no rows; extra columns are
 ignored by ``join`` and kept by ``keep_first``.
 """
@@ -30,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, map_texts, mixed, steps, table, texts, word_hashes
@@ -84,6 +87,11 @@ def prefixes(sh: np.ndarray, trees: int, k: int, a: np.ndarray, b: np.ndarray) -
     return node.view(np.int64)
 
 
+def text_key() -> Column:
+    """The key that ``signed`` gives a text."""
+    return F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)
+
+
 def signed(docs: DataFrame, trees: int = TREES, recall: float = RECALL, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """``doc_id``, the text's key, its number of shingles, its trie nodes (none without shingles)."""
     k = prefix_length(trees, DEPTH, threshold, recall)
@@ -95,7 +103,7 @@ def signed(docs: DataFrame, trees: int = TREES, recall: float = RECALL, threshol
             out = {"tkey": [], "n": [], "nodes": []}
             for t in values:
                 sh = shingles(t, size)
-                out["tkey"].append(hashlib.blake2b(t.encode("utf-8"), digest_size=16).digest())
+                out["tkey"].append(hashlib.sha256(t.encode("utf-8")).digest()[:16])
                 out["n"].append(len(sh))
                 out["nodes"].append(prefixes(sh, trees, k, a, b).tolist() if len(sh) else None)
             return out
@@ -170,7 +178,7 @@ def links_of(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshol
     return linked.sum(axis=1), top
 
 
-_PIECES = "rep long, links long, top long, whole boolean"
+_PIECES = "name long, links long, top long, whole boolean"
 
 
 def _verify(threshold: float):
@@ -187,18 +195,18 @@ def _verify(threshold: float):
         def flush():
             cols = list(zip(*out))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["rep", "links", "top", "whole"])
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["name", "links", "top", "whole"])
 
         for batch in batches:
-            cols = [batch.column(n).to_pylist() for n in ("label", "i", "j", "rep", "block", "sh", "whole")]
-            for label, i, j, rep, block, sh, whole in zip(*cols):
+            cols = [batch.column(n).to_pylist() for n in ("label", "i", "j", "name", "block", "sh", "whole")]
+            for label, i, j, name, block, sh, whole in zip(*cols):
                 if key != (label, i, j):
                     if len(group) > 1:
                         done()
                     key, group = (label, i, j), []
                     if len(out) > 50_000:
                         yield flush()
-                group.append((rep, block, sh, whole))
+                group.append((name, block, sh, whole))
         if len(group) > 1:
             done()
         if out:
@@ -209,48 +217,57 @@ def _verify(threshold: float):
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, size: int = SHINGLE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``doc_id``, ``rep_id`` (smallest id with the same text), ``class_id``, ``n_links`` (other texts it is linked to)."""
+    return _classes(docs, threshold, trees, recall, size, block_texts, block_shingles).drop("tkey")
+
+
+def _classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, size: int = SHINGLE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``classes`` with the text's key; (``doc_id``, ``tkey``) is a row's identity."""
     rows = cut(signed(docs, trees, recall, threshold, size))
     # materialised, so that the join below has an exchange on both sides and a text with very many copies can be split over tasks
     reps = cut(rows.groupBy("tkey").agg(F.min("doc_id").alias("rep")))
-    named = cut(rows.select("doc_id", "tkey").join(reps, "tkey").select("doc_id", "rep"))
-    nodes = rows.join(named.where("doc_id = rep").select("doc_id").distinct(), "doc_id").where("nodes is not null").select(F.col("doc_id").alias("rep"), "n", "nodes")
-    spread = nodes.select("rep", F.explode("nodes").alias("node"))
-    shared = cut(spread.groupBy("node").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("node", "least"))  # as with ``reps``
-    ties = spread.join(shared, "node").where("rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    parts = cut(components(ties).withColumnRenamed("id", "rep").join(nodes.select("rep", "n").distinct(), "rep"))
+    named = cut(rows.select("doc_id", "tkey").join(reps, "tkey").select("doc_id", "tkey", "rep"))
+    firsts = named.where("doc_id = rep").select("doc_id", "tkey").distinct()
+    nodes = rows.where("nodes is not null").join(firsts, ["doc_id", "tkey"]).select(F.xxhash64("tkey").alias("name"), F.col("doc_id").alias("rep"), "tkey", "n", "nodes")
+    spread = nodes.select("name", F.explode("nodes").alias("node"))
+    shared = cut(spread.groupBy("node").agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least < most").select("node", "least"))  # as with ``reps``
+    ties = spread.join(shared, "node").where("name > least").select(F.col("name").alias("a"), F.col("least").alias("b"))
+    parts = cut(components(ties).withColumnRenamed("id", "name").join(nodes.select("name", "rep", "tkey", "n").distinct(), "name"))
     blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / block_texts), F.ceil(F.sum("n") / block_shingles)).cast("int")
     large = cut(parts.groupBy("label").agg(blocks.alias("blocks")).where("blocks > 1"))
     parts = parts.join(large, "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    parts = parts.select("rep", "label", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    parts = parts.select("name", "rep", "tkey", "label", "blocks", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int").alias("block"))
     sets = _sets(docs, parts, size)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pieces = sets.select("rep", "label", "block", (F.col("blocks") == 1).alias("whole"), "sh", other.alias("o"))
-    pieces = pieces.select("rep", "label", "block", "whole", "sh", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    pieces = pieces.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "rep")
+    pieces = sets.select("name", "label", "block", (F.col("blocks") == 1).alias("whole"), "sh", other.alias("o"))
+    pieces = pieces.select("name", "label", "block", "whole", "sh", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    pieces = pieces.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "name")
     found = cut(pieces.mapInArrow(_verify(threshold), _PIECES))
-    whole = found.where("whole").select("rep", F.col("top").alias("class_id"))
-    split = found.where("not whole and rep <> top").select(F.col("rep").alias("a"), F.col("top").alias("b"))
+    whole = found.where("whole").select("name", "top")
+    split = found.where("not whole and name <> top").select(F.col("name").alias("a"), F.col("top").alias("b"))
     tops = whole.union(components(split).select("id", "label")) if not split.isEmpty() else whole
-    linked = cut(found.groupBy("rep").agg(F.sum("links").alias("n_links")).where("n_links > 0").join(tops, "rep"))  # as with ``reps``
-    return named.join(linked, "rep", "left").select("doc_id", F.col("rep").alias("rep_id"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = found.groupBy("name").agg(F.sum("links").alias("n_links")).where("n_links > 0").join(tops, "name").join(parts.select("name", "rep", "tkey"), "name")
+    linked = cut(linked.select("tkey", "rep", "n_links", "top"))  # as with ``reps``
+    ids = cut(linked.groupBy("top").agg(F.min("rep").alias("class_id")))
+    linked = cut(linked.join(ids, "top").select("tkey", "class_id", "n_links"))
+    return named.join(linked, "tkey", "left").select("doc_id", "tkey", F.col("rep").alias("rep_id"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _sets(docs: DataFrame, parts: DataFrame, size: int) -> DataFrame:
     """Adds to the texts of the components their shingle sets, as sorted 64-bit numbers."""
-    rows = docs.select(F.col("doc_id").alias("rep"), "text").join(parts, "rep").dropDuplicates(["rep"])
+    rows = docs.select(F.col("doc_id").alias("rep"), text_key().alias("tkey"), "text").join(parts, ["rep", "tkey"]).dropDuplicates(["name"])
 
     def run(batches):
         for batch in steps(batches, "text"):
             sh = [np.unique(shingles(t, size)).tobytes() for t in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("rep", "label", "blocks", "block")), pa.array(sh, type=pa.binary())], names=["rep", "label", "blocks", "block", "sh"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("name", "label", "blocks", "block")), pa.array(sh, type=pa.binary())], names=["name", "label", "blocks", "block", "sh"])
 
-    return rows.select("rep", "label", "blocks", "block", "text").mapInArrow(run, "rep long, label long, blocks int, block int, sh binary")
+    return rows.select("name", "label", "blocks", "block", "text").mapInArrow(run, "name long, label long, blocks int, block int, sh binary")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
-    """The documents without those that have a smaller id in their class; one row an id."""
-    first = classes(docs, threshold).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The documents without those that have a smaller id in their class; one row for equal id and text."""
+    first = _classes(docs, threshold).where("doc_id = class_id").select("doc_id", F.col("tkey").alias("_text_key")).distinct()
+    kept = docs.where("doc_id is not null").withColumn("_text_key", text_key()).join(first, ["doc_id", "_text_key"], "left_semi").dropDuplicates(["doc_id", "_text_key"])
     return kept.select(docs.columns).union(docs.where("doc_id is null"))
 
 

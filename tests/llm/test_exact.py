@@ -237,6 +237,17 @@ def test_similar_group_in_blocks(spark):
     assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(["None", *(str(i) for i, (c, _) in want.items() if i == c)])
 
 
+def test_unlike_texts_under_one_id(spark):
+    words = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    one, near = words("d"), words("d", 41)
+    rows = [(1, words("a")), (5, words("b")), (5, words("a")), (5, words("c")), (5, words("c")), (6, words("e")), (6, one), (7, near), (4, words("f")), (8, words("f"))]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(5)
+    got = sorted((x.doc_id, x.rep_id, x.class_id, x.n_links) for x in ngram_join.classes(df).distinct().collect())
+    assert got == [(1, 1, 1, 0), (4, 4, 4, 0), (5, 1, 1, 0), (5, 5, 5, 0), (6, 6, 6, 0), (6, 6, 6, 1), (7, 7, 6, 1), (8, 4, 4, 0)]
+    kept = sorted((x.doc_id, x.text) for x in ngram_join.keep_first(df).collect())
+    assert kept == sorted([(1, words("a")), (4, words("f")), (5, words("b")), (5, words("c")), (6, words("e")), (6, one)])
+
+
 def test_mix(spark):
     rows = [(i, f"s{i % 3}" if i % 7 else None, "w " * (1 + i % 5), i) for i in range(300)] + [(900, "s0", None, 0), (901, "s0", "", 0), (902, "big", "x " * 500, 0), (5, "s2", "w", 9), (5, "s2", "w", 9)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, bin long")
