@@ -5,7 +5,9 @@ bigrams and character 3- and 5-grams of the whole text, hashed into ``BUCKETS``
 weights each; a text's value for a feature is its share of the text's n-grams of
 that kind.  It is trained by full-batch Adagrad on at most ``LABEL_BOUND`` rows of
 ``labels`` (those with the smallest hashed ids) of at most ``CHAR_BOUND``
-characters together; every fifth of them is held out to fit Platt's two
+characters together.  A labelled text that alone has over a hundredth of
+``CHAR_BOUND`` is left out of the training sample (not of the scoring), so that no
+few texts use up the sample; the others count in the sample's order.  Every fifth of them is held out to fit Platt's two
 calibration coefficients.  Scoring runs in Arrow batches.
 
 Defined results: null and empty texts have no words, fail the base rules and get
@@ -27,6 +29,8 @@ from .common import codes_of, hash_sample, map_texts, mixed, prefix_hashes, slic
 
 LABEL_BOUND = 2000
 CHAR_BOUND = 12_000_000
+#: A text of more than this share of the sample's characters doesn't train.
+TEXT_SHARE = 100
 BUCKETS = 1 << 17
 THRESHOLD = 0.5
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -168,7 +172,7 @@ def fitted(values: list[str], y: np.ndarray, rounds: int = 40, rate: float = 2.0
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND, char_bound: int = CHAR_BOUND) -> Model:
-    """A model from labelled rows (``doc_id``, ``quality``) and their whole texts, at most ``bound`` rows and ``char_bound`` characters."""
+    """A model from labelled rows (``doc_id``, ``quality``) and their whole texts, at most ``bound`` rows and ``char_bound`` characters, without texts over a ``TEXT_SHARE``-th of these."""
     chosen = hash_sample(labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", bound)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``bound`` ids and marks
     rows = rows.select("quality", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.lit(7), "doc_id").alias("h"), "doc_id")
@@ -182,11 +186,12 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND, char_bou
 
 
 def _bounded(rows: DataFrame, char_bound: int) -> list:
-    """The rows whose running total of characters, in the sample's order, stays within the bound."""
+    """The rows without over-long texts whose running total of characters, in the sample's order, stays within the bound."""
     from pyspark.sql import Window
 
     total = F.sum(F.length("text")).over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # over the bounded sample only
-    return rows.withColumn("total", total).where(F.col("total") <= char_bound).drop("total").collect()
+    short = rows.where(F.length("text") <= char_bound // TEXT_SHARE)  # before the running total, which a long text would end
+    return short.withColumn("total", total).where(F.col("total") <= char_bound).drop("total").collect()
 
 
 def judged(values: list[str], model: Model, threshold: float = THRESHOLD) -> dict[str, list]:

@@ -60,6 +60,18 @@ def test_quality_held_out(spark):
             assert abs(part.quality.mean() - part.probability.mean()) < 0.25
 
 
+def test_quality_with_over_long_texts(spark):
+    good, bad = "a calm line about the river and its old bridge ", "zzq buy buy $$$ now "
+    rows = [(i, (good if i % 2 else bad) * 4, i % 2) for i in range(60)]
+    long = [(100 + i, good * 1000, 1) for i in range(30)]  # 47,000 characters each, against a bound of 40,000
+    df = spark.createDataFrame(rows + long, "doc_id long, text string, quality int")
+    m = quality.learn(df.select("doc_id", "text"), df.select("doc_id", "quality"), char_bound=40_000)
+    assert m.weights
+    assert quality.judged([good * 8, bad * 8], m)["probability"][0] > 0.5 > quality.judged([bad * 8], m)["probability"][0]
+    same = quality.learn(df.where("doc_id < 100").select("doc_id", "text"), df.select("doc_id", "quality"), char_bound=40_000)
+    assert m.bias == same.bias and all((m.weights[k] == same.weights[k]).all() for k in m.weights)
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "word " * 60)], "doc_id long, text string")
     m = quality.learn(docs, spark.createDataFrame([], "doc_id long, quality int"))
