@@ -5,7 +5,8 @@ spans of kind ``crf`` that a linear-chain CRF tags as begin/inside.  Tokens are
 runs of ``[A-Za-z0-9+/_.-]`` with trailing ``=``.  A token that could not be a
 secret (no digit and under 20 characters, or under 8 characters) is held to
 ``O``; as a fixed label parts a chain, only the runs of candidate tokens between
-such tokens are decoded, which gives the labels of the whole chain.
+such tokens are decoded, which gives the labels of the whole chain.  Whatever
+separators stand between two candidates, they are neighbours unless a token does.
 
 Defined results: a null text is an empty text; empty texts have no spans; rows
 that repeat are scanned each on its own; extra columns of the input are ignored.
@@ -33,6 +34,8 @@ _NAMES = ("password", "passwd", "secret", "token", "api")
 
 #: A candidate: 8 characters with a digit, or 20 without.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.\-])(?:(?=[A-Za-z+/_.\-]*[0-9])[A-Za-z0-9+/_.\-]{8,}|[A-Za-z0-9+/_.\-]{20,})={0,2}")
+_TOKEN_CHAR = re.compile(r"[A-Za-z0-9+/_.\-]")
+_NEXT = re.compile(r"[^A-Za-z0-9_]{0,4}([A-Za-z_]+)?")
 _CONTEXT = re.compile(r"([A-Za-z_]+)?([^A-Za-z0-9_\s])?\s*([^A-Za-z0-9_\s])?$")
 KEY_WORDS = frozenset("password passwd pwd secret token key apikey api_key credential credentials auth bearer private access signature hmac".split())
 LABELS = ("O", "B", "I")
@@ -82,6 +85,7 @@ def token_features(text: str, start: int, end: int, of_file: tuple[str, ...]) ->
     left = _CONTEXT.search(text[max(0, start - 32) : start])
     word, mark = (left[1] or "").lower(), left[3] or left[2] or ""
     after = text[end : end + 1]
+    follows = (_NEXT.match(text, end)[1] or "").lower()
     kinds = (digits > 0) + (upper > 0) + (lower > 0)
     out = [
         "bias", f"len={min(n, 48) // 8}", f"kinds={kinds}", f"turns={min(7, 8 * turns // n)}", f"digits={4 * digits // n}",
@@ -89,6 +93,7 @@ def token_features(text: str, start: int, end: int, of_file: tuple[str, ...]) ->
         f"sep={sum(token.count(c) for c in '._-/') > 0}", f"pad={token.endswith('=')}", f"runs={2 * turns // max(1, kinds * kinds)}"[:7],
         f"mark={mark if mark in set('=:') else 'quote' if mark and mark in chr(34) + chr(39) + '`' else 'other' if mark else 'none'}", f"after={'quote' if after and after in chr(34) + chr(39) + '`' else 'space' if after.isspace() or not after else 'other'}",
         f"word={'key' if word in KEY_WORDS or word.endswith(('_key', '_token', '_secret')) else 'other' if word else 'none'}", f"repeat={len(set(token)) * 3 < n}",
+        f"next={'key' if follows in KEY_WORDS or follows.endswith(('_key', '_token', '_secret')) else 'other' if follows else 'none'}",
     ]
     return out + list(of_file)
 
@@ -225,12 +230,12 @@ def generated(lines: int = TRAIN_LINES, seed: int = 11) -> list[tuple[str, list[
 
 
 def candidate_runs(text: str) -> list[list[tuple[int, int]]]:
-    """Candidate tokens, those with only white space or one mark between them in one run."""
+    """Candidate tokens, those without another token between them in one run."""
     runs: list[list[tuple[int, int]]] = []
-    last = -9
+    last = 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if runs and a - last <= 1:
+        if runs and not _TOKEN_CHAR.search(text, last, a):
             runs[-1].append((a, b))
         else:
             runs.append([(a, b)])
@@ -259,7 +264,7 @@ def crf_spans(text: str, chain: Chain) -> list[tuple[str, int, int]]:
         return []
     of_file, out = file_features(text), []
     for run in runs:
-        rows = chain.rows([token_features(text, a, b, of_file) for a, b in run])
+        rows = [chain.rows([token_features(text, a, b, of_file)])[0] for a, b in run]  # by token, as a run can be long
         start = None
         for (a, b), label in zip(run, chain.viterbi(chain.scores(rows))):
             if label == 2 and start is not None:

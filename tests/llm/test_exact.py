@@ -57,6 +57,16 @@ def test_crf_finds_what_patterns_miss():
     assert secrets_crf.redact("a token=abcdef1 b", "assign:2:15,crf:8:15") == "a [SECRET] b"
 
 
+def test_crf_goes_on_over_separators():
+    for gap in (" ", ", ", ": ", "\n    "):
+        text = f"secret: Abc1Defg2Hij{gap}Klm3Nopq4Rst"
+        assert secrets_crf.candidate_runs(text) == [[(8, 20), (len(text) - 12, len(text))]]
+        assert secrets_crf.crf_spans(text, secrets_crf.trained()) == [("crf", 8, len(text))], gap
+    assert len(secrets_crf.candidate_runs("Abc1Defg2Hij, or Klm3Nopq4Rst")) == 2
+    text = "12345678 token"
+    assert "next=key" in secrets_crf.token_features(text, 0, 8, ())
+
+
 turns = st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "", "a>b[<"]), st.lists(st.sampled_from(["<", "[", "\\", "</s>", "[INST]", " ", "a b", "é", "\n", "<<SYS>>", ">", "]", "word " * 9]), max_size=8).map("".join)), min_size=1, max_size=14)
 
 
