@@ -74,9 +74,10 @@ STOP_WORDS = {"en": ("the", "of", "and", "is", "to"), "fr": ("le", "les", "des",
 
 
 @provider("language", "offline")
-def by_stop_words(text: Column) -> Column:
-    """The language with the most stop words among the first 500 characters; English if none has any."""
-    words = F.split(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 500)), r"(?U)\W+")
+def by_stop_words(text: Column, first: int | None = 500) -> Column:
+    """The language with the most stop words among the ``first`` characters (None: all); English if none has any."""
+    text = F.coalesce(text, F.lit(""))
+    words = F.split(F.lower(text if first is None else F.substring(text, 1, first)), r"(?U)\W+")
     score = lambda lang: F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS[lang])))
     best = F.greatest(*map(score, STOP_WORDS))
     out = F.lit("en")

@@ -166,6 +166,15 @@ def test_graph_quirks(spark):
     assert one(spark, "#c9a96e", graph.dimmed) == "#c9a96e33"
 
 
+def test_language_guess_reads_whole_texts(spark, tmp_path):
+    from corpusloom.catalogue import QUERIES
+
+    text = "the cat and the dog " * 30 + "le chat et les chiens des villes " * 100
+    spark.createDataFrame([(1, text, "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.guess for r in QUERIES["language_guess"](spark, str(tmp_path)).collect()] == ["fr"]
+    assert one(spark, text, get("language")) == "en"  # the provider's first 500 characters
+
+
 def test_language_guess(spark):
     for text, lang in (("the cat and the dog", "en"), ("le chat et les chiens", "fr"), ("der Hund und die Katze", "de"), ("", "en")):
         assert one(spark, text, get("language")) == lang
