@@ -1,4 +1,4 @@
-"""Similarity join on word shingles: an LSH forest of MinHash signatures, then exact verification.
+"""Similarity join on word shingles: fixed bands of MinHash values, then exact verification.
 
 A text's shingles are its runs of ``SHINGLE`` words (``[^\\x20\\x09-\\x0D]+``); a text
 of fewer words has itself as its one shingle.  Two texts are linked if the
@@ -6,13 +6,13 @@ Jaccard similarity of their shingle sets is at least ``THRESHOLD``.
 
 1. Equal texts become one; its smallest id stands for it.  Inside, a text goes by
    its name, a 64-bit hash of its key, as unlike texts may share an id.
-2. Each text has ``TREES`` sequences of MinHash values.  In a tree, the texts in
-   the order of their sequences form a prefix trie; the texts below a node share
-   a prefix.  Matched prefixes are shortened from ``DEPTH`` values on, one at a
-   time, until a pair at the threshold meets below a common node of some tree
-   with probability ``RECALL`` (``prefix_length``).  At a node every text is tied to
-   the node's smallest name, so a node of m texts has m - 1 ties, not its pairs.
-3. The ties' connected components hold every pair that meets in a tree.
+2. Each text has ``TREES`` bands of MinHash values, each hashed to one node; texts
+   with equal values of a band share its node.  A band has the most values, at
+   most ``DEPTH``, at which a pair at the threshold shares a node with probability
+   ``RECALL`` (``prefix_length``); this is fixed, not fitted to the data.  At
+   a node every text is tied to the node's smallest name, so a node of m texts has
+   m - 1 ties, not its pairs.
+3. The ties' connected components hold every pair that meets at a node.
 4. Components are verified exactly, all pairs of each, from shingle sets counted
    together; a large component is cut by hashed id into blocks of bounded size
    and each pair of blocks is one piece of work.  A piece gives a count of links
