@@ -1,4 +1,4 @@
-"""Similarity join on word shingles: fixed bands of MinHash values, then exact verification.
+"""Similarity join on word shingles: a MinHash LSH forest, then exact verification.
 
 A text's shingles are its runs of ``SHINGLE`` words (``[^\\x20\\x09-\\x0D]+``); a text
 of fewer words has itself as its one shingle.  Two texts are linked if the
@@ -6,25 +6,34 @@ Jaccard similarity of their shingle sets is at least ``THRESHOLD``.
 
 1. Equal texts become one; its smallest id stands for it.  Inside, a text goes by
    its name, a 64-bit hash of its key, as unlike texts may share an id.
-2. Each text has ``TREES`` bands of MinHash values, each hashed to one node; texts
-   with equal values of a band share its node.  A band has the most values, at
-   most ``DEPTH``, at which a pair at the threshold shares a node with probability
-   ``RECALL`` (``prefix_length``); this is fixed, not fitted to the data.  At
-   a node every text is tied to the node's smallest name, so a node of m texts has
-   m - 1 ties, not its pairs.
-3. The ties' connected components hold every pair that meets at a node.
-4. Components are verified exactly, all pairs of each, from shingle sets counted
-   together; a large component is cut by hashed id into blocks of bounded size
-   and each pair of blocks is one piece of work.  A piece gives a count of links
-   for each text and one edge to the smallest name of its linked group.
+2. A text has a label in each of ``TREES`` tries: ``DEPTH`` MinHash values of 16 bits.
+   Spark sorts the labels of each trie; in sorted order the texts below a node
+   stand together, and the common prefix of two neighbours is the depth of the
+   node that parts them.  One pass over the sorted labels thus gives the whole
+   forest as ties (neighbour, neighbour, common prefix), also across the bounds of partitions.
+3. The join begins with prefixes of ``DEPTH`` values.  Texts that share a node of that
+   depth in some trie are brought together through the connected components of
+   the ties, and their pairs are verified exactly.  The similarities of the links found tell
+   how many were missed: a pair of similarity s shares a node of depth d with
+   probability ``1 - (1 - s**d) ** TREES``, so each link found stands for one over
+   that many.  One link at the threshold is added to what was found, as what
+   nothing speaks of may still be there.  While the estimated recall is below ``RECALL``,
+   the prefix is shortened to the longest at which it would be met, and what
+   meets there for the first time is verified, down to ``least_depth``, at which a pair at
+   the threshold is missed less than once in ten million.
+4. A component too large for one task is cut by classes of set size (linked
+   sets differ by a factor of the threshold at most, so only neighbouring classes
+   meet) and by hashed name into blocks of bounded size; each pair of blocks is a piece of work.
+   A piece gives a count of links for each text and one edge to the smallest
+   name of its linked group.
 5. A class is a connected component of the verified links; its id is the smallest
    id of its texts.
 
 Defined results: null and empty texts are equal texts without shingles and have
 no links; repeated rows are copies; unlike texts under one id are told apart by
-their keys, each with a row of its own; rows with a null id are left out of ``join``
-and stay in ``keep_first``; an empty table gives no rows; extra columns are
-ignored by ``join`` and kept by ``keep_first``.
+their keys, each with a row of its own; rows with a null id are left out of ``classes``
+and stay in ``keep_first``; an empty table gives no rows; extra columns, whatever
+their names, are ignored by ``classes`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -33,6 +42,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +53,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 24
 DEPTH = 8
-RECALL = 0.99999
-#: A block of a component: texts and shingles at most (on average over hashed ids).
-BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 2_000_000
+#: Estimated share of links that the forest must have found before prefixes are no longer shortened.
+RECALL = 0.999999
+#: A block of a large component: texts and shingles at most (on average over hashed names).
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 400_000
+#: Bins of similarity, from the threshold to 1, in which links are counted.
+BINS = 20
 SEED = 20240601
 
 
@@ -62,29 +75,45 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def prefix_length(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix, shortened from ``depth``, at which a pair at the threshold meets with probability ``recall``."""
-    for k in range(depth, 1, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
-            return k
-    return 1
+def found_share(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The probability that a pair shares a node of ``depth`` in some trie."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def least_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH) -> int:
+    """The longest prefix at which a pair at the threshold is missed less than once in ten million; 1 if there is none."""
+    return next((d for d in range(depth, 1, -1) if 1 - found_share(threshold, d, trees) < 1e-7), 1)
+
+
+def estimated_recall(links: np.ndarray, depth: int, threshold: float = THRESHOLD, trees: int = TREES) -> float:
+    """The share of all links that were found at ``depth``, from the counts of those found by similarity bin and one more at the threshold."""
+    counts = np.concatenate([[1], links])
+    lows = np.concatenate([[threshold], threshold + (1 - threshold) * np.arange(len(links)) / len(links)])
+    return float(counts.sum() / sum(c / found_share(s, depth, trees) for c, s in zip(counts, lows)))
+
+
+def next_depth(links: np.ndarray, depth: int, least: int, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> int | None:
+    """The prefix to shorten to, None if ``depth`` meets the recall or can't be shortened."""
+    if depth <= least or estimated_recall(links, depth, threshold, trees) >= recall:
+        return None
+    return next((d for d in range(depth - 1, least, -1) if estimated_recall(links, d, threshold, trees) >= recall), least)
 
 
 def coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(SEED)
-    return r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, n, dtype=np.uint64)
+    return r.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 2**32, n, dtype=np.uint32)
 
 
-def prefixes(sh: np.ndarray, trees: int, k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One number for each tree: the trie node that the first ``k`` MinHash values lead to."""
-    low = np.full(trees * k, np.uint64(2**64 - 1))
+def labels_of(sh: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
+    """The MinHash values of a text, 16 bits each, big-endian, trie after trie."""
+    x = (sh ^ (sh >> np.uint64(32))).astype(np.uint32)
+    low = np.full(len(a), np.uint32(2**32 - 1))
     with np.errstate(over="ignore"):
-        for at in range(0, len(sh), 4096):
-            np.minimum(low, (a[:, None] * (sh[None, at : at + 4096] ^ b[:, None])).min(axis=1), out=low)
-        node = np.arange(trees, dtype=np.uint64) + np.uint64(1)
-        for j in range(k):
-            node = mixed(node * np.uint64(0x100000001B3) + low.reshape(trees, k)[:, j])
-    return node.view(np.int64)
+        for at in range(0, len(x), 512):
+            np.minimum(low, (a[:, None] * (x[None, at : at + 512] ^ b[:, None])).min(axis=1), out=low)
+        low = (low ^ (low >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        low = (low ^ (low >> np.uint32(12))) * np.uint32(0x297A2D39)
+    return (low >> np.uint32(16)).astype(">u2").tobytes()
 
 
 def text_key() -> Column:
@@ -92,25 +121,85 @@ def text_key() -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)
 
 
-def signed(docs: DataFrame, trees: int = TREES, recall: float = RECALL, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """``doc_id``, the text's key, its number of shingles, its trie nodes (none without shingles)."""
-    k = prefix_length(trees, DEPTH, threshold, recall)
+def signed(docs: DataFrame, trees: int = TREES, size: int = SHINGLE) -> DataFrame:
+    """``doc_id``, the text's key, its number of shingles, its labels (none without shingles)."""
 
     def make():
-        a, b = coefficients(trees * k)
+        a, b = coefficients(trees * DEPTH)
 
         def run(values):
-            out = {"tkey": [], "n": [], "nodes": []}
+            out = {"tkey": [], "n": [], "labels": []}
             for t in values:
                 sh = shingles(t, size)
                 out["tkey"].append(hashlib.sha256(t.encode("utf-8")).digest()[:16])
                 out["n"].append(len(sh))
-                out["nodes"].append(prefixes(sh, trees, k, a, b).tolist() if len(sh) else None)
+                out["labels"].append(labels_of(sh, a, b) if len(sh) else None)
             return out
 
         return run
 
-    return map_texts(docs.where("doc_id is not null"), "doc_id", "text", make, "tkey binary, n long, nodes array<long>")
+    return map_texts(docs.where("doc_id is not null"), "doc_id", "text", make, "tkey binary, n long, labels binary")
+
+
+# --- the forest -------------------------------------------------------------------
+
+_TIES = "a long, b long, depth int, part int, last boolean, tree int, label binary"
+
+
+def _neighbours(least: int):
+    """From sorted (tree, label, name): ties of neighbours whose common prefix has ``least`` values or more, and the first and the last row."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        edge = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, name = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            label = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u2").reshape(len(tree), DEPTH)
+            if edge is None:
+                yield _edge_row(part, False, tree[0], label[0], name[0])
+            else:
+                tree, name, label = np.concatenate([edge[0], tree]), np.concatenate([edge[2], name]), np.concatenate([edge[1], label])
+            same = np.cumprod(label[1:] == label[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
+            at = np.flatnonzero((same >= least) & (name[1:] != name[:-1]))
+            if len(at):
+                none = pa.nulls(len(at), pa.int32())
+                cols = [pa.array(name[at + 1]), pa.array(name[at]), pa.array(same[at], pa.int32()), none, pa.nulls(len(at), pa.bool_()), none, pa.nulls(len(at), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "depth", "part", "last", "tree", "label"])
+            edge = tree[-1:], label[-1:], name[-1:]
+        if edge is not None:
+            yield _edge_row(part, True, edge[0][0], edge[1][0], edge[2][0])
+
+    return run
+
+
+def _edge_row(part: int, last: bool, tree, label: np.ndarray, name) -> pa.RecordBatch:
+    row = {"a": int(name), "b": None, "depth": None, "part": part, "last": last, "tree": int(tree), "label": label.tobytes()}
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(row.values(), kinds)], names=list(row))
+
+
+def forest(labelled: DataFrame, trees: int = TREES, least: int = 1) -> DataFrame:
+    """(``name``, ``labels``) → ties (``a``, ``b``, ``depth``) of neighbours in the sorted tries with common prefixes of ``least`` values or more.
+
+    Labels are dealt to tasks by range of (trie, label, name), so a node with very many texts spreads over several.
+    What stands at a partition's two ends, two rows for each partition, is joined on the driver.
+    """
+    width = 2 * DEPTH
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    rows = labelled.select("name", "labels", tree).select("tree", F.expr(f"substring(labels, tree * {width} + 1, {width})").alias("label"), "name")
+    rows = rows.repartitionByRange("tree", "label", "name").sortWithinPartitions("tree", "label", "name")
+    found = cut(rows.mapInArrow(_neighbours(least), _TIES))
+    ends = sorted(found.where("part is not null").select("part", "last", "tree", "label", "a").collect(), key=lambda r: (r.part, r["last"]))
+    across = []
+    for x, y in zip(ends, ends[1:]):
+        if x.part != y.part and x.tree == y.tree and x.a != y.a:
+            same = next((k for k in range(DEPTH) if x.label[2 * k : 2 * k + 2] != y.label[2 * k : 2 * k + 2]), DEPTH)
+            if same >= least:
+                across.append((y.a, x.a, same))
+    ties = found.where("part is null").select("a", "b", "depth")
+    return ties.union(labelled.sparkSession.createDataFrame(across, "a long, b long, depth int")) if across else ties
 
 
 # --- exact verification ---------------------------------------------------------
@@ -136,12 +225,12 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     few = max(8, m // 10)
     for d in np.unique(seen[(seen > 1) & (seen <= few)]):
         at = first[seen == d]
-        for part in np.array_split(at, max(1, len(at) * int(d) ** 2 // 4_000_000 + 1)):
+        for part in np.array_split(at, len(at) * int(d) ** 2 // 1_000_000 + 1):
             rows = owner[part[:, None] + np.arange(d)]
             pairs = rows[:, :, None] * m + rows[:, None, :]
             out += np.bincount(pairs.ravel(), minlength=m * m).reshape(m, m) if pairs.size * 4 > m * m else _sparse(pairs.ravel(), m)
     many = np.flatnonzero(seen > few)
-    width = max(64, 16_000_000 // (4 * m))
+    width = max(64, 4_000_000 // m)
     for at in range(0, len(many), width):
         part = many[at : at + width]
         x = np.zeros((m, len(part)), dtype=np.float32)
@@ -159,15 +248,25 @@ def _sparse(pairs: np.ndarray, m: int) -> np.ndarray:
     return out.reshape(m, m)
 
 
-def links_of(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: float = THRESHOLD, across: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """For each text its links within the piece (``across``: only those between its two sides) and the smallest id of its linked group."""
-    sizes = np.array([len(s) for s in sets], dtype=np.float64)
+def links_of(ids: np.ndarray, sets: list[np.ndarray], apart: list[np.ndarray], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its links within the piece and the smallest id of its linked group; the links' counts by bin of similarity.
+
+    ``apart``: arrays in which only texts with different values are looked at.
+    """
+    sizes = np.array([len(s) for s in sets], dtype=np.float32)
     c = common_counts(sets)
-    linked = c * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
+    sums = sizes[:, None] + sizes[None, :]
+    linked = c * np.float32(1 + threshold) >= np.float32(threshold - 1e-5) * sums  # what is near the threshold is settled below
     np.fill_diagonal(linked, False)
-    if across:
-        linked &= side[:, None] != side[None, :]
+    for x in apart:
+        linked &= x[:, None] != x[None, :]
     i, j = np.nonzero(np.triu(linked))
+    both = c[i, j].astype(np.float64)
+    similar = both / (sizes[i].astype(np.float64) + sizes[j] - both)
+    exact = similar >= threshold - 1e-12
+    i, j, similar = i[exact], j[exact], similar[exact]
+    n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+    bins = np.bincount(np.clip(((similar - threshold) / (1 - threshold) * BINS + 1e-9).astype(np.int64), 0, BINS - 1), minlength=BINS)
     top = ids.copy()
     if len(i):
         nodes, low = roots(ids[i], ids[j])
@@ -175,10 +274,10 @@ def links_of(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshol
         at[at == len(nodes)] = 0
         hit = nodes[at] == ids
         top[hit] = low[at[hit]]
-    return linked.sum(axis=1), top
+    return n, top, bins
 
 
-_PIECES = "name long, links long, top long, whole boolean"
+_PIECES = "name long, links long, top long, bins array<long>"
 
 
 def _verify(threshold: float):
@@ -186,27 +285,27 @@ def _verify(threshold: float):
         key, group, out = None, [], []
 
         def done():
-            ids = np.array([g[0] for g in group], dtype=np.int64)
-            side = np.array([g[1] for g in group])
-            n, top = links_of(ids, side, [np.frombuffer(g[2], dtype=np.uint64) for g in group], threshold, key[1] != key[2])
-            whole = group[0][3]
-            out.extend(zip(ids.tolist(), n.tolist(), top.tolist(), [whole] * len(ids)))
+            ids, block, before = (np.array([g[k] for g in group], dtype=np.int64) for k in range(3))
+            n, top, bins = links_of(ids, [np.frombuffer(g[3], dtype=np.uint64) for g in group], [before] + [block] * (key[1] != key[2]), threshold)
+            at = np.flatnonzero(n)
+            out.extend((int(ids[k]), int(n[k]), int(top[k]), bins.tolist() if k == at[0] else None) for k in at)
 
         def flush():
-            cols = list(zip(*out))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            batch = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), kinds)], names=["name", "links", "top", "bins"])
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["name", "links", "top", "whole"])
+            return batch
 
         for batch in batches:
-            cols = [batch.column(n).to_pylist() for n in ("label", "i", "j", "name", "block", "sh", "whole")]
-            for label, i, j, name, block, sh, whole in zip(*cols):
+            cols = [batch.column(n).to_pylist() for n in ("label", "i", "j", "name", "block", "before", "sh")]
+            for label, i, j, name, block, before, sh in zip(*cols):
                 if key != (label, i, j):
                     if len(group) > 1:
                         done()
                     key, group = (label, i, j), []
-                    if len(out) > 50_000:
+                    if len(out) > 20_000:
                         yield flush()
-                group.append((name, block, sh, whole))
+                group.append((name, block, before, sh))
         if len(group) > 1:
             done()
         if out:
@@ -215,60 +314,94 @@ def _verify(threshold: float):
     return run
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, size: int = SHINGLE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """``doc_id``, ``rep_id`` (smallest id with the same text), ``class_id``, ``n_links`` (other texts it is linked to)."""
-    return _classes(docs, threshold, trees, recall, size, block_texts, block_shingles).drop("tkey")
+def _pieces(sets: DataFrame, parts: DataFrame, threshold: float, block_texts: int, block_shingles: int) -> DataFrame:
+    """(``name``, ``n``, ``label``, ``before``) of components, with their sets → pieces: ``label``, blocks ``i`` and ``j``, and the rows of both."""
+    rows = F.greatest(F.lit(1), F.ceil(F.count("*") / block_texts), F.ceil(F.sum("n") / block_shingles)).cast("long")
+    # linked sets are in the same class of size or the next
+    class_ = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(threshold))) + 1e-9).cast("long")
+    parts = parts.withColumn("class", class_)
+    large = parts.groupBy("label").agg(rows.alias("blocks")).where("blocks > 1").select("label")
+    large = parts.join(large, "label", "left_semi").groupBy("label", "class").agg(rows.alias("blocks"))
+    # some sixty classes a component at most
+    large = cut(large.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("blocks")))
+    parts = parts.join(large, "label", "left")
+    code = lambda class_, k: class_ * F.lit(2**32) + k
+    parts = parts.withColumn("block", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(code(F.col("class"), F.pmod(F.xxhash64("name"), F.col("blocks")[F.col("class")]))))
+    near = F.filter(F.sequence(F.col("class") - 1, F.col("class") + 1), lambda c: F.map_contains_key("blocks", c))
+    others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks")[c] - 1), lambda k: code(c, k))))
+    parts = parts.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)))
+    parts = parts.select("name", "label", "before", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return sets.join(parts, "name").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "name")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, size: int = SHINGLE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES, report: dict | None = None) -> DataFrame:
+    """``doc_id``, ``rep_id`` (smallest id with the same text), ``class_id``, ``n_links`` (other texts it is linked to).
+
+    ``report`` gets the prefixes used (``depths``), the links by similarity (``links``) and the estimated ``recall``.
+    """
+    return _classes(docs, threshold, trees, recall, size, block_texts, block_shingles, report).drop("tkey")
 
 
-def _classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, size: int = SHINGLE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def _classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, size: int = SHINGLE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES, report: dict | None = None) -> DataFrame:
     """``classes`` with the text's key; (``doc_id``, ``tkey``) is a row's identity."""
-    rows = cut(signed(docs, trees, recall, threshold, size))
+    rows = cut(signed(docs, trees, size))
     # materialised, so that the join below has an exchange on both sides and a text with very many copies can be split over tasks
-    reps = cut(rows.groupBy("tkey").agg(F.min("doc_id").alias("rep")))
-    named = cut(rows.select("doc_id", "tkey").join(reps, "tkey").select("doc_id", "tkey", "rep"))
-    firsts = named.where("doc_id = rep").select("doc_id", "tkey").distinct()
-    nodes = rows.where("nodes is not null").join(firsts, ["doc_id", "tkey"]).select(F.xxhash64("tkey").alias("name"), F.col("doc_id").alias("rep"), "tkey", "n", "nodes")
-    spread = nodes.select("name", F.explode("nodes").alias("node"))
-    shared = cut(spread.groupBy("node").agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least < most").select("node", "least"))  # as with ``reps``
-    ties = spread.join(shared, "node").where("name > least").select(F.col("name").alias("a"), F.col("least").alias("b"))
-    parts = cut(components(ties).withColumnRenamed("id", "name").join(nodes.select("name", "rep", "tkey", "n").distinct(), "name"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / block_texts), F.ceil(F.sum("n") / block_shingles)).cast("int")
-    large = cut(parts.groupBy("label").agg(blocks.alias("blocks")).where("blocks > 1"))
-    parts = parts.join(large, "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    parts = parts.select("name", "rep", "tkey", "label", "blocks", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int").alias("block"))
-    sets = _sets(docs, parts, size)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pieces = sets.select("name", "label", "block", (F.col("blocks") == 1).alias("whole"), "sh", other.alias("o"))
-    pieces = pieces.select("name", "label", "block", "whole", "sh", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    pieces = pieces.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "name")
-    found = cut(pieces.mapInArrow(_verify(threshold), _PIECES))
-    whole = found.where("whole").select("name", "top")
-    split = found.where("not whole and name <> top").select(F.col("name").alias("a"), F.col("top").alias("b"))
-    tops = whole.union(components(split).select("id", "label")) if not split.isEmpty() else whole
-    linked = found.groupBy("name").agg(F.sum("links").alias("n_links")).where("n_links > 0").join(tops, "name").join(parts.select("name", "rep", "tkey"), "name")
+    reps = cut(rows.groupBy("tkey").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "labels"), "doc_id").alias("of")))
+    texts_ = reps.where("of.labels is not null").select(F.xxhash64("tkey").alias("name"), "rep", "tkey", "of.n", "of.labels")
+    least = least_depth(threshold, trees)
+    ties = forest(texts_, trees, least)
+    met = ties.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    sets = cut(_sets(docs, texts_.select("name", "rep", "tkey", "n").join(met, "name", "left_semi"), size))
+    before, links, found, depths = None, np.zeros(BINS, dtype=np.int64), [], []
+    depth: int | None = DEPTH
+    while depth is not None:
+        depths.append(depth)
+        parts = components(ties.where(F.col("depth") >= depth).select("a", "b")).withColumnRenamed("id", "name")
+        if before is None:
+            now = parts.withColumn("before", F.col("name"))
+        else:
+            now = parts.join(before, "name", "left").withColumn("before", F.coalesce("before", "name"))
+            # components that are as they were at the longer prefix have nothing new to verify
+            grown = now.groupBy("label").agg((F.min("before") < F.max("before")).alias("grown")).where("grown").select("label")
+            now = now.join(grown, "label", "left_semi")
+        now = cut(now.join(sets.select("name", "n"), "name"))
+        links_now = cut(_pieces(sets.select("name", "sh"), now, threshold, block_texts, block_shingles).mapInArrow(_verify(threshold), _PIECES))
+        found.append(links_now.select("name", "links", "top"))
+        for k, c in links_now.where("bins is not null").select(F.posexplode("bins").alias("k", "c")).groupBy("k").agg(F.sum("c").alias("c")).collect():
+            links[k] += c
+        before = parts.withColumnRenamed("label", "before")
+        depth = next_depth(links, depth, least, threshold, trees, recall)
+    if report is not None:
+        report |= {"depths": depths, "links": links.tolist(), "recall": estimated_recall(links, depths[-1], threshold, trees)}
+    all_ = found[0]
+    for x in found[1:]:
+        all_ = all_.union(x)
+    tops = components(all_.where("name <> top").select(F.col("name").alias("a"), F.col("top").alias("b"))).select(F.col("id").alias("name"), F.col("label").alias("top"))
+    linked = all_.groupBy("name").agg(F.sum("links").alias("n_links")).join(tops, "name").join(texts_.select("name", "rep", "tkey"), "name")
     linked = cut(linked.select("tkey", "rep", "n_links", "top"))  # as with ``reps``
     ids = cut(linked.groupBy("top").agg(F.min("rep").alias("class_id")))
-    linked = cut(linked.join(ids, "top").select("tkey", "class_id", "n_links"))
-    return named.join(linked, "tkey", "left").select("doc_id", "tkey", F.col("rep").alias("rep_id"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of = cut(reps.select("tkey", "rep").join(linked.join(ids, "top").select("tkey", "class_id", "n_links"), "tkey", "left"))
+    return rows.select("doc_id", "tkey").join(of, "tkey").select("doc_id", "tkey", F.col("rep").alias("rep_id"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _sets(docs: DataFrame, parts: DataFrame, size: int) -> DataFrame:
-    """Adds to the texts of the components their shingle sets, as sorted 64-bit numbers."""
-    rows = docs.select(F.col("doc_id").alias("rep"), text_key().alias("tkey"), "text").join(parts, ["rep", "tkey"]).dropDuplicates(["name"])
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``name``, ``n`` and the shingle sets, as sorted 64-bit numbers, of the texts that met others in the forest."""
+    rows = docs.select(F.col("doc_id").alias("rep"), text_key().alias("tkey"), "text").join(wanted.select("name", "rep", "tkey"), ["rep", "tkey"]).dropDuplicates(["name"])
 
     def run(batches):
         for batch in steps(batches, "text"):
-            sh = [np.unique(shingles(t, size)).tobytes() for t in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("name", "label", "blocks", "block")), pa.array(sh, type=pa.binary())], names=["name", "label", "blocks", "block", "sh"])
+            sh = [np.unique(shingles(t, size)) for t in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array([len(x) for x in sh], pa.int64()), pa.array([x.tobytes() for x in sh], type=pa.binary())], names=["name", "n", "sh"])
 
-    return rows.select("name", "label", "blocks", "block", "text").mapInArrow(run, "name long, label long, blocks int, block int, sh binary")
+    return rows.select("name", "text").mapInArrow(run, "name long, n long, sh binary")
 
 
-def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
+def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without those that have a smaller id in their class; one row for equal id and text."""
-    first = _classes(docs, threshold).where("doc_id = class_id").select("doc_id", F.col("tkey").alias("_text_key")).distinct()
-    kept = docs.where("doc_id is not null").withColumn("_text_key", text_key()).join(first, ["doc_id", "_text_key"], "left_semi").dropDuplicates(["doc_id", "_text_key"])
-    return kept.select(docs.columns).union(docs.where("doc_id is null"))
+    first = _classes(docs, threshold).where("doc_id = class_id").select("doc_id", "tkey").distinct()
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    kept = docs.where("doc_id is not null").select("doc_id", text_key().alias("tkey"), row).join(first, ["doc_id", "tkey"], "left_semi").dropDuplicates(["doc_id", "tkey"])
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns)).union(docs.where("doc_id is null"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
