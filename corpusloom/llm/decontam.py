@@ -9,6 +9,10 @@ states on the suffix links.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z only.
 
+The automaton is kept in flat sorted arrays of numbers (about 80 bytes a word of
+an item), and so is a filter of hashed word grams: a stretch of a document without
+``gram`` words of an item at every ``stride``-th word can't hold a window and isn't streamed.
+
 The items are read to the driver in blocks of at most ``BLOCK_WORDS`` words; each
 block has an automaton of its own (at most two states a word) that is broadcast,
 and a task holds one of them at a time, so a larger benchmark takes more passes
@@ -24,14 +28,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import changed, map_texts, picked, steps, table, texts
+from .common import changed, map_texts, mixed, picked, steps, table, texts
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+#: Bounds an automaton to some 40 MB in a Python worker, and what the driver holds while it builds one.
+BLOCK_WORDS = 500_000
 #: ``clean`` drops a document when more than this share of its words is hit.
 MAX_COVERAGE = 0.5
 #: By byte of UTF-8: A-Z lower-cased, what is in no word a space.  Bytes from 0x80 belong to characters of words.
@@ -43,51 +50,15 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8").translate(_BYTES).split()
 
 
-class Automaton:
-    """A suffix automaton of several word sequences, with the items of each window."""
+class _Growing:
+    """The automaton while it is built: a dictionary of transitions a state."""
 
-    def __init__(self, items: Iterable[tuple[object, list[bytes]]], window: int = WINDOW) -> None:
-        self.window = window
-        self.next: list[dict[bytes, int]] = [{}]
+    def __init__(self) -> None:
+        self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        #: by state: items whose window of ``window`` words ends there; (words, item) of shorter items that end there
-        self.items: dict[int, set[int]] = {}
-        self.short: dict[int, list[tuple[int, int]]] = {}
-        self.names: list[object] = []
-        sequences = []
-        for name, words in items:
-            if not words:
-                continue
-            self.names.append(name)
-            sequences.append(words)
-            last = 0
-            for w in words:
-                last = self._extend(last, w)
-        for k, words in enumerate(sequences):
-            if len(words) < window:
-                state = 0
-                for w in words:
-                    state = self.next[state][w]
-                self.short.setdefault(state, []).append((len(words), k))
-            else:
-                for end_state in self._window_states(words):
-                    self.items.setdefault(end_state, set()).add(k)
-        # short windows seen from a state: its own and those up its suffix links
-        self.above: dict[int, list[tuple[int, int]]] = {}
-        if self.short:
-            for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-                got = self.above.get(self.link[s], []) + self.short.get(s, [])
-                if got:
-                    self.above[s] = got
-        # a stretch that holds a window holds, at some multiple of ``stride``, ``gram`` words of an item
-        least = min([window, *(len(words) for words in sequences)])
-        self.gram = min(4, least)
-        self.stride = least - self.gram + 1
-        self.least = least
-        self.grams = {tuple(words[i : i + self.gram]) for words in sequences for i in range(len(words) - self.gram + 1)}
 
-    def _extend(self, last: int, word: bytes) -> int:
+    def extend(self, last: int, word: int) -> int:
         nxt, link, length = self.next, self.link, self.length
         if word in nxt[last]:
             q = nxt[last][word]
@@ -104,13 +75,13 @@ class Automaton:
             link[cur] = q if length[q] == length[p] + 1 else self._clone(p, word, q)
         return cur
 
-    def _new(self, length: int, nxt: dict[bytes, int]) -> int:
+    def _new(self, length: int, nxt: dict[int, int]) -> int:
         self.next.append(nxt)
         self.link.append(0)
         self.length.append(length)
         return len(self.length) - 1
 
-    def _clone(self, p: int, word: bytes, q: int) -> int:
+    def _clone(self, p: int, word: int, q: int) -> int:
         c = self._new(self.length[p] + 1, dict(self.next[q]))
         self.link[c] = self.link[q]
         self.link[q] = c
@@ -119,64 +90,152 @@ class Automaton:
             p = self.link[p]
         return c
 
-    def _window_states(self, words: list[bytes]) -> Iterable[int]:
-        state = size = 0
-        for w in words:
-            state, size = self.next[state][w], size + 1
-            if size >= self.window:
-                while self.length[self.link[state]] >= self.window:
-                    state = self.link[state]
-                size = min(size, self.length[state])
-                yield state
 
-    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Hit word intervals (start, end) in order, merged, and the indices of the items found.
+def _lists(rows: dict[int, list], kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists by state as sorted states, where each one's entries begin, and all entries."""
+    keys = sorted(rows)
+    at = np.cumsum([0, *(len(rows[k]) for k in keys)])
+    return np.array(keys, np.int32), at.astype(np.int64), np.array([x for k in keys for x in rows[k]], kind)
+
+
+class Automaton:
+    """A suffix automaton of several word sequences in flat arrays, with the items of each window."""
 
-        Only stretches around an item's ``gram`` words at a multiple of ``stride`` can hold a window; the others are passed over.
-        """
-        gram, grams, least = self.gram, self.grams, self.least
+    def __init__(self, items: Iterable[tuple[object, list[bytes]]], window: int = WINDOW) -> None:
+        self.window = window
+        self.names: list[object] = []
+        #: numbers of the items' words, from 1; all other words are 0
+        self.words: dict[bytes, int] = {}
+        growing, sequences = _Growing(), []
+        for name, words in items:
+            if not words:
+                continue
+            self.names.append(name)
+            ids = [self.words.setdefault(w, len(self.words) + 1) for w in words]
+            sequences.append(np.array(ids, np.int32))
+            last = 0
+            for w in ids:
+                last = growing.extend(last, w)
+        edges = sum(map(len, growing.next))
+        key = np.fromiter((s << 32 | w for s, d in enumerate(growing.next) for w in d), np.int64, edges)
+        to = np.fromiter((t for d in growing.next for t in d.values()), np.int32, edges)
+        order = np.argsort(key)
+        self.key, self.to = key[order], to[order]
+        self.link, self.length = np.array(growing.link, np.int32), np.array(growing.length, np.int32)
+        del growing, key, to, order
+        step, link, length = self._stepper(), self.link.tolist(), self.length.tolist()
+        whole: dict[int, list[int]] = {}
+        short: dict[int, list[int]] = {}
+        for k, ids in enumerate(sequences):
+            state = size = 0
+            for w in ids.tolist():
+                state, size = step(state, w), size + 1
+                if size >= window:
+                    while length[link[state]] >= window:
+                        state = link[state]
+                    size = min(size, length[state])
+                    found = whole.setdefault(state, [])
+                    if not found or found[-1] != k:
+                        found.append(k)
+            if len(ids) < window:
+                short.setdefault(state, []).append(k)
+        #: by state: items whose window of ``window`` words ends there; shorter items that end there
+        self.items, self.short = _lists(whole, np.int32), _lists(short, np.int32)
+        self.sizes = np.array([len(x) for x in sequences], np.int32)
+        #: by state: the nearest state up its suffix links, itself included, where a shorter item ends
+        self.above = np.zeros(len(self.link) if short else 0, np.int32)
+        if short:
+            for s in np.argsort(self.length, kind="stable")[1:].tolist():
+                self.above[s] = s if s in short else self.above[link[s]]
+        # a stretch that holds a window holds, at some multiple of ``stride``, ``gram`` words of an item
+        self.least = min([window, *map(len, sequences)])
+        self.gram = min(4, self.least)
+        self.stride = self.least - self.gram + 1
+        self.grams = np.unique(np.concatenate([self._grams(x, np.arange(len(x) - self.gram + 1)) for x in sequences])) if sequences else np.zeros(0, np.uint64)
+
+    def _grams(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of the ``gram`` words at each place."""
+        out = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(self.gram):
+                out = mixed(out * np.uint64(0x100000001B3) + ids[at + k].astype(np.uint64))
+        return out
+
+    def _stepper(self):
+        """The transition of (state, word), -1 where there is none."""
+        key, to = memoryview(self.key), memoryview(self.to)
+        n = len(key)
+
+        def step(state: int, word: int) -> int:
+            x = state << 32 | word
+            at = bisect_left(key, x)
+            return to[at] if at < n and key[at] == x else -1
+
+        return step
+
+    @staticmethod
+    def _entries(lists: tuple[np.ndarray, np.ndarray, np.ndarray], state: int) -> list[int]:
+        keys, at, values = lists
+        k = int(np.searchsorted(keys, state))
+        return values[at[k] : at[k + 1]].tolist() if k < len(keys) and keys[k] == state else []
+
+    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+        """Hit word intervals (start, end) in order, merged, and the indices of the items found."""
         spans: list[list[int]] = []
         found: set[int] = set()
-        done = 0
-        starts = range(0, len(words) - gram + 1, self.stride)
-        near = [i for i, g in zip(starts, zip(*(words[k :: self.stride] for k in range(gram)))) if g in grams] if self.stride > gram else [i for i in starts if tuple(words[i : i + gram]) in grams]
-        k = 0
+        if len(words) < self.least or not self.names:
+            return [], found
+        get = self.words.get
+        ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+        at = np.arange(0, len(ids) - self.gram + 1, self.stride)
+        for k in range(self.gram):
+            at = at[ids[at + k] > 0]
+        if len(at):
+            h = self._grams(ids, at)
+            k = np.searchsorted(self.grams, h)
+            k[k == len(self.grams)] = 0
+            at = at[self.grams[k] == h]
+        done, near, k = 0, at.tolist(), 0
         while k < len(near):
-            a = max(done, near[k] + gram - least, 0)
-            b = near[k] + least
-            while k + 1 < len(near) and near[k + 1] + gram - least <= b:
+            a = max(done, near[k] + self.gram - self.least, 0)
+            b = near[k] + self.least
+            while k + 1 < len(near) and near[k + 1] + self.gram - self.least <= b:
                 k += 1
-                b = near[k] + least
-            self._stream(words, a, min(b, len(words)), spans, found)
+                b = near[k] + self.least
+            b = min(b, len(ids))
+            self._stream(ids[a:b].tolist(), a, spans, found)
             done = b
             k += 1
         return [(a, b) for a, b in spans], found
 
-    def _stream(self, words: list[bytes], begin: int, end: int, spans: list[list[int]], found: set[int]) -> None:
-        """Words ``begin`` to ``end`` through the automaton, with the longest matching length at each."""
-        nxt, link, length, above, window = self.next, self.link, self.length, self.above, self.window
+    def _stream(self, ids: list[int], begin: int, spans: list[list[int]], found: set[int]) -> None:
+        """The words from ``begin`` on through the automaton, with the longest matching length at each."""
+        step, link, length, window = self._stepper(), memoryview(self.link), memoryview(self.length), self.window
         state = size = 0
-        for i in range(begin, end):
-            w = words[i]
-            while state and w not in nxt[state]:
+        for i, w in enumerate(ids, begin):
+            to = step(state, w)
+            while to < 0 and state:
                 state = link[state]
                 size = length[state]
-            if w not in nxt[state]:
+                to = step(state, w)
+            if to < 0:
                 continue
-            state = nxt[state][w]
-            size += 1
+            state, size = to, size + 1
             if size >= window:
                 s = state
                 while length[link[s]] >= window:
                     s = link[s]
                 # a state's strings of ``window`` words end where those of its longest do
-                found |= self.items.get(s, frozenset())
+                found.update(self._entries(self.items, s))
                 self._add(spans, i + 1 - window, i + 1)
-            if above and state in above:
-                for n, k in above[state]:
+            s = int(self.above[state]) if len(self.above) else 0
+            while s:
+                for k in self._entries(self.short, s):
+                    n = int(self.sizes[k])
                     if n <= size:
                         found.add(k)
                         self._add(spans, i + 1 - n, i + 1)
+                s = int(self.above[link[s]])
 
     @staticmethod
     def _add(spans: list[list[int]], a: int, b: int) -> None:
@@ -216,6 +275,12 @@ def automata(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id"
     return out
 
 
+def _forget(b) -> None:
+    """In a worker: one block's automaton in memory at a time.  A broadcast keeps what it has loaded, and only loads again (from the executor's disk) without it."""
+    if getattr(b, "_path", None):
+        vars(b).pop("_value", None)
+
+
 def find(values: list[str], given: list) -> list[tuple[int, list[tuple[int, int]], list[object]]]:
     """For each text: its number of words, the hit intervals of words, the ids of the items found."""
     out = [(0, [], []) for _ in values]
@@ -226,8 +291,9 @@ def find(values: list[str], given: list) -> list[tuple[int, list[tuple[int, int]
             spans, found = a.match(words) if a else ([], ())
             names = [a.names[j] for j in found] if a else []
             out[i] = (len(words), merged(out[i][1] + spans) if out[i][1] else spans, out[i][2] + names)
-        if len(given) > 1 and getattr(b, "_path", None):
-            vars(b).pop("_value", None)  # one block's automaton in memory at a time; it is read again from the task's disk
+        if len(given) > 1:
+            del a
+            _forget(b)
     return out
 
 
