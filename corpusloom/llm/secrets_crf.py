@@ -3,10 +3,12 @@
 ``scan`` finds three kinds of pattern spans (assign, access, hex) and adds the
 spans of kind ``crf`` that a linear-chain CRF tags as begin/inside.  Tokens are
 runs of ``[A-Za-z0-9+/_.-]`` with trailing ``=``.  A token that could not be a
-secret (no digit and under 20 characters, or under 8 characters) is held to
-``O``; as a fixed label parts a chain, only the runs of candidate tokens between
-such tokens are decoded, which gives the labels of the whole chain.  Whatever
-separators stand between two candidates, they are neighbours unless a token does.
+secret (no digit and under 20 characters, or under 6 characters) is held to
+``O``, and so is what stands before the first and after the last token.  A fixed
+label parts a chain, so only the runs of candidate tokens between held ones are
+decoded, with the transitions from and to the held neighbours: the labels are
+those of the whole chain.  Whatever separators stand between two candidates,
+they are neighbours unless a token does.
 
 Defined results: a null text is an empty text; empty texts have no spans; rows
 that repeat are scanned each on its own; extra columns of the input are ignored.
@@ -32,8 +34,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that have 24 characters
 _NAMES = ("password", "passwd", "secret", "token", "api")
 
-#: A candidate: 8 characters with a digit, or 20 without.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.\-])(?:(?=[A-Za-z+/_.\-]*[0-9])[A-Za-z0-9+/_.\-]{8,}|[A-Za-z0-9+/_.\-]{20,})={0,2}")
+#: A candidate: 6 characters with a digit, or 20 without.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.\-])(?:(?=[A-Za-z+/_.\-]*[0-9])[A-Za-z0-9+/_.\-]{6,}|[A-Za-z0-9+/_.\-]{20,})={0,2}")
 _TOKEN_CHAR = re.compile(r"[A-Za-z0-9+/_.\-]")
 _NEXT = re.compile(r"[^A-Za-z0-9_]{0,4}([A-Za-z_]+)?")
 _CONTEXT = re.compile(r"([A-Za-z_]+)?([^A-Za-z0-9_\s])?\s*([^A-Za-z0-9_\s])?$")
@@ -120,19 +122,50 @@ class Chain:
         return np.array([self.emit[r].sum(axis=0) for r in rows])
 
     def viterbi(self, scores: np.ndarray) -> list[int]:
-        """The best labels; ties go to the label listed first.  I follows B or I only."""
-        best = scores[0] + np.array([0.0, -BEGIN_MARGIN, -1e9])
-        back = []
+        """The best labels between two held to O; ties go to the label listed first.  I follows B or I only."""
         move = self.move + np.array([[0, -BEGIN_MARGIN, -1e9], [0, -BEGIN_MARGIN, 0], [0, -BEGIN_MARGIN, 0]])
+        best = move[0] + scores[0]
+        back = []
         for s in scores[1:]:
             step = best[:, None] + move
             back.append(step.argmax(axis=0))
             best = step.max(axis=0) + s
-        path = [int(best.argmax())]
+        path = [int((best + move[:, 0]).argmax())]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
         return path[::-1]
 
+    def likelihood(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Chains of one length: the sum of their log-likelihoods, and its derivatives by the weights.
+
+        ``x``: features by chain, place and slot; ``y``: labels by chain and place.  O stands before and after each chain.
+        """
+        de, dm = np.zeros_like(self.emit), np.zeros((3, 3))
+        e = self.emit[x].sum(axis=2)
+        last = e.shape[1] - 1
+        alpha = [e[:, 0] + self.move[0]]
+        for t in range(1, last + 1):
+            alpha.append(np.logaddexp.reduce(alpha[-1][:, :, None] + self.move, axis=1) + e[:, t])
+        beta = [np.zeros_like(e[:, 0]) + self.move[:, 0]]
+        for t in range(last, 0, -1):
+            beta.append(np.logaddexp.reduce(self.move + (e[:, t] + beta[-1])[:, None, :], axis=2))
+        beta.reverse()
+        z = np.logaddexp.reduce(alpha[-1] + beta[-1], axis=1)
+        given = self.move[0, y[:, 0]] + self.move[y[:, -1], 0] + sum(np.take_along_axis(e[:, t], y[:, t, None], 1)[:, 0] for t in range(last + 1)) + sum(self.move[y[:, t - 1], y[:, t]] for t in range(1, last + 1))
+        for t in range(last + 1):
+            seen = np.exp(alpha[t] + beta[t] - z[:, None])
+            p = np.eye(3)[y[:, t]] - seen
+            np.add.at(de, x[:, t].ravel(), np.repeat(p, x.shape[2], axis=0))
+            if t:
+                both = np.exp(alpha[t - 1][:, :, None] + self.move + (e[:, t] + beta[t])[:, None, :] - z[:, None, None])
+                dm -= both.sum(axis=0)
+                np.add.at(dm, (y[:, t - 1], y[:, t]), 1.0)
+            else:
+                dm[0] += p.sum(axis=0)
+            if t == last:
+                dm[:, 0] += p.sum(axis=0)
+        return float((given - z).sum()), de, dm
+
     def fit(self, chains: list[tuple[list[list[str]], list[int]]], rounds: int = 60, rate: float = 0.5, l2: float = 1e-3) -> "Chain":
         """Full-batch Adagrad on the exact log-likelihood (forward and backward sums)."""
         data = [(self.rows(f, grow=True), y) for f, y in chains]
@@ -153,22 +186,8 @@ class Chain:
         for _ in range(rounds):
             de, dm = np.zeros_like(self.emit), np.zeros((3, 3))
             for x, y in packed:
-                e = self.emit[x].sum(axis=2)
-                alpha = [e[:, 0]]
-                for t in range(1, e.shape[1]):
-                    alpha.append(np.logaddexp.reduce(alpha[-1][:, :, None] + self.move, axis=1) + e[:, t])
-                beta = [np.zeros_like(e[:, 0])]
-                for t in range(e.shape[1] - 1, 0, -1):
-                    beta.append(np.logaddexp.reduce(self.move + (e[:, t] + beta[-1])[:, None, :], axis=2))
-                beta.reverse()
-                z = np.logaddexp.reduce(alpha[-1], axis=1)
-                for t in range(e.shape[1]):
-                    p = np.eye(3)[y[:, t]] - np.exp(alpha[t] + beta[t] - z[:, None])
-                    np.add.at(de, x[:, t].ravel(), np.repeat(p, width, axis=0))
-                    if t:
-                        both = np.exp(alpha[t - 1][:, :, None] + self.move + (e[:, t] + beta[t])[:, None, :] - z[:, None, None])
-                        dm -= both.sum(axis=0)
-                        np.add.at(dm, (y[:, t - 1], y[:, t]), 1.0)
+                _, e, m = self.likelihood(x, y)
+                de, dm = de + e, dm + m
             de, dm = de / total - l2 * self.emit, dm / total - l2 * self.move
             de[n] = 0
             ge, gm = ge + de**2, gm + dm**2
@@ -195,6 +214,8 @@ def generated(lines: int = TRAIN_LINES, seed: int = 11) -> list[tuple[str, list[
         lambda: "/".join(word() for _ in range(4)) + str(r.randint(0, 9)), lambda: f"{word()}.{r.randint(1, 99)}", lambda: word(8, 14), lambda: f"{word()}_{word()}_{r.randint(0, 99)}", lambda: "-".join(text(string.digits, 3, 4) for _ in range(3)), lambda: f"www.{word(2)}.example{r.randint(1, 9)}.com",
         lambda: "".join((word(1, 3), ".", word(1, 2), str(r.randint(1, 99)))), lambda: word().title() + word().title() + str(r.randint(1, 9)) + word(), lambda: "-" * r.randint(20, 40), lambda: text("01", 8, 20),
         lambda: r.choice((" ", ":", ",")).join(text(string.digits, 8, 12) for _ in range(r.randint(2, 4))),
+        lambda: f"{r.choice(('https', 'http'))}://{word()}.example.{r.choice(('com', 'org'))}/" + "/".join(r.choice((word(), str(r.randint(1, 31)), str(r.randint(1990, 2030)), f"{word()}-{r.randint(1, 99)}")) for _ in range(r.randint(1, 5))),
+        lambda: f"{r.choice(('commit', 'revision', 'build', 'hash'))} {text('0123456789abcdef', 7, 12)}", lambda: f"{word(2, 4)}/{word()}-{r.randint(1, 99)}.{r.choice(('html', 'pdf', 'tar', 'py'))}",
     )
     out = []
     for _ in range(lines):
@@ -216,7 +237,7 @@ def generated(lines: int = TRAIN_LINES, seed: int = 11) -> list[tuple[str, list[
             elif kind < 0.8:
                 quote = r.choice(('"', "'", ""))
                 put(r.choice(("password", "secret", "token", "api_key", "access", "auth", "private_key", word())) + r.choice((" = ", "=", ": ", ":")) + quote)
-                put(r.choice(secrets)(), secret=True)
+                put(text(string.ascii_lowercase, 3, 6) + text(string.digits, 1, 3) if r.random() < 0.15 else r.choice(secrets)(), secret=True)
                 put(quote + r.choice((" ", "; ", "\n")))
             elif kind < 0.9:
                 put(f"{word()} = ")
