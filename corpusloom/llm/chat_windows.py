@@ -10,6 +10,10 @@ as the first new turn leaves room: the oldest history goes first, the system tur
 last.  The repeated assistant turns carry no loss, so each assistant text is under
 the loss mask once, in order.
 
+Window bounds and history come from prefix sums of the turns' tokens: a span of
+turns is the difference of two sums, and the oldest turn that a history of so
+many tokens may begin with is found by bisection.
+
 Template: ``<s>[INST] text [/INST]`` for a user, `` text</s>`` for an assistant,
 ``<<SYS>>text<</SYS>>`` for a system turn and ``<<ROLE name>>text<</ROLE>>`` for
 any other role.  In texts and names ``\\``, ``<`` and ``[`` (in names ``>`` too) are preceded by
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -111,61 +116,58 @@ class Packer:
     budget: int = BUDGET
     history: int = HISTORY
     system: Turn | None = None
-    tail: list[Turn] = field(default_factory=list)
-    #: what the open window repeats: the system turn and the tail, or less where the first new turn needs the room
-    repeated: list[Turn] = field(default_factory=list)
-    new: list[Turn] = field(default_factory=list)
-    used: int = 0
+    #: the turns that the open window may repeat, then its new ones from ``fresh`` on; ``sums[k]``: tokens of the turns before the k-th
+    turns: list[Turn] = field(default_factory=list)
+    sums: list[int] = field(default_factory=lambda: [0])
+    fresh: int = 0
+    #: where the open window begins in ``turns``, and whether the system turn leads it
+    begin: int = 0
+    led: bool = False
 
     def add(self, role: str, text: str) -> Window | None:
         turn = Turn(role, text, max(1, sum(1 for _ in TOKEN.finditer(text))))
-        out = None
-        if self.new and self.used + turn.tokens > self.budget:
-            out = self.close()
-        if not self.new:
+        out = self.close() if self.fresh < len(self.turns) and self.used() + turn.tokens > self.budget else None
+        if self.fresh == len(self.turns):
             self.open(turn.tokens)
-        self.new.append(turn)
-        self.used += turn.tokens
+        self.turns.append(turn)
+        self.sums.append(self.sums[-1] + turn.tokens)
         return out
 
+    def used(self) -> int:
+        return self.sums[-1] - self.sums[self.begin] + (self.system.tokens if self.led else 0)
+
     def open(self, tokens: int) -> None:
-        """Choose what the window that begins with a turn of ``tokens`` repeats."""
+        """Choose what the window that begins with a turn of ``tokens`` repeats: the system turn, and the longest run of last turns that leaves room."""
         room = self.budget - tokens
-        lead = [self.system] if self.system and self.system.tokens <= room else []
-        room -= sum(t.tokens for t in lead)
-        kept = []
-        for turn in reversed(self.tail):
-            if turn.tokens > room:
-                break
-            kept.append(turn)
-            room -= turn.tokens
-        self.repeated = lead + kept[::-1]
-        self.used = sum(t.tokens for t in self.repeated)
+        self.led = self.system is not None and self.system.tokens <= room
+        room -= self.system.tokens if self.led else 0
+        self.begin = bisect_left(self.sums, self.sums[-1] - max(0, room))
 
     def close(self) -> Window | None:
-        """The window of the turns so far; what follows starts with the system turn and the history."""
-        if not self.new:
+        """The window of the turns so far; the last of them stay as history."""
+        if self.fresh == len(self.turns):
             return None
-        repeated = self.repeated
+        repeated = ([self.system] if self.led else []) + self.turns[self.begin : self.fresh]
+        new = self.turns[self.fresh :]
         text, loss = [], []
         at = 0
-        for i, turn in enumerate(repeated + self.new):
+        for i, turn in enumerate(repeated + new):
             opening, body, closing = rendered(turn.role, turn.text)
             text += [opening, body, closing]
             if turn.role == "assistant" and i >= len(repeated):
                 loss.append((at + len(opening), at + len(opening) + len(body)))
             at += len(opening) + len(body) + len(closing)
-        out = Window("".join(text), loss, len(repeated), self.used, len(repeated) + len(self.new))
-        if self.system is None and self.new[0].role == "system":
-            self.system = self.new[0]
-        rest = [t for t in self.tail + self.new if t is not self.system]
-        kept, room = [], self.history
-        for turn in reversed(rest):
-            if turn.tokens > room:
-                break
-            kept.append(turn)
-            room -= turn.tokens
-        self.tail, self.new = kept[::-1], []
+        out = Window("".join(text), loss, len(repeated), self.used(), len(repeated) + len(new))
+        if self.system is None and new[0].role == "system":
+            self.system = new[0]
+            del self.turns[self.fresh]
+            self.sums = [0]
+            for turn in self.turns:
+                self.sums.append(self.sums[-1] + turn.tokens)
+        keep = bisect_left(self.sums, self.sums[-1] - self.history)
+        self.turns, first = self.turns[keep:], self.sums[keep]
+        self.sums = [x - first for x in self.sums[keep:]]
+        self.fresh = len(self.turns)
         return out
 
 
