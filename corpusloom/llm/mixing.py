@@ -17,8 +17,9 @@ within their bin, so a source with a third of all rows is spread over many tasks
 
 Defined results: a null or empty text has size 0 and is taken 0 times; null
 sources are one source, the last; repeated rows (and ids) are documents of their
-own; equal keys go by id, then size; an empty table gives no rows; ``mix`` keeps
-extra columns and puts its own under a prefix.
+own; equal keys go by id, then size, then what else the row holds; an empty table
+gives no rows; ``mix`` keeps extra columns and puts its own under a prefix that no
+column of the input has.
 """
 
 from __future__ import annotations
@@ -72,17 +73,21 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 
 def plan(docs: DataFrame, weight: Column | None = None, carried: list[str] | None = None) -> DataFrame:
-    """Each document with ``size``, ``source_size``, ``target`` and ``copies`` (how many times the mix takes it)."""
+    """Each document with ``size``, ``source_size``, ``target`` and ``copies`` (how many times the mix takes it).
+
+    ``carried`` columns stay; those without maps also settle ties that size leaves.
+    """
     rows = cut(_sized(docs, weight, carried or []))  # narrow rows, read twice below
     bins = rows.groupBy("skey", "bin").agg(F.sum("size").alias("bin_size"), F.first("source").alias("source"))
     sources = bins.groupBy("skey").agg(F.sum("bin_size").alias("source_size"), F.first("source").alias("source"))
     before = F.coalesce(F.sum("bin_size").over(Window.partitionBy("skey").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = bins.select("skey", "bin", before.alias("bin_before")).join(targets(sources).drop("source"), "skey")
-    in_bin = Window.partitionBy("skey", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    settles = [F.xxhash64(*held)] if (held := [c for c in carried or [] if "map<" not in rows.schema[c].dataType.simpleString()]) else []
+    in_bin = Window.partitionBy("skey", "bin").orderBy("key", "doc_id", "size", *settles).rowsBetween(Window.unboundedPreceding, 0)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     out = rows.join(offsets, ["skey", "bin"]).withColumn("end", F.col("bin_before") + F.sum("size").over(in_bin)).withColumn("epochs", epochs)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    copies = F.col("epochs") + F.when((F.col("size") > 0) & (F.col("end") - F.col("size") / 2.0 <= rest), 1).otherwise(0)
+    copies = F.when(F.col("size") > 0, F.col("epochs") + F.when(F.col("end") - F.col("size") / 2.0 <= rest, 1).otherwise(0)).otherwise(0)
     return out.withColumn("copies", copies.cast("int"))
 
 
@@ -92,12 +97,15 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, weight: Column | None = None, prefix: str = "mix_") -> DataFrame:
-    """The mixed corpus: every column of a document, as many rows as the mix takes it, and ``mix_copy`` (0, 1, ...)."""
+    """The mixed corpus: every column of a document, as many rows as the mix takes it, and ``mix_copy`` (0, 1, ...; the prefix is repeated while a column has that name)."""
     names = docs.columns
+    copy = f"{prefix}copy"
+    while copy.lower() in {n.lower() for n in names}:
+        copy = prefix + copy
     packed = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))
     taken = plan(packed, weight, ["row"]).where("copies > 0")
     out = taken.select("row", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    return out.select(*(F.col("row")[n].alias(n) for n in names), F.col("copy").alias(f"{prefix}copy"))
+    return out.select(*(F.col("row")[n].alias(n) for n in names), F.col("copy").alias(copy))
 
 
 #: DuckDB SQL for ``op10``.
