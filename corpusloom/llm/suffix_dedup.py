@@ -1,4 +1,4 @@
-"""Removal of byte strings of ``LENGTH`` that an earlier document has, by names of growing strings at sampled positions.
+"""Removal of byte strings of ``LENGTH`` that an earlier document has, by anchored fingerprints of growing strings.
 
 Prefix doubling over all byte positions shuffles every position in every round.
 Here the rounds run over anchors: a position is an anchor if its ``GRAM`` bytes
@@ -241,7 +241,7 @@ def _buckets(spark: SparkSession) -> int:
 
 
 #: Names that a task gathers before it packs them.
-GATHERED = 1_000_000
+GATHERED = 500_000
 
 
 #: Contexts of one name in a gathering beyond which the task settles them itself.
