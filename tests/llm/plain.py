@@ -108,3 +108,37 @@ def leaks(docs, items, window=10):
                     found |= grams[g]
         out[d] = (len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit))
     return out
+
+
+def toxic_score(text, weights, exceptions, curve):
+    """The toxicity score by looking for each entry at each place of the text, folded one character at a time."""
+    import math
+    import unicodedata
+
+    from corpusloom.llm.toxicity import HOMOGLYPHS, SUBSTITUTES
+
+    looks = dict(zip(HOMOGLYPHS[::2], HOMOGLYPHS[1::2])) | dict(zip(SUBSTITUTES[::2], SUBSTITUTES[1::2]))
+
+    def fold(c):
+        if c in looks:
+            return looks[c]
+        if unicodedata.category(c) in ("Mn", "Cf") and ord(c) < 0x10000:
+            return ""
+        base = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))
+        if base in looks and ord(c) < 0x2500:
+            return looks[base]
+        if base and all("a" <= x <= "z" for x in base):
+            return base
+        return c.lower() if c.isalpha() else " "
+
+    words = [w.rstrip("!|").lstrip("|") for w in text.split()]
+    line = " " + " ".join("".join(fold(c) for c in " ".join(words)).split()) + " "
+    spared = {p for e in exceptions for at in range(len(line)) if line.startswith(e, at) for p in range(at, at + len(e))}
+    total = 0.0
+    for at in range(len(line) if len(line) > 2 else 0):
+        here = [w for e, w in weights.items() if line.startswith(e, at)]
+        if here and at not in spared:
+            total += max(here)
+    n = line.count(" ") - 1 if len(line) > 2 else 0
+    z = curve[0] + curve[1] * math.log1p(total) + curve[2] * math.log1p(100 * total / max(20, n))
+    return 1 / (1 + math.exp(-z))

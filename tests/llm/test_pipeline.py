@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline as P
-from corpusloom.llm import mixing, secrets_crf, toxicity
+from corpusloom.llm import decontam, mixing, secrets_crf, toxicity
 from corpusloom.llm.common import reread
 
 from ..oracle import DATA
@@ -72,3 +72,28 @@ def test_mixing(stages):
 
 def test_run(spark, stages):
     assert sorted(map(str, P.run(spark, DATA).collect())) == sorted(map(str, stages["mixing"].collect()))
+
+
+def test_odd_inputs(spark, tmp_path):
+    """Nulls, empty and repeated rows, unlike texts under one id, a very long text, clashing columns, and an empty table."""
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, words("a", 60)), (1, words("b", 60)), (2, words("a", 60)), (3, None), (4, ""), (None, words("c", 60)), (5, words("d", 60)), (5, words("d", 60)), (6, words("e", 30_000))]
+    docs = spark.createDataFrame([(i, t, "en", None if i == 5 else "web", len(t or ""), 7, 8, f"note {i}") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, mix_copy int, tkey int, label string")
+    for kind, df in (("some", docs), ("none", docs.limit(0))):
+        folder = f"{tmp_path}/{kind}"
+        df.write.parquet(f"{folder}/documents.parquet")
+        for t in ("benchmark", "labels"):
+            spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+        out = P.run(spark, folder)
+        assert out.columns == [*docs.columns, "mix_mix_copy"]
+        if kind == "none":
+            assert not out.collect()
+            continue
+        stage = df
+        for name, f in P.STAGES[:-1]:
+            stage = reread(f(spark, stage, folder), name)
+        kept = sorted((x.doc_id or 0, x.text or "") for x in stage.collect())
+        assert kept == sorted([(1, words("a", 60)), (1, words("b", 60)), (3, ""), (0, words("c", 60)), (5, words("d", 60)), (6, words("e", 30_000))])
+        assert {(x.doc_id or 0, x.text) for x in out.collect()} <= set(kept) and all(x.mix_copy == 7 and x.tkey == 8 for x in out.collect())
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.clean(docs, empty).count() == docs.count()
