@@ -7,7 +7,14 @@ the texts, ``mixing`` takes documents up to each source's target, as often as th
 mix holds them (the added column ``mix_copy`` numbers the copies).
 
 Every stage keeps the columns of its input, works on all rows of it, and leaves
-clean documents as they are.  Empty inputs give empty outputs.
+clean documents as they are.
+
+Defined results: null and empty texts are kept by all stages but ``ngram_join``,
+which leaves one of them, and ``mixing``, which takes texts without words 0 times;
+documents with a null id pass ``ngram_join`` as they are; rows equal in id and
+text become one there, unlike texts under one id stay apart; very long texts are
+read whole; ties in ``mixing`` go by the row's content; empty tables give empty
+outputs; extra columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontam, mixing, ngram_join, secrets_crf, toxicity
-from corpusloom.llm.common import reread, table
+from corpusloom.llm.common import removed, table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = reread(stage(spark, docs, sf_dir), name)
+        docs, folder = written(stage(spark, docs, sf_dir), name)
+        if before:
+            removed(spark, before)  # nothing reads the stage before any more
+        before = folder
     return docs
