@@ -316,14 +316,13 @@ def _verify(threshold: float):
 
 def _pieces(sets: DataFrame, parts: DataFrame, threshold: float, block_texts: int, block_shingles: int) -> DataFrame:
     """(``name``, ``n``, ``label``, ``before``) of components, with their sets → pieces: ``label``, blocks ``i`` and ``j``, and the rows of both."""
-    rows = F.greatest(F.lit(1), F.ceil(F.count("*") / block_texts), F.ceil(F.sum("n") / block_shingles)).cast("long")
+    blocks = lambda m, n: F.greatest(F.lit(1), F.ceil(m / block_texts), F.ceil(n / block_shingles)).cast("long")
     # linked sets are in the same class of size or the next
-    class_ = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(threshold))) + 1e-9).cast("long")
-    parts = parts.withColumn("class", class_)
-    large = parts.groupBy("label").agg(rows.alias("blocks")).where("blocks > 1").select("label")
-    large = parts.join(large, "label", "left_semi").groupBy("label", "class").agg(rows.alias("blocks"))
-    # some sixty classes a component at most
-    large = cut(large.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("blocks")))
+    parts = parts.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(threshold))) + 1e-9).cast("long"))
+    sizes = parts.groupBy("label", "class").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    # some sixty classes a component at most; only counts are dealt by component, never its rows
+    large = sizes.groupBy("label").agg(blocks(F.sum("m"), F.sum("n")).alias("all"), F.map_from_entries(F.collect_list(F.struct("class", blocks(F.col("m"), F.col("n"))))).alias("blocks"))
+    large = cut(large.where("all > 1").select("label", "blocks"))
     parts = parts.join(large, "label", "left")
     code = lambda class_, k: class_ * F.lit(2**32) + k
     parts = parts.withColumn("block", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(code(F.col("class"), F.pmod(F.xxhash64("name"), F.col("blocks")[F.col("class")]))))
