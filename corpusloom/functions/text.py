@@ -73,26 +73,24 @@ def token_count(c: Column) -> Column:
     return F.floor(words * 4 / 3).cast("int")
 
 
+# The ends of paragraphs, and of what may be a sentence.
+PARAGRAPH = r"\n{2,}"
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-ZÀ-ɏ\d\"‘“])"
+_MARK = "\uffff"  # no character, so in no text
+
+
 def sentences(c: Column) -> Column:
     """The sentences of a text, in order.
 
     Paragraphs are split after ``.``, ``!`` or ``?`` before a capital letter, digit
-    or opening quote; a part that follows an abbreviation or a single capital
-    letter is joined to the one before, across paragraphs too.
+    or opening quote; a piece that follows an abbreviation or a single capital
+    letter is joined to the one before, across paragraphs too.  Breaks are marked,
+    and those after abbreviations taken back, each in one pass over the text.
     """
-    paragraphs = F.split(strip(c), "\n{2,}")
-    parts = F.flatten(F.transform(paragraphs, lambda p: F.transform(F.split(strip(p), "(?U)(?<=[.!?])\\s+(?=[A-ZÀ-ɏ\\d\"‘“])"), strip)))
-    ends = r"(?U)\b(?:" + "|".join((*ABBREVIATIONS, "[A-Z]")) + ")$"
-
-    def step(done: Column, part: Column) -> Column:
-        last = F.element_at(done, -1)
-        tail = F.regexp_replace(F.regexp_replace(last, r"(?U)\s+$", ""), r"\.+$", "")
-        joins = (F.size(done) > 0) & F.regexp_like(tail, F.lit(ends))
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, F.lit(" "), part)))
-        return F.when(joins, joined).when(part != "", F.concat(done, F.array(part))).otherwise(done)
-
-    empty = F.array().cast("array<string>")
-    return F.aggregate(parts, empty, lambda done, part: F.when(F.size(done) == 0, F.when(part != "", F.array(part)).otherwise(done)).otherwise(step(done, part)))
+    pieces = F.filter(F.transform(F.split(c, f"(?U){PARAGRAPH}|{SENTENCE_END}"), strip), lambda p: p != "")
+    open_ = r"(?U)(\b(?:" + "|".join((*ABBREVIATIONS, "[A-Z]")) + rf")\n?\.*){_MARK}"
+    joined = F.regexp_replace(F.array_join(pieces, _MARK), open_, "$1 ")
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, _MARK))
 
 
 def tex(c: Column) -> Column:

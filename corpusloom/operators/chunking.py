@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import ABBREVIATIONS, MIN_CHUNK_CHARS
+from corpusloom.functions.text import ABBREVIATIONS, MIN_CHUNK_CHARS, PARAGRAPH, SENTENCE_END
 
 PARENT_TOKENS, CHILD_TOKENS, OVERLAP_TOKENS = 1024, 256, 32
 CHUNKS = "id string, source_file_id string, passage_index int, level string, parent_id string, text string, language_detected string, page_number int, token_count int"
 
-_BREAK = re.compile(r"\n{2,}")
-_END = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-ɏ\d\"‘“])")
-_OPEN = re.compile(r"\b(?:" + "|".join((*ABBREVIATIONS, "[A-Z]")) + r")$")
+# Where a text may break, and what a break that closes no sentence follows.
+_BREAKS = re.compile(f"{PARAGRAPH}|{SENTENCE_END}")
+_OPEN = re.compile(r"\b(?:" + "|".join((*ABBREVIATIONS, "[A-Z]")) + r")\n?\.*$")
 
 
 def tokens(text: str) -> int:
@@ -30,13 +30,14 @@ def tokens(text: str) -> int:
 
 def sentences(text: str) -> list[str]:
     """As ``functions.text.sentences``."""
-    out: list[str] = []
-    for part in (x.strip() for block in _BREAK.split(text.strip()) for x in _END.split(block.strip())):
-        if out and _OPEN.search(out[-1].rstrip().rstrip(".")):
-            out[-1] += " " + part
-        elif part:
-            out.append(part)
-    return out
+    closed: list[str] = []
+    begun: list[str] = []
+    for piece in filter(None, map(str.strip, _BREAKS.split(text))):
+        begun.append(piece)
+        if not _OPEN.search(piece):
+            closed.append(" ".join(begun))
+            begun = []
+    return closed + [" ".join(begun)] if begun else closed
 
 
 def packed(items: Iterable[tuple[object, str]], limit: int, keep) -> Iterator[list[tuple[object, str]]]:
