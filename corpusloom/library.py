@@ -30,7 +30,16 @@ class Library:
 
     # --- tables ---
 
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _files(self):
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def table(self, name: str, schema: str) -> DataFrame:
+        if not self._files().exists(self._path(name)):
+            # a swap that ended half-way: the old table stands aside
+            name = f"{name}.old" if self._files().exists(self._path(f"{name}.old")) else name
         try:
             return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
         except AnalysisException as e:
@@ -39,18 +48,29 @@ class Library:
             return self.spark.createDataFrame([], schema)
 
     def _save(self, df: DataFrame, name: str) -> None:
-        """Replace a state table: write beside it, then swap."""
-        fs = self.spark._jvm.org.apache.hadoop.fs
-        path = lambda p: fs.Path(f"{self.folder}/{p}")
+        """Replace a state table: write beside it, set the old one aside, move the new one in, drop the old one.
+
+        Whenever this ends half-way, ``table`` finds the old or the new rows whole.
+        """
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}.new")
-        system = path(name).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        system.delete(path(name), True)
-        system.rename(path(f"{name}.new"), path(name))
+        files, now, new, old = self._files(), *map(self._path, (name, f"{name}.new", f"{name}.old"))
+        if files.exists(now):
+            files.delete(old, True)
+            self._moved(now, old)
+        self._moved(new, now)
+        files.delete(old, True)
+
+    def _moved(self, a, b) -> None:
+        if not self._files().rename(a, b):
+            raise OSError(f"{a} could not be moved to {b}")
 
     # --- indexing ---
 
     def index(self, root: str, extensions: tuple[str, ...] = SF.STORE, pages: Callable[[DataFrame], DataFrame] | None = None, limit: int | None = None) -> int:
-        """Index the files that are new or changed; their old chunks are replaced.  ``pages`` reads a format into ``path, page, text``."""
+        """Index the files that are new or changed; their old chunks are replaced.  ``pages`` reads a format into ``path, page, text``.
+
+        Every file read writes its partition, one without chunks a row without an id, so that none keeps chunks of an older text.
+        """
         before = self.table("state", STATE)
         files = SF.to_index(SF.collect(self.spark, root, extensions), before, limit)
         if pages is None:
@@ -64,7 +84,8 @@ class Library:
         chunks = chunks.withColumn("context", context)
         chunks = chunks.withColumn("vector", self.embed(T.embedded_text(F.col("context"), F.col("text"))))
         done = files.select("path", "hash")
-        (chunks.withColumn("file", F.sha2("source_file_id", 256)).repartition("file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(f"{self.folder}/chunks"))
+        chunks = done.select("path").join(chunks, F.col("path") == F.col("source_file_id"), "left").withColumn("file", F.sha2("path", 256)).drop("path")
+        (chunks.repartition("file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(f"{self.folder}/chunks"))
         counts = self.chunks().groupBy(F.col("source_file_id").alias("path")).agg(F.count("*").alias("chunks_indexed"))
         entry = done.join(counts, "path", "left").select("path", "hash", F.when(F.col("chunks_indexed").isNull(), "failed").otherwise("indexed").alias("status"), F.coalesce("chunks_indexed", F.lit(0)).alias("chunks_indexed"), F.when(F.col("chunks_indexed").isNull(), "no text").alias("error"), F.current_timestamp().alias("updated_at"), F.lit(1).alias("context_version"))
         n = entry.count()
@@ -73,7 +94,7 @@ class Library:
         return n
 
     def chunks(self) -> DataFrame:
-        return self.table("chunks", CHUNKS)
+        return self.table("chunks", CHUNKS).where("id is not null")
 
     # --- questions ---
 

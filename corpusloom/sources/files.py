@@ -23,11 +23,28 @@ def collect(spark: SparkSession, root: str, extensions: tuple[str, ...] = LIBRAR
     """``path, modificationTime, length, content`` of the library's files.  Listing and filters come before contents are read."""
     glob = "*.{" + ",".join(x for e in extensions for x in (e, e.upper())) + "}"
     out = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    if blank := _blank(spark, root, extensions):
+        out = out.union(spark.createDataFrame(blank, out.schema))
     if max_bytes is not None:
         out = out.where(F.col("length") <= max_bytes)
     return out.where(~excluded(F.col("path"), skip)) if skip else out
 
 
+def _blank(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> list[tuple]:
+    """Files without a byte, which Spark's readers leave out."""
+    from datetime import datetime
+
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        name = f.getPath().getName()
+        if f.getLen() == 0 and name[:1] not in "._" and name.rsplit(".", 1)[-1] in {x for e in extensions for x in (e, e.upper())}:
+            out.append((f.getPath().toString(), datetime.fromtimestamp(f.getModificationTime() / 1000), 0, bytearray()))
+    return out
+
+
 def hashed(files: DataFrame) -> DataFrame:
     return files.withColumn("hash", F.sha2("content", 256))
 

@@ -33,3 +33,45 @@ def test_library(spark, tmp_path):
     assert rows == {("match", "1"), ("new", "new:l. euler"), ("edge", "1")}
     files, total = lib.status()
     assert files.count() == 3 and total.first().indexed == 2 and total.first().graphed == 1
+
+
+def test_emptied_file_loses_its_chunks(spark, tmp_path):
+    root = tmp_path / "files"
+    root.mkdir()
+    (root / "euler.txt").write_text("Leonhard Euler studied graphs and bridges in Koenigsberg. " * 6)
+    (root / "fish.txt").write_text("The clown fish lives among anemones in warm water. " * 6)
+    lib = Library(spark, str(tmp_path / "lib"))
+    lib.index(str(root))
+    (root / "euler.txt").write_text("")
+    assert lib.index(str(root)) == 1
+    state = {r.path.rsplit("/", 1)[-1]: (r.status, r.chunks_indexed) for r in lib.table("state", "path string, status string, chunks_indexed long").collect()}
+    assert state["euler.txt"] == ("failed", 0) and state["fish.txt"][0] == "indexed"
+    assert {r.source_file_id.rsplit("/", 1)[-1] for r in lib.chunks().collect()} == {"fish.txt"}
+    assert all("euler" not in s for s in lib.find_sources("bridges of Koenigsberg"))
+
+
+def test_half_swapped_state(spark, tmp_path):
+    """A save that ends after any of its steps leaves the old or the new rows whole."""
+    lib = Library(spark, str(tmp_path / "lib"))
+    rows = lambda: sorted(r.n for r in lib.table("t", "n long").collect())
+    assert rows() == []
+    lib._save(spark.range(3).toDF("n"), "t")
+    assert rows() == [0, 1, 2]
+    moved, steps = Library._moved, []
+
+    def fails(self, a, b):
+        steps.append(1)
+        if len(steps) == 2:
+            raise KeyboardInterrupt
+        moved(self, a, b)
+
+    Library._moved = fails
+    try:
+        lib._save(spark.range(5).toDF("n"), "t")
+    except KeyboardInterrupt:
+        pass
+    finally:
+        Library._moved = moved
+    assert rows() == [0, 1, 2]
+    lib._save(lib.table("t", "n long").where("n > 0"), "t")
+    assert rows() == [1, 2]
