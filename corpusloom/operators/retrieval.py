@@ -8,6 +8,9 @@ scores are equal on every engine; ties go to the smaller id.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +21,6 @@ RRF_K = 60
 PLACES = 6
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
-
 def unit(a: Column) -> Column:
     """The vector at length 1, in doubles; a zero vector stays.  The dot product of two is their cosine."""
     d = F.transform(a, lambda x: x.cast("double"))
@@ -29,27 +28,81 @@ def unit(a: Column) -> Column:
     return F.when(n == 0, d).otherwise(F.transform(d, lambda x: x / n))
 
 
+#: Vectors in a block of the index and of the questions, and the parts that a term of the index is split into.
+INDEX_BLOCK, QUESTION_BLOCK, SALTS = 4096, 256, 16
+
+
+def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Vectors (``key``, ``v``) packed by task into rows of at most ``size``: ``ids``, ``dim`` and the numbers ``m``.  Null vectors go."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        held: dict[int, list] = {}
+
+        def packed(dim, part):
+            return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in part]]), pa.array([dim], pa.int32()), pa.array([np.concatenate([v for _, v in part]).tobytes() if dim else b""], pa.binary())], names=["ids", "dim", "m"])
+
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if v.is_valid:
+                    x = v.values.to_numpy(zero_copy_only=False)
+                    part = held.setdefault(len(x), [])
+                    part.append((i, x))
+                    if len(part) == size:
+                        yield packed(len(x), held.pop(len(x)))
+        for dim, part in held.items():
+            yield packed(dim, part)
+
+    return rows.select(key, "v").mapInArrow(run, f"ids array<{kind}>, dim int, m binary")
+
+
 def dense_leg(queries: DataFrame, index: DataFrame, k: int = K_DENSE, rank: str = "dense_rank", score: str = "dense_score") -> DataFrame:
     """The ``k`` nearest rows of ``index`` (``id``, ``vector``) to each of ``queries`` (``query_id``, ``vector``).
 
-    Questions are a stated set against all rows: the questions are broadcast if
-    the planner finds them small, the index streams past them, and each task
-    keeps ``k`` rows a question before the shuffle.  Lengths are divided out before
-    the join, once a vector instead of once a pair.
+    Questions are a stated set against all rows.  Both sides are packed into
+    blocks of bounded size; what is joined without a key are blocks, one row for
+    thousands of vectors, a pair of blocks is one matrix product, and it gives ``k``
+    rows a question at most.  Lengths are divided out before.
     """
-    q = queries.select("query_id", unit(F.col("vector")).alias("query_vector"))
-    scored = index.select("id", unit(F.col("vector")).alias("vector")).join(q).select("query_id", "id", F.round(dot(F.col("query_vector"), F.col("vector")), PLACES).alias(score))
+    q = _blocks(queries.select("query_id", unit(F.col("vector")).alias("v")), "query_id", QUESTION_BLOCK).select(F.col("ids").alias("qids"), F.col("dim").alias("qdim"), F.col("m").alias("qm"))
+    pairs = _blocks(index.select("id", unit(F.col("vector")).alias("v")), "id", INDEX_BLOCK).join(q).where("dim = qdim").select("ids", "m", "qids", "qm", "dim")
+    kinds = queries.schema["query_id"].dataType.simpleString(), index.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for ids, m, qids, qm, dim in zip(*(batch.column(i) for i in range(5))):
+                ids, qids = ids.values, qids.values
+                a, b = (np.frombuffer(x.as_buffer(), np.float64).reshape(len(n), dim.as_py()) for x, n in ((m, ids), (qm, qids)))
+                scores = np.round(b @ a.T, PLACES) + 0.0
+                order = np.empty(len(ids), np.int64)
+                order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+                rows, cols = [], []
+                for row, s in enumerate(scores):
+                    at = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                    at = at[np.lexsort((order[at], -s[at]))][:k]
+                    rows.append(np.full(len(at), row))
+                    cols.append(at)
+                rows, cols = np.concatenate(rows), np.concatenate(cols)
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(scores[rows, cols])], names=["query_id", "id", score])
+
+    scored = pairs.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, {score} double")
     return top_k(scored, ["query_id"], [F.desc(score), F.col("id")], k, rank)
 
 
 def sparse_leg(queries: DataFrame, index: DataFrame, k: int = K_SPARSE, rank: str = "sparse_rank", score: str = "sparse_score") -> DataFrame:
-    """Dot products over shared terms; both sides have one row a term (``query_id``/``id``, ``term``, ``weight``)."""
+    """Dot products over shared terms; both sides have one row a term (``query_id``/``id``, ``term``, ``weight``).
+
+    Terms that no question has go first, which the planner does before it counts
+    the index's terms; a term of very many documents is split into ``SALTS`` parts by document.
+    """
     q = queries.select("query_id", "term", F.col("weight").alias("query_weight"))
-    scored = index.join(q, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), PLACES).alias(score))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    asked = index.join(q.select("term").distinct(), "term", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    scored = asked.join(q.select("*", parts), ["term", "salt"]).groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), PLACES).alias(score))
     return top_k(scored, ["query_id"], [F.desc(score), F.col("id")], k, rank)
 
 
-def term_weights(docs: DataFrame, id_col: str, text_col: str, out_id: str = "id", stop_share: float | None = None) -> DataFrame:
+def term_weights(docs: DataFrame, id_col: str, text_col: str, out_id: str = "id") -> DataFrame:
     """Term frequencies: one row a document and lower-cased word."""
     words = F.explode(F.filter(F.split(F.lower(F.col(text_col)), "[^a-z0-9]+"), lambda w: w != ""))
     return docs.select(F.col(id_col).alias(out_id), words.alias("term")).groupBy(out_id, "term").agg(F.count("*").cast("double").alias("weight"))

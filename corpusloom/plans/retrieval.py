@@ -26,8 +26,10 @@ def _terms(t):
 
 
 def _fused(t):
+    """All three legs.  All vectors stand for the people's too, so the people leg is the beginning of the dense one."""
     asked, index = _terms(t)
-    return R.fused(R.dense_leg(_asked(t), _vectors(t)), R.sparse_leg(asked, index), R.dense_leg(_asked(t), _vectors(t).where("id % 7 = 0"), R.K_PEOPLE))
+    dense = R.dense_leg(_asked(t), _vectors(t))
+    return R.fused(dense, R.sparse_leg(asked, index), dense.where(F.col("dense_rank") < R.K_PEOPLE))
 
 
 _DENSE = """dense AS (
@@ -35,11 +37,7 @@ _DENSE = """dense AS (
     SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (
       SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
       FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)) WHERE rn <= 30)"""
-_PEOPLE = """people AS (
-  SELECT query_id, id, rn - 1 AS dense_rank FROM (
-    SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (
-      SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
-      FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.vec_id % 7 = 0)) WHERE rn <= 5)"""
+_PEOPLE = "people AS (SELECT query_id, id, dense_rank FROM dense WHERE dense_rank < 5)"
 _SPARSE = """qt AS (SELECT item_id AS query_id, term, count(*)::DOUBLE AS qw FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM benchmark WHERE item_id % 100 = 0) WHERE term <> '' GROUP BY 1, 2),
 dt AS (SELECT doc_id AS id, term, count(*)::DOUBLE AS w FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM documents) WHERE term <> '' GROUP BY 1, 2),
 sparse AS (
