@@ -13,6 +13,7 @@ FLOWING = ("paragraph", "list_item", "epigraph", "mathematical_expression", "col
 
 def region_type(bbox: dict[str, Column], width: Column, height: Column, spans: Column) -> Column:
     """What a block of a page is, by its place and its fonts; ``spans`` is an array of ``text, size, flags``."""
+    # The thresholds, and the order in which they are asked.
     x0, y0, x1, y1 = (bbox[k] for k in ("x0", "y0", "x1", "y1"))
     said = F.filter(spans, lambda s: F.coalesce(strip(s["text"]) != "", F.lit(False)))
     sizes = F.array_sort(F.transform(said, lambda s: s["size"]))
@@ -106,8 +107,10 @@ def latex_body(regions: DataFrame, doc: str = "doc_id", source_language: str = "
     ahead = Window.partitionBy(doc).orderBy("seq").rowsBetween(0, Window.unboundedFollowing)
     r = r.withColumn("to", F.first("flush", ignorenulls=True).over(ahead))
     is_note = F.col("region_type") == "footnote"
-    notes = r.where(is_note).withColumn("fn", F.col("tb"))
-    inline = notes.where(F.col("to").isNotNull()).groupBy(doc, F.col("to").alias("seq")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", F.concat(F.lit("\\footnote{[Author's note] "), F.col("fn"), F.lit("}")).alias("x")))).getField("x"), "").alias("inline"))
+    # a paragraph stands last among the rows that wait for it
+    waiting = Window.partitionBy(doc, "to").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    notes = F.collect_list(F.when(is_note, F.concat(F.lit("\\footnote{[Author's note] "), F.col("tb"), F.lit("}")))).over(waiting)
+    r = r.withColumn("inline", F.when(F.col("flush").isNotNull(), F.array_join(notes, "")))
     command = lambda name: F.concat(F.lit(f"\\{name}{{"), F.col("tb"), F.lit("}"))
     pairs = F.concat(F.lit("\\begin{pairs}\n\\begin{Leftside}\n\\pstart "), F.col("tb"), F.col("note"), F.lit(" \\pend\n\\end{Leftside}\n\\begin{Rightside}\n\\pstart "), F.col("tt"), F.lit(" \\pend\n\\end{Rightside}\n\\Columns\n\\end{pairs}"))
     kind = F.col("region_type")
@@ -115,10 +118,10 @@ def latex_body(regions: DataFrame, doc: str = "doc_id", source_language: str = "
         F.when(kind == "heading", command("section")).when(kind == "subheading", command("subsection")).when(kind == "margin_note", command("marginnote")).when(kind == "caption", command("caption"))
         .when(F.col("columns"), pairs).when(kind.isin(*FLOWING), F.concat(F.col("tb"), F.col("note"), F.coalesce("inline", F.lit("")), F.lit("\n"))).otherwise(F.concat(F.col("tb"), F.lit("\n")))
     )
-    body = r.where(~is_note).join(inline, [doc, "seq"], "left").select(doc, F.lit(0).alias("late"), "seq", line.alias("line"))
-    trailing = F.concat(F.lit("\\footnote{[Author's note] "), tex(F.col("fn")) if escape_twice else F.col("fn"), F.lit("}"))
-    late = notes.where(F.col("to").isNull()).select(doc, F.lit(1).alias("late"), "seq", trailing.alias("line"))
-    return body.union(late).groupBy(doc).agg(F.array_join(F.array_sort(F.collect_list(F.struct("late", "seq", "line"))).getField("line"), "\n").alias("body"))
+    trailing = F.concat(F.lit("\\footnote{[Author's note] "), tex(F.col("tb")) if escape_twice else F.col("tb"), F.lit("}"))
+    late = is_note & F.col("to").isNull()
+    out = r.where(~is_note | late).select(doc, late.cast("int").alias("late"), "seq", F.when(late, trailing).otherwise(line).alias("line"))
+    return out.groupBy(doc).agg(F.array_join(F.array_sort(F.collect_list(F.struct("late", "seq", "line"))).getField("line"), "\n").alias("body"))
 
 
 def rendered(documents: DataFrame, bodies: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -34,10 +34,18 @@ def text_differs(t):
     return t("documents").select("doc_id", T.differs(F.col("text"), other).alias("differs"))
 
 
-@query("split_sentences")
+def _sentences_sql(text: str) -> str:
+    """A list of sentences: breaks are marked by a private character, and those after abbreviations taken back, twice as matches that touch leave every other one."""
+    marked = f"""regexp_replace(regexp_replace({text}, '\\n{{2,}}', chr(57344), 'g'), '([.!?])\\s+([A-ZÀ-ɏ\\d"‘“])', '\\1' || chr(57344) || '\\2', 'g')"""
+    pieces = f"array_to_string(list_filter(list_transform(string_split({marked}, chr(57344)), lambda p: regexp_replace(regexp_replace(p, '^\\s+', ''), '\\s+$', '')), lambda p: p <> ''), chr(57344))"
+    back = lambda x: f"regexp_replace({x}, '(^|[^0-9A-Za-z_À-ɏ])((?:{'|'.join(T.ABBREVIATIONS)}|[A-Z])\\n?\\.*)' || chr(57344), '\\1\\2 ', 'g')"
+    return f"list_filter(string_split({back(back(pieces))}, chr(57344)), lambda p: p <> '')"
+
+
+@query("split_sentences", f"SELECT doc_id, unnest(generate_series(1, len(l))) - 1 AS pos, unnest(l) AS sentence FROM (SELECT doc_id, {_sentences_sql('text')} AS l FROM documents)")
 def split_sentences(t):
-    """Sentences of whole documents; abbreviations need a fold that SQL lacks, tests hold it against a plain loop."""
-    return t("documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    """Sentences of whole documents."""
+    return t("documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("sentence_breaks", """SELECT doc_id, len(string_split(regexp_replace(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), '([.!?])\\s+([A-ZÀ-ɏ\\d"‘“])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS parts FROM documents""")
@@ -63,12 +71,55 @@ def _paged(t):
     return t("documents").select(F.col("doc_id").cast("string").alias("source_file_id"), pages.alias("pages"), "lang")
 
 
-@query("chunk_parents")
+def _numbered(name: str, of: str, key: str, *more: str) -> str:
+    """CTE of sentences (``key``, ``s``, order ``o``) with numbers, tokens ``n`` and the tokens ``p`` and characters ``c`` before them."""
+    return f"""{name} AS (SELECT *, CAST(coalesce(sum(n) OVER w, 0) AS INT) AS p, CAST(coalesce(sum(length(s)) OVER w, 0) AS INT) AS c, CAST(row_number() OVER (PARTITION BY {key} ORDER BY o) - 1 AS INT) AS i
+  FROM (SELECT *, len(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '')) * 4 // 3 AS n FROM {of}) WINDOW w AS (PARTITION BY {key} ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def _runs(name: str, of: str, key: str, limit: int, start: str) -> str:
+    """CTE of runs (``key``, ``a`` to ``b``, number ``y``): sentence by sentence, a run that would pass the limit ends and the next begins at ``start``."""
+    keys = ", ".join(f"x.{k.strip()}" for k in key.split(","))
+    on = " AND ".join(f"x.{k.strip()} = r.{k.strip()}" for k in key.split(","))
+    over = f"(x.i > r.a AND x.p + x.n - r.p > {limit})"
+    return f"""{name}_at AS (
+  SELECT {key}, 0 AS i, 0 AS a, 0 AS p, 0 AS c, 0 AS y, false AS done, 0 AS b FROM {of} WHERE i = 0
+  UNION ALL
+  SELECT {keys}, x.i + 1, CASE WHEN {over} THEN {start} ELSE r.a END, CASE WHEN {over} THEN f.p ELSE r.p END, CASE WHEN {over} THEN f.c ELSE r.c END, r.y + CASE WHEN {over} THEN 1 ELSE 0 END, {over}, r.a
+  FROM {name}_at r JOIN {of} x ON {on} AND x.i = r.i JOIN {of} f ON {on.replace('x.', 'f.')} AND f.i = CASE WHEN {over} THEN {start} ELSE r.a END),
+{name} AS (
+  SELECT {key}, b AS a, i - 2 AS b, y - 1 AS y FROM {name}_at WHERE done
+  UNION ALL SELECT {key}, a, i - 1, y FROM {name}_at QUALIFY i = max(i) OVER (PARTITION BY {key})),
+{name}_text AS (
+  SELECT {key}, y, arg_min(page, i) AS page, arg_min(lang, i) AS lang, text, a FROM (
+    SELECT {keys}, r.y, r.a, x.i, x.page, x.lang, string_agg(x.s, ' ') OVER (PARTITION BY {keys}, r.y ORDER BY x.i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS text FROM {name} r JOIN {of} x ON {on} AND x.i BETWEEN r.a AND r.b)
+  GROUP BY {key}, y, a, text HAVING length(text) >= 80)"""
+
+
+_CHUNKS = "WITH RECURSIVE " + ",\n".join((
+    "lines AS (SELECT CAST(doc_id AS STRING) AS k, lang, CAST(unnest(generate_series(1, len(string_split(text, chr(10))))) AS INT) AS page, unnest(string_split(text, chr(10))) AS line FROM documents)",
+    f"split AS (SELECT k, lang, page, unnest(l) AS s, unnest(generate_series(1, len(l))) AS j FROM (SELECT k, lang, page, {_sentences_sql('line')} AS l FROM lines))",
+    _numbered("first", "(SELECT *, page * 1000000 + j AS o FROM split)", "k"),
+    # the sentences of at most 32 tokens together before each
+    "whole AS (SELECT *, CAST(min(i) OVER (PARTITION BY k ORDER BY p RANGE BETWEEN 32 PRECEDING AND CURRENT ROW) AS INT) AS back FROM first)",
+    _runs("parents", "whole", "k", C.PARENT_TOKENS, "CASE WHEN x.c - r.c + x.i - r.a - 1 >= 80 THEN greatest(x.back, r.a) ELSE r.a END"),
+    f"again AS (SELECT k, y AS parent, page, lang, unnest(l) AS s, unnest(generate_series(1, len(l))) AS o FROM (SELECT k, y, page, lang, {_sentences_sql('text')} AS l FROM parents_text))",
+    _numbered("second", "again", "k, parent"),
+    _runs("children", "second", "k, parent", C.CHILD_TOKENS, "x.i - 1"),
+    "numbered AS (SELECT *, parent * 1000 + row_number() OVER (PARTITION BY k, parent ORDER BY a, y) - 1 AS num FROM children_text)",
+    """chunks AS (
+  SELECT left(sha256(concat_ws(chr(1), k, 'parent', y)), 32) AS id, k AS source_file_id, CAST(y AS INT) AS passage_index, 'parent' AS level, CAST(NULL AS STRING) AS parent_id, text, lang AS language_detected, page AS page_number FROM parents_text
+  UNION ALL SELECT left(sha256(concat_ws(chr(1), k, 'child', num)), 32), k, CAST(num AS INT), 'child', left(sha256(concat_ws(chr(1), k, 'parent', parent)), 32), text, lang, page FROM numbered)""",
+    "counted AS (SELECT *, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) * 4 // 3 AS INT) AS token_count FROM chunks)",
+))
+
+
+@query("chunk_parents", _CHUNKS + "\nSELECT * FROM counted WHERE level = 'parent'")
 def chunk_parents(t):
     return C.chunk(_paged(t)).where("level = 'parent'")
 
 
-@query("chunk_children")
+@query("chunk_children", _CHUNKS + "\nSELECT * FROM counted QUALIFY level = 'child' OR NOT bool_or(level = 'child') OVER (PARTITION BY source_file_id)")
 def chunk_children(t):
     return C.indexed_chunks(C.chunk(_paged(t)))
 
@@ -127,7 +178,14 @@ def file_sizes(t):
     return t("documents").select("doc_id", T.file_size(F.col("n_chars") * (1 + F.col("doc_id") % 3 * 1000) * (1 + F.col("doc_id") % 5 * 700)).alias("size"))
 
 
-@query("language_guess")
+def _guess_sql() -> str:
+    score = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in words)}))) AS {lang}" for lang, words in providers.STOP_WORDS.items())
+    others = " ".join(f"WHEN {x} = best AND en < best THEN '{x}'" for x in providers.STOP_WORDS if x != "en")
+    return f"""SELECT doc_id, lang, CASE {others} ELSE 'en' END AS guess FROM (SELECT *, greatest({', '.join(providers.STOP_WORDS)}) AS best FROM (
+  SELECT doc_id, lang, {score} FROM (SELECT doc_id, lang, string_split_regex(lower(text), '[^\\pL\\pM\\pN\\p{{Pc}}]+') AS w FROM documents)))"""
+
+
+@query("language_guess", _guess_sql())
 def language_guess(t):
-    """The offline language scorer over whole tables and whole texts; tests hold its accuracy."""
+    """The offline language scorer over whole tables and whole texts."""
     return t("documents").select("doc_id", "lang", providers.get("language")(F.col("text"), first=None).alias("guess"))
