@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,7 +162,8 @@ def resolve_all(people: DataFrame, persons: DataFrame, relations: DataFrame) ->
     A suffix match depends on the names known at that moment.  Names interact only
     if their keys end in the same word, so each last word is a group of its own
     that runs through its files in order (``file_ord``, text or number); relations go with
-    their subject's last word.
+    their subject's last word.  Rows are sorted and stream past; a task holds the
+    keys and edges of one last word.
     """
     last = lambda c: F.element_at(F.split(match_key(F.coalesce(F.col(c), F.lit(""))), " "), -1)
     empty = F.lit("").alias
@@ -172,21 +173,37 @@ def resolve_all(people: DataFrame, persons: DataFrame, relations: DataFrame) ->
     e = persons.select(last("name").alias("last"), F.lit(1).alias("stage"), "ord", "file_ord", empty("person"), "name", "file_name", empty("target"), empty("relation_type"), empty("evidence"))
     r = relations.select(last("subject").alias("last"), F.lit(2).alias("stage"), "ord", "file_ord", empty("person"), F.col("subject").alias("name"), "file_name", F.coalesce("object", F.lit("")).alias("target"), F.coalesce("predicate", F.lit("related to")).alias("relation_type"), F.coalesce("evidence", F.lit(DEFAULT_EVIDENCE)).alias("evidence"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        m, out = Merge(), []
-        for x in g.assign(roster=g["stage"] > 0).sort_values(["roster", "file_ord", "stage", "ord"]).itertuples():
-            if x.stage == 0:
-                if _key(x.name):
-                    m.know(_key(x.name), x.person)
-            elif x.stage == 1:
-                if got := m.person(x.name):
-                    out.append((got[0], x.name, "new" if got[1] else "match", x.file_name, None, None, None, None, x.ord))
-            else:
-                person = m.by_key.get(_key(x.name))
-                edge = (person, x.name, x.target, x.relation_type)
-                if person is not None and edge not in m.edges:
-                    m.edges.add(edge)
-                    out.append((person, x.name, "edge", x.file_name, x.name, x.target, x.relation_type, x.evidence, x.ord))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in EVENTS.split(", ")])
-
-    return p.unionByName(e).unionByName(r).where("last is not null and last <> ''").groupBy("last").applyInPandas(run, EVENTS)
+    names = [f.split()[0] for f in EVENTS.split(", ")]
+
+    def run(batches):
+        at, m, out = None, Merge(), []
+
+        def flush():
+            rows = pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64() if n == "ord" else pa.string()) for n, c in zip(names, zip(*out))], names=names)
+            out.clear()
+            return rows
+
+        for batch in batches:
+            for last_, stage, ord_, person, name, file, target, relation, evidence in zip(*(batch.column(i).to_pylist() for i in range(9))):
+                if last_ != at:
+                    at, m = last_, Merge()
+                if stage == 0:
+                    if _key(name):
+                        m.know(_key(name), person)
+                elif stage == 1:
+                    if got := m.person(name):
+                        out.append((got[0], name, "new" if got[1] else "match", file, None, None, None, None, ord_))
+                else:
+                    found = m.by_key.get(_key(name))
+                    edge = (found, name, target, relation)
+                    if found is not None and edge not in m.edges:
+                        m.edges.add(edge)
+                        out.append((found, name, "edge", file, name, target, relation, evidence, ord_))
+            if len(out) > 10_000:
+                yield flush()
+        if out:
+            yield flush()
+
+    rows = p.unionByName(e).unionByName(r).where("last is not null and last <> ''")
+    rows = rows.repartition("last").sortWithinPartitions("last", F.col("stage") > 0, "file_ord", "stage", "ord")
+    return rows.select("last", "stage", F.col("ord").cast("long").alias("ord"), "person", "name", "file_name", "target", "relation_type", "evidence").mapInArrow(run, EVENTS)

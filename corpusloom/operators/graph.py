@@ -110,7 +110,7 @@ def circular_layout(nodes: DataFrame) -> DataFrame:
     w = Window.orderBy(F.desc("k"), "first")
     all_ = Window.partitionBy()
     sizes = sizes.select("cluster", "k", (F.row_number().over(w) - 1).alias("ci"), F.count("*").over(all_).alias("clusters"), F.sum("k").over(all_).alias("total"))
-    at = n.withColumn("ni", F.row_number().over(Window.partitionBy("cluster").orderBy("ord")) - 1).join(F.broadcast(sizes), "cluster")
+    at = n.withColumn("ni", F.row_number().over(Window.partitionBy("cluster").orderBy("ord")) - 1).join(sizes, "cluster")
     big, small = F.col("ci") / F.col("clusters") * (2 * math.pi), F.col("ni") / F.col("k") * (2 * math.pi)
     centre, radius = F.when(F.col("total") > 80, 3.4).otherwise(1.5), F.lit(0.18) + F.sqrt("k") * 0.05
     return at.select("id", "cluster", (F.cos(big) * centre + F.cos(small) * radius).alias("x"), (F.sin(big) * centre + F.sin(small) * radius).alias("y"))

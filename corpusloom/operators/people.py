@@ -9,6 +9,7 @@ from corpusloom.functions.text import blank_to_null, dates_note, nonempty, norm,
 
 from .rewrites import first_wins, last_wins
 
+# The fields that hold tags, those that make a person tagged, those whose suggestions are registered.
 TAG_FIELDS = ("schools", "suggested_schools", "cognitive_tags", "suggested_cognitive_tags", "math_tags", "suggested_math_tags", "domain_tags", "suggested_domain_tags", "suggested_pipeline_flags")
 TAGGED = ("schools", "cognitive_tags", "math_tags", "domain_tags")
 REGISTRY_FIELDS = ("suggested_math_tags", "suggested_cognitive_tags", "suggested_schools", "suggested_domain_tags")

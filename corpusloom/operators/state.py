@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,14 +130,36 @@ def ema(values: DataFrame, by: str, order: str, value: Column, alpha: float, see
 
 
 def controller(values: DataFrame, by: str, order: str, load: Column, reserve: float = 10.0) -> DataFrame:
-    """The cap controller's two averages after all loads of a group: the ambient load and the cap that leaves a reserve."""
-    ambient = F.greatest(F.lit(0.0), F.least(F.lit(100.0), load))
-    g = values.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), ambient.cast("double").alias("v")))).alias("xs"))
+    """The cap controller's two averages after all loads of a group: the ambient load and the cap that leaves a reserve.
 
-    def step(s: Column, x: Column) -> Column:
-        a = F.lit(0.3) * x["v"] + F.lit(0.7) * s["ambient"]
-        wanted = F.greatest(F.lit(10.0), F.least(F.lit(90.0), F.lit(100.0) - a - F.lit(reserve)))
-        return F.struct(a.alias("ambient"), (F.lit(0.2) * wanted + F.lit(0.8) * s["cap"]).alias("cap"))
-
-    out = F.aggregate("xs", F.struct(F.lit(30.0).alias("ambient"), F.lit(50.0).alias("cap")), step)
-    return g.select(by, out.alias("s")).select(by, "s.ambient", "s.cap")
+    Loads are sorted by group and order and stream past; a task holds one group's two numbers.
+    """
+    rows = values.select(by, F.col(order).alias("__order"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), load)).cast("double").alias("load"))
+    kind = rows.schema[by].dataType.simpleString()
+
+    def run(batches):
+        key, ambient, cap, out = None, 30.0, 50.0, []
+
+        def rows_out():
+            cols = list(zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], type=key_type), pa.array(cols[1]), pa.array(cols[2])], names=[by, "ambient", "cap"])
+
+        begun = False
+        for batch in batches:
+            key_type = batch.column(0).type
+            for group, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if begun and group != key:
+                    out.append((key, ambient, cap))
+                    ambient, cap = 30.0, 50.0
+                begun, key = True, group
+                ambient = 0.3 * x + 0.7 * ambient
+                cap = 0.2 * max(10.0, min(90.0, 100.0 - ambient - reserve)) + 0.8 * cap
+            if len(out) > 10_000:
+                yield rows_out()
+                out = []
+        if begun:
+            out.append((key, ambient, cap))
+            yield rows_out()
+
+    ordered = rows.repartition(by).sortWithinPartitions(by, "__order", "load").select(by, "load")
+    return ordered.mapInArrow(run, f"{by} {kind}, ambient double, cap double")

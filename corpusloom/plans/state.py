@@ -70,7 +70,7 @@ def queue_order(t):
     sizes = q.groupBy("priority").agg(F.count("*").alias("n"))
     before = sizes.select("priority", (F.sum("n").over(Window.orderBy(F.desc("priority")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("priority").orderBy("ord"))
-    return q.join(F.broadcast(before), "priority").select("queue", "path", (F.col("before") + within).alias("place"))
+    return q.join(before, "priority").select("queue", "path", (F.col("before") + within).alias("place"))
 
 
 @query("queue_enqueue", oracle(["v_queue", "v_files"], """SELECT queue, path, priority FROM v_queue UNION ALL SELECT 'index', path, 9 FROM v_files WHERE path NOT IN (SELECT path FROM v_queue WHERE queue = 'index')"""))
