@@ -153,5 +153,7 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
     return map_texts(docs, id_col, text_col, make, "n_tokens long, n_chars long")
 
 
-def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), load())
+def op8_token_count(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """``vocabulary``: the file of pieces, else what the session names in ``spark.corpusloom.vocabulary``, else ``VOCABULARY``.  Only the driver reads it."""
+    path = vocabulary or spark.conf.get("spark.corpusloom.vocabulary", VOCABULARY)
+    return count_tokens(table(spark, sf_dir, "documents"), load(path))
