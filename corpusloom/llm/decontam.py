@@ -30,6 +30,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterable
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -179,31 +180,43 @@ class Automaton:
         k = int(np.searchsorted(keys, state))
         return values[at[k] : at[k + 1]].tolist() if k < len(keys) and keys[k] == state else []
 
-    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Hit word intervals (start, end) in order, merged, and the indices of the items found."""
+    def near(self, texts_: list[list[bytes]]) -> list[list[int]]:
+        """For each text the multiples of ``stride`` at which ``gram`` words of an item stand."""
+        out: list[list[int]] = [[] for _ in texts_]
+        sizes = np.array([len(w) for w in texts_], np.int64)
+        if not self.names or not sizes.sum():
+            return out
+        ids = np.fromiter(map(self.words.get, chain.from_iterable(texts_), repeat(0)), np.int32, int(sizes.sum()))
+        n = np.maximum(0, (sizes - self.gram) // self.stride + 1)
+        owner = np.repeat(np.arange(len(texts_)), n)
+        at = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * self.stride
+        place = at + (np.cumsum(sizes) - sizes)[owner]
+        for k in range(self.gram):
+            known = ids[place + k] > 0
+            owner, at, place = owner[known], at[known], place[known]
+        h = self._grams(ids, place)
+        k = np.searchsorted(self.grams, h)
+        k[k == len(self.grams)] = 0
+        hit = self.grams[k] == h
+        for i, p in zip(owner[hit].tolist(), at[hit].tolist()):
+            out[i].append(p)
+        return out
+
+    def match(self, words: list[bytes], near: list[int] | None = None) -> tuple[list[tuple[int, int]], set[int]]:
+        """Hit word intervals (start, end) in order, merged, and the indices of the items found; ``near`` as the method gives it."""
         spans: list[list[int]] = []
         found: set[int] = set()
-        if len(words) < self.least or not self.names:
-            return [], found
-        get = self.words.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
-        at = np.arange(0, len(ids) - self.gram + 1, self.stride)
-        for k in range(self.gram):
-            at = at[ids[at + k] > 0]
-        if len(at):
-            h = self._grams(ids, at)
-            k = np.searchsorted(self.grams, h)
-            k[k == len(self.grams)] = 0
-            at = at[self.grams[k] == h]
-        done, near, k = 0, at.tolist(), 0
+        near = self.near([words])[0] if near is None else near
+        known = self.words
+        done = k = 0
         while k < len(near):
             a = max(done, near[k] + self.gram - self.least, 0)
             b = near[k] + self.least
             while k + 1 < len(near) and near[k + 1] + self.gram - self.least <= b:
                 k += 1
                 b = near[k] + self.least
-            b = min(b, len(ids))
-            self._stream(ids[a:b].tolist(), a, spans, found)
+            b = min(b, len(words))
+            self._stream([known.get(w, 0) for w in words[a:b]], a, spans, found)
             done = b
             k += 1
         return [(a, b) for a, b in spans], found
@@ -286,9 +299,10 @@ def find(values: list[str], given: list) -> list[tuple[int, list[tuple[int, int]
     out = [(0, [], []) for _ in values]
     for k, b in enumerate(given or [None]):
         a = b.value if b is not None else None
-        for i, text in enumerate(values):
-            words = words_of(text)
-            spans, found = a.match(words) if a else ([], ())
+        split = [words_of(text) for text in values]
+        near = a.near(split) if a else [[]] * len(split)
+        for i, words in enumerate(split):
+            spans, found = a.match(words, near[i]) if near[i] else ([], ())
             names = [a.names[j] for j in found] if a else []
             out[i] = (len(words), merged(out[i][1] + spans) if out[i][1] else spans, out[i][2] + names)
         if len(given) > 1:
