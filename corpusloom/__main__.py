@@ -1,12 +1,14 @@
-"""``python -m corpusloom LIBRARY COMMAND``: index, ask, sources, status."""
+"""``python -m corpusloom LIBRARY COMMAND``: index, ask, sources, status, serve (HTTP), tools (standard input and output)."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import sys
 
 from pyspark.sql import SparkSession
 
+from corpusloom import server
 from corpusloom.library import Library
 
 
@@ -22,6 +24,8 @@ def main(args: list[str] | None = None) -> None:
         c.add_argument("text")
         c.add_argument("--top-k", type=int, default=5)
     sub.add_parser("status")
+    sub.add_parser("serve").add_argument("--port", type=int, default=server.PORT)
+    sub.add_parser("tools")
     a = p.parse_args(args)
     lib = Library(SparkSession.builder.appName("corpusloom").getOrCreate(), a.library)
     if a.command == "index":
@@ -30,6 +34,10 @@ def main(args: list[str] | None = None) -> None:
         print(json.dumps(lib.query_library(a.text), ensure_ascii=False, indent=2))
     elif a.command == "sources":
         print("\n".join(lib.find_sources(a.text, a.top_k)))
+    elif a.command == "serve":
+        server.server(lib, a.port).serve_forever()
+    elif a.command == "tools":
+        server.tools(lib, sys.stdin, sys.stdout)
     else:
         print(json.dumps(lib.status()[1].first().asDict() | lib.index_status(), indent=2))
 
