@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_windows, decontam, html_extract, mixing, ngram_join, quality, secrets_crf, suffix_dedup, token_count, toxicity
+from . import chat_windows, decontam, exact_dedup, html_extract, mixing, ngram_join, quality, secrets_crf, spelling, suffix_dedup, token_count, toxicity
 
 
 def secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_count": token_count.op8_token_count,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_mix": mixing.op10_mix,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "secret_patterns": secret_patterns,
     "chat_digests": chat_digests,
     "quality_counts": quality_counts,
@@ -80,6 +82,8 @@ ORACLE_SQL: dict[str, str] = {
     "op7_suffix_dedup": suffix_dedup.OP7_SQL,
     "op9_ngram_join": ngram_join.OP9_SQL,
     "op10_mix": mixing.OP10_SQL,
+    "op11_exact_dedup": exact_dedup.OP11_SQL,
+    "op12_spelling_variants": spelling.OP12_SQL,
     "secret_patterns": SECRETS_SQL,
     "chat_digests": CHAT_SQL,
     "quality_counts": QUALITY_SQL,
