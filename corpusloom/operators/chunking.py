@@ -98,20 +98,33 @@ def chunks_of(pages: Iterable[tuple[int, str]], source: str, lang: str) -> list[
     return out
 
 
-def chunk(documents: DataFrame) -> DataFrame:
-    """``source_file_id``, ``pages`` (array of ``page, text``), ``lang`` → chunks."""
-    names = [f.split()[0] for f in CHUNKS.split(", ")]
-    kinds = [pa.int32() if f.endswith(" int") else pa.string() for f in CHUNKS.split(", ")]
+def _indexed(rows: list[tuple]) -> list[tuple]:
+    """As ``indexed_chunks``, of one document."""
+    return [c for c in rows if c[3] == "child"] or rows
+
+
+def chunk(documents: DataFrame, indexed: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``source_file_id``, ``pages`` (array of ``page, text``), ``lang`` → chunks.
+
+    ``indexed`` leaves the children only (all chunks of a document that has none), where a row is a whole
+    document; ``carried`` names text columns of the document that its chunks get: both without a shuffle.
+    """
+    full = ", ".join([CHUNKS, *(f"{c} string" for c in carried)])
+    names = [f.split()[0] for f in full.split(", ")]
+    kinds = [pa.int32() if f.endswith(" int") else pa.string() for f in full.split(", ")]
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [c for s, p, lang in zip(*(part.column(i).to_pylist() for i in range(3))) for c in chunks_of([(x["page"], x["text"]) for x in p or ()], s, lang)]
+                rows = []
+                for s, p, lang, *more in zip(*(part.column(i).to_pylist() for i in range(3 + len(carried)))):
+                    found = chunks_of([(x["page"], x["text"]) for x in p or ()], s, lang)
+                    rows += [(*c, *more) for c in (_indexed(found) if indexed else found)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return documents.select("source_file_id", "pages", "lang").mapInArrow(run, CHUNKS)
+    return documents.select("source_file_id", "pages", "lang", *carried).mapInArrow(run, full)
 
 
 def indexed_chunks(chunks: DataFrame) -> DataFrame:

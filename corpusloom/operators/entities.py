@@ -13,7 +13,7 @@ from corpusloom.functions.text import let, norm
 from corpusloom.functions.unicode import match_key
 from corpusloom.sources.json import strict
 
-from .rewrites import suffix_pairs
+from .rewrites import suffix_owner
 
 # Where evidence may come from.
 EVIDENCE = ("in_source_text_direct", "secondary_source_inferred", "llm_training_knowledge", "llm_prior_pass_recalled", "research_task_queued")
@@ -80,9 +80,8 @@ def suffix_matches(names: DataFrame, roster: DataFrame) -> DataFrame:
     n = names.select("name", match_key(F.col("name")).alias("nkey")).where("nkey <> ''").distinct()
     keys = roster.select(match_key(F.col("name")).alias("key"), "pid", "ord").where("key <> ''")
     keys = keys.groupBy("key").agg(F.max_by("pid", "ord").alias("pid"))
-    missed = n.join(keys, n["nkey"] == keys["key"], "left_anti")
-    pairs = suffix_pairs(missed, "nkey", keys, "key")
-    return pairs.groupBy("name").agg(F.count("*").alias("n"), F.first("pid").alias("pid")).where("n = 1").select("name", "pid")
+    missed = n.join(keys, n["nkey"] == keys["key"], "left_anti").where(F.contains("nkey", F.lit(" ")))
+    return suffix_owner(missed, "nkey", keys, "key", "pid").select("name", "pid")
 
 
 def resolve_exact(people: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -159,13 +158,15 @@ class Merge:
 def resolve_all(people: DataFrame, persons: DataFrame, relations: DataFrame) -> DataFrame:
     """The ordered merge, suffix matches included: matches, new people and edges as rows.
 
-    A suffix match depends on the names known at that moment.  Names interact only
-    if their keys end in the same word, so each last word is a group of its own
-    that runs through its files in order (``file_ord``, text or number); relations go with
-    their subject's last word.  Rows are sorted and stream past; a task holds the
-    keys and edges of one last word.
+    A suffix match depends on the names known at that moment.  An end of two words
+    or more covers the last word and the letter before it, so names interact only
+    if their keys agree in both (or are one word, and equal).  Each such tail is a
+    group of its own that runs through its files in order (``file_ord``, text or
+    number), so a last word that half of all names have is many groups; relations
+    go with their subject's tail.  Rows are sorted and stream past; a task holds
+    the keys and edges of one tail.
     """
-    last = lambda c: F.element_at(F.split(match_key(F.coalesce(F.col(c), F.lit(""))), " "), -1)
+    last = lambda c: F.regexp_extract(match_key(F.coalesce(F.col(c), F.lit(""))), r"(?:[^ ] )?[^ ]+$", 0)
     empty = F.lit("").alias
     kind = persons.schema["file_ord"].dataType
     none = F.lit("" if kind.simpleString() == "string" else 0).cast(kind).alias("file_ord")

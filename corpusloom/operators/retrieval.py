@@ -32,41 +32,43 @@ def unit(a: Column) -> Column:
 INDEX_BLOCK, QUESTION_BLOCK, SALTS = 4096, 256, 16
 
 
-def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Vectors (``key``, ``v``) packed by task into rows of at most ``size``: ``ids``, ``dim`` and the numbers ``m``.  Null vectors go."""
+def pack(rows: DataFrame, key: str, by: list[str], size: int) -> DataFrame:
+    """Vectors (``key``, ``v``) packed by task into rows of at most ``size`` with equal ``by`` and length: ``by``, ``ids``, ``dim`` and the numbers ``m``.  Null vectors go."""
     kind = rows.schema[key].dataType.simpleString()
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by), f"ids array<{kind}>, dim int, m binary"])
+    names = [*by, "ids", "dim", "m"]
 
     def run(batches):
-        held: dict[int, list] = {}
+        held: dict[tuple, list] = {}
+        n = 0
 
-        def packed(dim, part):
-            return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in part]]), pa.array([dim], pa.int32()), pa.array([np.concatenate([v for _, v in part]).tobytes() if dim else b""], pa.binary())], names=["ids", "dim", "m"])
+        def packed(mark, part):
+            m = np.concatenate([v for _, v in part]).tobytes() if mark[-1] else b""
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in mark[:-1]), pa.array([[i for i, _ in part]]), pa.array([mark[-1]], pa.int32()), pa.array([m], pa.binary())], names=names)
 
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for i, v, *mark in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:])):
                 if v.is_valid:
                     x = v.values.to_numpy(zero_copy_only=False)
-                    part = held.setdefault(len(x), [])
+                    mark = (*mark, len(x))
+                    part = held.setdefault(mark, [])
                     part.append((i, x))
+                    n += 1
                     if len(part) == size:
-                        yield packed(len(x), held.pop(len(x)))
-        for dim, part in held.items():
-            yield packed(dim, part)
+                        n -= size
+                        yield packed(mark, held.pop(mark))
+            if n > 16 * size:
+                yield from (packed(mark, part) for mark, part in held.items())
+                held.clear()
+                n = 0
+        yield from (packed(mark, part) for mark, part in held.items())
 
-    return rows.select(key, "v").mapInArrow(run, f"ids array<{kind}>, dim int, m binary")
+    return rows.select(key, "v", *by).mapInArrow(run, schema)
 
 
-def dense_leg(queries: DataFrame, index: DataFrame, k: int = K_DENSE, rank: str = "dense_rank", score: str = "dense_score") -> DataFrame:
-    """The ``k`` nearest rows of ``index`` (``id``, ``vector``) to each of ``queries`` (``query_id``, ``vector``).
-
-    Questions are a stated set against all rows.  Both sides are packed into
-    blocks of bounded size; what is joined without a key are blocks, one row for
-    thousands of vectors, a pair of blocks is one matrix product, and it gives ``k``
-    rows a question at most.  Lengths are divided out before.
-    """
-    q = _blocks(queries.select("query_id", unit(F.col("vector")).alias("v")), "query_id", QUESTION_BLOCK).select(F.col("ids").alias("qids"), F.col("dim").alias("qdim"), F.col("m").alias("qm"))
-    pairs = _blocks(index.select("id", unit(F.col("vector")).alias("v")), "id", INDEX_BLOCK).join(q).where("dim = qdim").select("ids", "m", "qids", "qm", "dim")
-    kinds = queries.schema["query_id"].dataType.simpleString(), index.schema["id"].dataType.simpleString()
+def best_of_blocks(pairs: DataFrame, queries: DataFrame, k: int, score: str) -> DataFrame:
+    """``query_id, id`` and ``score`` of the ``k`` best a question of each pair of blocks (``ids, m, qids, qm, dim``): one matrix product a pair."""
+    kinds = queries.schema["query_id"].dataType.simpleString(), pairs.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -85,7 +87,23 @@ def dense_leg(queries: DataFrame, index: DataFrame, k: int = K_DENSE, rank: str
                 rows, cols = np.concatenate(rows), np.concatenate(cols)
                 yield pa.RecordBatch.from_arrays([qids.take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(scores[rows, cols])], names=["query_id", "id", score])
 
-    scored = pairs.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, {score} double")
+    return pairs.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, {score} double")
+
+
+def dense_leg(queries: DataFrame, index: DataFrame, k: int = K_DENSE, rank: str = "dense_rank", score: str = "dense_score") -> DataFrame:
+    """The ``k`` nearest rows of ``index`` (``id``, ``vector``) to each of ``queries`` (``query_id``, ``vector``).
+
+    Questions are a stated set against all rows.  Both sides are packed into
+    blocks of bounded size, one row for thousands of vectors; a block of the index
+    has one of as many numbers as there are blocks, and each block of questions goes
+    to every number, so that the join has an even key and moves a block of the
+    index once.  A pair of blocks gives ``k`` rows a question at most.  Lengths are
+    divided out before.
+    """
+    numbers = max(1, -(-index.count() // INDEX_BLOCK))
+    q = pack(queries.select("query_id", unit(F.col("vector")).alias("v")), "query_id", [], QUESTION_BLOCK).select(F.col("ids").alias("qids"), "dim", F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0), F.lit(numbers - 1))).alias("number"))
+    blocks = pack(index.select("id", unit(F.col("vector")).alias("v")), "id", [], INDEX_BLOCK).withColumn("number", F.pmod(F.xxhash64("ids"), F.lit(numbers)).cast("int"))
+    scored = best_of_blocks(blocks.join(q, ["dim", "number"]).select("ids", "m", "qids", "qm", "dim"), queries, k, score)
     return top_k(scored, ["query_id"], [F.desc(score), F.col("id")], k, rank)
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators import postings, vectors
 from corpusloom.operators import retrieval as R
 
+from corpusloom.sources.scratch import stored
+
 from .registry import oracle, query
 
 _EVERY = 100
@@ -63,6 +66,25 @@ def dense_topk(t):
     return R.dense_leg(_asked(t), _vectors(t))
 
 
+@query("ann_topk")
+def ann_topk(t):
+    """The nearest vectors from the few cells that a question reads; tests measure its recall against ``dense_topk``."""
+    return vectors.search(_asked(t), vectors.build(_vectors(t)))
+
+
+@query("ann_exact_topk", oracle([], "SELECT query_id, id, dense_rank, dense_score FROM dense", _DENSE))
+def ann_exact_topk(t):
+    """The nearest vectors from the cells, and from all others that can hold nearer ones."""
+    return vectors.search(_asked(t), vectors.build(_vectors(t)), exact=True)
+
+
+@query("sparse_blocks_topk", oracle([], "SELECT query_id, id, sparse_rank, sparse_score FROM sparse", _SPARSE))
+def sparse_blocks_topk(t):
+    """As ``sparse_topk``, from an index that lets blocks be skipped."""
+    asked = R.term_weights(t("benchmark").where(F.col("item_id") % _EVERY == 0), "item_id", "text", "query_id")
+    return postings.search(asked, stored(postings.parted(postings.build(t("documents"), "doc_id", "text")), "postings", "part"))
+
+
 @query("sparse_topk", oracle([], "SELECT query_id, id, sparse_rank, sparse_score FROM sparse", _SPARSE))
 def sparse_topk(t):
     return R.sparse_leg(*_terms(t))

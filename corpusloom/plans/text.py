@@ -96,7 +96,7 @@ def _runs(name: str, of: str, key: str, limit: int, start: str) -> str:
   GROUP BY {key}, y, a, text HAVING length(text) >= 80)"""
 
 
-_CHUNKS = "WITH RECURSIVE " + ",\n".join((
+CHUNKS_SQL = "WITH RECURSIVE " + ",\n".join((
     "lines AS (SELECT CAST(doc_id AS STRING) AS k, lang, CAST(unnest(generate_series(1, len(string_split(text, chr(10))))) AS INT) AS page, unnest(string_split(text, chr(10))) AS line FROM documents)",
     f"split AS (SELECT k, lang, page, unnest(l) AS s, unnest(generate_series(1, len(l))) AS j FROM (SELECT k, lang, page, {_sentences_sql('line')} AS l FROM lines))",
     _numbered("first", "(SELECT *, page * 1000000 + j AS o FROM split)", "k"),
@@ -114,12 +114,12 @@ _CHUNKS = "WITH RECURSIVE " + ",\n".join((
 ))
 
 
-@query("chunk_parents", _CHUNKS + "\nSELECT * FROM counted WHERE level = 'parent'")
+@query("chunk_parents", CHUNKS_SQL + "\nSELECT * FROM counted WHERE level = 'parent'")
 def chunk_parents(t):
     return C.chunk(_paged(t)).where("level = 'parent'")
 
 
-@query("chunk_children", _CHUNKS + "\nSELECT * FROM counted QUALIFY level = 'child' OR NOT bool_or(level = 'child') OVER (PARTITION BY source_file_id)")
+@query("chunk_children", CHUNKS_SQL + "\nSELECT * FROM counted QUALIFY level = 'child' OR NOT bool_or(level = 'child') OVER (PARTITION BY source_file_id)")
 def chunk_children(t):
     return C.indexed_chunks(C.chunk(_paged(t)))
 
