@@ -36,6 +36,11 @@ HASH_BYTES = 16
 FLAGS = ("keep_id", "group_size", "kept", "text_sha256")
 
 
+def content_hash(text: Column) -> Column:
+    """128 bits."""
+    return F.unhex(F.md5(text))
+
+
 def _normal(text: Column, normal: Callable[[Column], Column] | None) -> Column:
     text = F.coalesce(text, F.lit(""))
     return normal(text) if normal else text
@@ -45,7 +50,7 @@ def _rows(docs: DataFrame, id_col: str, text: Column, carried: list[str], keep_t
     """``hash, sha, id, settles, tag, row`` and, where asked, ``text``: what stands of a document while groups are found."""
     rest = [F.col(f"`{c}`") for c in carried if c != id_col and "map<" not in docs.schema[c].dataType.simpleString()]
     cols = {
-        "hash": F.unhex(F.md5(text)), "sha": F.unhex(F.sha2(text, 256)), "id": F.col(f"`{id_col}`"), "settles": F.xxhash64(*rest) if rest else F.lit(0).cast("long"),
+        "hash": content_hash(text), "sha": F.unhex(F.sha2(text, 256)), "id": F.col(f"`{id_col}`"), "settles": F.xxhash64(*rest) if rest else F.lit(0).cast("long"),
         "tag": F.monotonically_increasing_id(), "row": F.struct(*(F.col(f"`{c}`") for c in carried)) if carried else F.lit(None).cast("int"),
     } | ({"text": text} if keep_text else {})
     return docs.select(*(c.alias(n) for n, c in cols.items()))
@@ -65,7 +70,7 @@ def _told(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> Da
 
 def _collided(docs: DataFrame, text: Column, groups: DataFrame, n_groups: int) -> DataFrame:
     """Hashes of groups that hold unlike texts."""
-    texts = docs.select(F.unhex(F.md5(text)).alias("hash"), text.alias("text"))
+    texts = docs.select(content_hash(text).alias("hash"), text.alias("text"))
     if n_groups * HASH_BYTES <= BROADCAST_BYTES:
         texts = texts.join(F.broadcast(groups.select("hash")), "hash", "left_semi")
     return texts.distinct().groupBy("hash").agg(F.count("*").alias("unlike")).where("unlike > 1").select("hash")

@@ -176,6 +176,8 @@ def neighbours(members: list[tuple[int, int, str, int]]) -> Iterator[Found]:
     """``(word, near words, the best one's count, the best one)`` for rows ``(kind, place, word, n)`` of a key, compared as strings."""
     groups: dict[tuple, dict[str, tuple[int, bool]]] = {}
     for kind, place, word, n in members:
+        if place >= len(word):
+            continue  # another word under the same id
         rest = word if place < 0 else word[:place] + word[place + 1 :]
         groups.setdefault((kind, place if kind == PLACED else 0, rest), {})[word] = (n, place < 0)
     for (kind, _, rest), words in groups.items():

@@ -142,3 +142,51 @@ def toxic_score(text, weights, exceptions, curve):
     n = line.count(" ") - 1 if len(line) > 2 else 0
     z = curve[0] + curve[1] * math.log1p(total) + curve[2] * math.log1p(100 * total / max(20, n))
     return 1 / (1 + math.exp(-z))
+
+
+def equal_texts(rows):
+    """Kept, group size and the id that stays for rows (id, text), by text; ids may be null or repeated."""
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t or ""].append(i)
+    out = []
+    for t, ids in groups.items():
+        ids = sorted(ids, key=lambda i: (i is not None, i or 0))
+        out += [(i, ids[-1], len(ids), n == len(ids) - 1, sha(t)) for n, i in enumerate(ids)]
+    return sorted(out, key=str)
+
+
+def spelled(rows):
+    """Counted words of rows (id, text)."""
+    import zlib
+
+    n = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            n[run if h % 199 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    return {w: c for w, c in n.items() if len(w) >= 6 and c >= 5}
+
+
+def one_apart(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spelling(n, ratio=5):
+    """``word, form, root, n, n_near, form_n`` by comparing all words."""
+    near = {w: [x for x in n if one_apart(w, x)] for w in n}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= ratio * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n.get(form[w])))
+    return sorted(out)

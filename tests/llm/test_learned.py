@@ -105,7 +105,8 @@ def test_odd_rows(spark, name, tmp_path):
     out = queries.QUERIES[name](spark, str(tmp_path))
     rows = out.collect()
     chats = len({r.conv_id for r in spark.read.parquet(f"{tmp_path}/conversations.parquet").collect()}) + 1
-    n = {"op2_chat_format": chats, "chat_digests": chats, "op6_html_extract": 8, "op9_ngram_join": 45}.get(name, 46)
+    words = plain.spelled([(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()])
+    n = {"op2_chat_format": chats, "chat_digests": chats, "op6_html_extract": 8, "op9_ngram_join": 45, "op12_spelling_variants": len(words)}.get(name, 46)
     assert len(rows) == n
     of = {}
     for r in rows:
@@ -129,6 +130,10 @@ def test_odd_rows(spark, name, tmp_path):
         assert {(r.rep_id, r.class_id, r.n_links) for r in nothing} == {(900, 900, 0)}
     elif name == "op10_mix":
         assert all((r.size, r.taken) == (0, 0) for r in [*nothing, *of[None]]) and of[902][0].size == 120000
+    elif name == "op11_exact_dedup":
+        assert {(r.keep_id, r.group_size) for r in [*nothing, *of[None]]} == {(901, 4)} and sum(r.kept for r in [*nothing, *of[None]]) == 1 and (of[903][0].keep_id, of[903][0].kept) == (903, True)
+    elif name == "op12_spelling_variants":
+        assert {r.word: r.n for r in rows} == words
     elif name == "op2_chat_format":
         assert of[-7][0].n_turns == 2 and of[None][0].loss_chars == 0
 
