@@ -155,9 +155,26 @@ def entity_edges_merged(t):
     return E.merged_edges(r, _relations(t)).select("person", "source", "target", "relation_type", "provenance")
 
 
-@query("entity_resolution_full")
+#: The merge row by row: each group of names walks through its rows, and carries the keys known so far, the latest first.
+_MERGE = ("""rows0 AS (
+  SELECT 0 AS stage, 0 AS file_ord, pid AS ord, CAST(pid AS VARCHAR) AS given, name, NULL::VARCHAR AS file_name, NULL::VARCHAR AS target, NULL::VARCHAR AS relation_type FROM v_people
+  UNION ALL SELECT 1, CAST(regexp_extract(file_name, '([0-9]+)', 1) AS BIGINT), ord, NULL, CASE WHEN ord % 3 = 0 THEN regexp_replace(name, '^[^ ]+ ', '') ELSE name END, file_name, NULL, NULL FROM ex
+  UNION ALL SELECT 2, target % 97, source * 1000000 + target, NULL, upper(name), 'f' || CAST(target % 97 AS STRING) || '.pdf', 'T' || CAST(target % 50 AS STRING), substr(relation_type, 1, 1) FROM v_edges JOIN v_people ON source = pid)""",
+"""numbered AS (SELECT *, lower(name) AS key, regexp_extract(lower(name), '(?:[^ ] )?[^ ]+$') AS tail, row_number() OVER (PARTITION BY regexp_extract(lower(name), '(?:[^ ] )?[^ ]+$') ORDER BY stage > 0, file_ord, stage, ord) AS i FROM rows0)""",
+"""walk AS (
+  SELECT tail, 0::BIGINT AS i, []::VARCHAR[] AS keys, []::VARCHAR[] AS people, NULL::VARCHAR AS person, NULL::VARCHAR AS kind FROM numbered WHERE i = 1
+  UNION ALL
+  SELECT tail, i, CASE WHEN stage < 2 AND (stage = 0 OR hit IS NULL) THEN list_prepend(key, keys) ELSE keys END, CASE WHEN stage < 2 AND (stage = 0 OR hit IS NULL) THEN list_prepend(found, people) ELSE people END,
+    found, CASE stage WHEN 1 THEN CASE WHEN hit IS NULL AND len(ends) IS DISTINCT FROM 1 THEN 'new' ELSE 'match' END WHEN 2 THEN 'edge' END
+  FROM (SELECT *, CASE stage WHEN 0 THEN given WHEN 2 THEN hit ELSE coalesce(hit, CASE WHEN len(ends) = 1 THEN people[list_position(keys, ends[1])] END, 'new:' || key) END AS found
+    FROM (SELECT w.tail, n.i, n.stage, n.given, n.key, w.keys, w.people, w.people[list_position(w.keys, n.key)] AS hit, CASE WHEN contains(n.key, ' ') THEN list_distinct(list_filter(w.keys, lambda k: ends_with(k, n.key))) END AS ends
+      FROM walk w JOIN numbered n ON n.tail = w.tail AND n.i = w.i + 1)))""")
+
+
+@query("entity_resolution_full", oracle(["v_people", "v_edges"], """SELECT person, name, kind, file_name, CASE WHEN kind = 'edge' THEN name END AS source, target, relation_type, CASE WHEN kind = 'edge' THEN 'llm_training_knowledge' END AS evidence_type, ord
+  FROM walk JOIN numbered USING (tail, i) WHERE kind IS NOT NULL AND person IS NOT NULL QUALIFY kind <> 'edge' OR row_number() OVER (PARTITION BY kind, person, name, target, relation_type ORDER BY i) = 1""", _EXTRACTED, *_MERGE).replace("WITH ", "WITH RECURSIVE ", 1))
 def entity_resolution_full(t):
-    """The ordered merge with suffix matches; no SQL states its order, tests hold it against a plain loop."""
+    """The ordered merge with suffix matches."""
     ex = _extracted(t).withColumn("file_ord", F.regexp_extract("file_name", r"(\d+)", 1).cast("long"))
     ex = ex.withColumn("name", F.when(F.col("ord") % 3 == 0, F.regexp_replace("name", r"^\S+ ", "")).otherwise(F.col("name")))
     rel = _relations(t).withColumn("file_ord", F.regexp_extract("file_name", r"(\d+)", 1).cast("long")).drop("ord").withColumnRenamed("ord0", "ord")

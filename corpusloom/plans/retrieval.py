@@ -31,7 +31,7 @@ def _terms(t):
 def _fused(t):
     """All three legs.  All vectors stand for the people's too, so the people leg is the beginning of the dense one."""
     asked, index = _terms(t)
-    dense = R.dense_leg(_asked(t), _vectors(t))
+    dense = stored(R.dense_leg(_asked(t), _vectors(t)), "dense")  # read twice
     return R.fused(dense, R.sparse_leg(asked, index), dense.where(F.col("dense_rank") < R.K_PEOPLE))
 
 
