@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from corpusloom import importable, providers
 from corpusloom.functions import text as T
-from corpusloom.operators import chunking, entities, extraction, retrieval, state
+from corpusloom.operators import chunking, compression, entities, extraction, feedback, late, retrieval, state
 from corpusloom.sources import files as SF
+from corpusloom.sources.scratch import stored
 
 STATE = "path string, hash string, status string, chunks_indexed long, error string, updated_at timestamp, context_version int"
 GRAPH = "path string, status string, objects_extracted int, relationships_extracted int, error string, retry_count int"
@@ -98,17 +99,35 @@ class Library:
 
     # --- questions ---
 
-    def ask(self, questions: DataFrame, k: int = retrieval.K_CONTEXT) -> DataFrame:
-        """``query_id``, ``question`` → the sources of each: ``place, title, page, rrf_score, text, passage``."""
+    def ask(self, questions: DataFrame, k: int = retrieval.K_CONTEXT, refine: bool = False) -> DataFrame:
+        """``query_id``, ``question`` → the sources of each: ``place, title, page, rrf_score, text, passage``.
+
+        ``refine`` also asks each question with the terms that its first passages add, pools both
+        hypotheses, puts the best in order by late interaction, and cuts the passages to what they tell.
+        """
         hyde = providers.get("expand")
         q = questions.select("query_id", F.explode(hyde(F.col("question"))).alias("question"))
         dense = retrieval.dense_leg(q.withColumn("vector", self.embed(F.col("question"))), self.chunks().select("id", "vector"))
-        sparse = retrieval.sparse_leg(retrieval.term_weights(q, "query_id", "question", "query_id"), retrieval.term_weights(self.chunks(), "id", "text"))
-        top = retrieval.reranked(retrieval.fused(dense, sparse), providers.get("rerank")(F.lit(""), F.lit("")), k)
+        asked, index = retrieval.term_weights(q, "query_id", "question", "query_id"), retrieval.term_weights(self.chunks(), "id", "text")
+        sparse = retrieval.sparse_leg(asked, index)
+        if refine:
+            top = self._refined(questions, dense, asked, sparse, index, k)
+        else:
+            top = retrieval.reranked(retrieval.fused(dense, sparse), providers.get("rerank")(F.lit(""), F.lit("")), k)
         out = top.join(self.chunks().select("id", F.element_at(F.split("source_file_id", "/"), -1).alias("title"), F.col("page_number").alias("page"), "context", "text"), "id")
         passage = retrieval.passage(F.col("place") + 1, F.col("title"), F.col("title"), F.lit(None).cast("string"), F.lit(None).cast("int"), F.col("page"), F.col("context"), F.col("text"))
+        if refine:
+            told = compression.compressed(out.select("query_id", "id", passage.alias("p")), ["query_id", "id"], "p", stored(compression.counts(self.chunks(), "text"), "pairs"))
+            out, passage = out.join(told, ["query_id", "id"]), F.col("compressed")
         return out.select("query_id", "place", "title", "page", F.round("rrf_score", 4).alias("rrf_score"), "text", passage.alias("passage"))
 
+    def _refined(self, questions: DataFrame, dense: DataFrame, asked: DataFrame, sparse: DataFrame, index: DataFrame, k: int) -> DataFrame:
+        dense, sparse = stored(dense, "dense"), stored(sparse, "sparse")
+        expanded = retrieval.sparse_leg(feedback.rm3(asked, sparse, index), index)
+        both = [retrieval.fused(dense, s).withColumns({"question_id": F.col("query_id"), "query_id": F.col("query_id") * 2 + n}) for n, s in enumerate((sparse, expanded))]
+        pooled = retrieval.pooled(both[0].unionByName(both[1])).withColumnRenamed("question_id", "query_id")
+        return late.reranked(pooled, questions, self.chunks().select("id", "text"), k, retrieval.K_RERANK)
+
     def query_library(self, question: str) -> dict:
         """One question's answer and its sources."""
         q = self.spark.createDataFrame([(0, question)], "query_id long, question string")

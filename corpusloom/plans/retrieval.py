@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import postings, vectors
+from corpusloom.operators import compression, feedback, late, latent, postings, vectors
 from corpusloom.operators import retrieval as R
 
 from corpusloom.sources.scratch import stored
@@ -130,3 +130,77 @@ def person_passage(t):
   FROM fused f LEFT JOIN documents d ON f.id = CAST(d.doc_id AS STRING) WHERE place < 3 GROUP BY query_id""", _DENSE, _PEOPLE, _SPARSE, _FUSED))
 def answer_fallback_text(t):
     return R.fallback_answer(_with_texts(t).withColumn("text", F.coalesce("text", F.lit(""))))
+
+
+_RM3 = """top AS (SELECT query_id, id, sparse_score AS s FROM sparse WHERE sparse_rank < 10),
+topterms AS (SELECT query_id, id, s, term, w FROM top JOIN dt USING (id)),
+rel AS (SELECT query_id, term, round(sum((s / all_s) * (w / size)), 9) AS p FROM topterms JOIN (SELECT query_id, id, sum(w) AS size FROM topterms GROUP BY 1, 2) USING (query_id, id) JOIN (SELECT query_id, sum(s) AS all_s FROM top GROUP BY 1) USING (query_id) GROUP BY 1, 2),
+likely AS (SELECT * FROM rel QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p DESC, term) <= 20),
+mixed AS (SELECT query_id, term, 0.5::DOUBLE * qw / sum(qw) OVER (PARTITION BY query_id) AS w FROM qt UNION ALL SELECT query_id, term, 0.5::DOUBLE * p / sum(p) OVER (PARTITION BY query_id) FROM likely),
+rm3 AS (SELECT query_id, term, round(sum(w), 9) AS weight FROM mixed GROUP BY 1, 2)"""
+
+
+@query("rm3_expansion", oracle([], "SELECT query_id, term, weight FROM rm3", _SPARSE, _RM3))
+def rm3_expansion(t):
+    """The benchmark's questions with the terms that their first passages add."""
+    asked, index = _terms(t)
+    return feedback.rm3(asked, R.sparse_leg(asked, index), index)
+
+
+@query("rm3_pool", oracle([], """SELECT query_id AS question_id, CAST(id AS STRING) AS id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, no, place, CAST(id AS STRING)) - 1 AS place FROM (
+  SELECT query_id, id, round(sum(r), 6) AS rrf_score, arg_min(no, no * 1000000 + rn) AS no, arg_min(rn, no * 1000000 + rn) AS place FROM (
+    SELECT query_id, id, no, rn, round(1.0::DOUBLE / (60 + rn + 1), 6) AS r FROM (
+      SELECT query_id, id, 0 AS no, sparse_rank AS rn FROM sparse
+      UNION ALL SELECT query_id, id, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 FROM (SELECT query_id, id, round(sum(weight * w), 6) AS score FROM rm3 JOIN dt USING (term) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20))
+  GROUP BY 1, 2)""", _SPARSE, _RM3))
+def rm3_pool(t):
+    """Each question as asked and as expanded, pooled."""
+    return R.pooled(feedback.hypotheses(*_terms(t)))
+
+
+@query("latent_vectors")
+def latent_vectors(t):
+    """Vectors of all documents in the space of their own words; tests hold it against the whole matrix's SVD."""
+    docs = t("documents").select("doc_id", "text")
+    return latent.vectors(docs, "doc_id", "text", latent.fit(docs, "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+#: Vectors of the words of questions and of their candidates, from trigrams' hashes.
+_LATE = """cand AS (SELECT query_id, id, sparse_rank, q.text AS question, d.text AS body FROM sparse JOIN benchmark q ON item_id = query_id JOIN documents d ON doc_id = id),
+ws AS (SELECT DISTINCT unnest(string_split_regex(lower(question || ' ' || body), '[^a-z0-9]+')) AS w FROM cand),
+grams AS (SELECT w, unnest(list_transform(range(1, length(w) + 1), lambda i: substr('<' || w || '>', i, 3))) AS g FROM ws WHERE w <> ''),
+signed AS (SELECT w, CAST('0x' || substr(md5(g), 1, 2) AS INT) % 64 AS i, CASE WHEN CAST('0x' || substr(md5(g), 3, 2) AS INT) % 2 = 1 THEN 1 ELSE -1 END AS s FROM grams),
+dims AS (SELECT w, i, sum(s)::DOUBLE AS x FROM signed GROUP BY 1, 2),
+unit AS (SELECT w, i, x / sqrt(sum(x * x) OVER (PARTITION BY w)) AS x FROM dims QUALIFY sum(x * x) OVER (PARTITION BY w) > 0),
+asked AS (SELECT DISTINCT query_id, unnest(string_split_regex(lower(question), '[^a-z0-9]+')) AS qw FROM cand),
+there AS (SELECT DISTINCT query_id, id, unnest(string_split_regex(lower(body), '[^a-z0-9]+')) AS dw FROM cand),
+words AS (SELECT DISTINCT qw, dw FROM asked JOIN there USING (query_id) WHERE qw <> '' AND dw <> ''),
+cos AS (SELECT qw, dw, sum(a.x * b.x) AS c FROM words JOIN unit a ON a.w = qw JOIN unit b ON b.w = dw AND b.i = a.i GROUP BY 1, 2),
+best AS (SELECT query_id, id, qw, max(coalesce(c, 0)) AS c FROM asked JOIN there USING (query_id) LEFT JOIN cos USING (qw, dw) WHERE qw <> '' AND dw <> '' GROUP BY 1, 2, 3),
+late AS (SELECT query_id, id, sparse_rank, coalesce(round(s, 6), 0.0) AS rerank_score FROM cand LEFT JOIN (SELECT query_id, id, avg(c) AS s FROM best GROUP BY 1, 2) USING (query_id, id))"""
+
+
+@query("rerank_topk", oracle([], "SELECT query_id, id, sparse_rank AS fused_place, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, sparse_rank) - 1 AS place FROM late QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, sparse_rank) <= 10", _SPARSE, _LATE))
+def rerank_topk(t):
+    """What the sparse leg finds for the benchmark's questions, put in order by late interaction."""
+    found = R.sparse_leg(*_terms(t)).select("query_id", "id", F.col("sparse_rank").alias("place"))
+    questions = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return late.reranked(found, questions, t("documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+_COMPRESSED = """toks AS (SELECT doc_id, w AS token, lower(w) AS w, i - 1 AS pos, CASE WHEN i > 1 THEN lower(l[i - 1]) ELSE '' END AS v FROM (SELECT doc_id, l, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS l FROM documents))),
+model AS (SELECT v, w, count(*) AS n FROM toks GROUP BY 1, 2),
+after AS (SELECT v, sum(n) AS after, count(*) AS kinds FROM model GROUP BY 1),
+befor AS (SELECT w, count(*) AS follows FROM model GROUP BY 1),
+info AS (SELECT v, w, round(-log2(greatest(n - 0.75::DOUBLE, 0.0) / after + 0.75::DOUBLE * kinds / after * (follows::DOUBLE / (SELECT count(*) FROM model))), 6) AS info FROM model JOIN after USING (v) JOIN befor USING (w)),
+passage AS (SELECT query_id, doc_id, text FROM sparse JOIN documents ON doc_id = id WHERE sparse_rank < 5),
+ranked AS (SELECT query_id, doc_id, pos, token, count(*) OVER (PARTITION BY query_id, doc_id) AS n, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY info DESC, pos) AS r FROM passage JOIN toks USING (doc_id) JOIN info USING (v, w) WHERE length(text) >= 200)"""
+
+
+@query("compressed_passages", oracle([], """SELECT query_id, doc_id AS id, CAST(max(n) AS INT) AS n_words, CAST(count(*) AS INT) AS kept, string_agg(token, ' ' ORDER BY pos) AS compressed FROM ranked WHERE r <= ceil(n * 0.25::DOUBLE) GROUP BY 1, 2
+  UNION ALL SELECT query_id, doc_id, CAST(c AS INT), CAST(c AS INT), text FROM (SELECT *, len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS c FROM passage) WHERE length(text) < 200 OR c = 0""", _SPARSE, _COMPRESSED))
+def compressed_passages(t):
+    """The passages that an answer is made from, cut to a quarter of their words by a model of all documents."""
+    found = R.sparse_leg(*_terms(t)).where(F.col("sparse_rank") < R.K_CONTEXT).select("query_id", "id")
+    passages = found.join(t("documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return compression.compressed(passages, ["query_id", "id"], "text", stored(compression.counts(t("documents"), "text"), "pairs"))

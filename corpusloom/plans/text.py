@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom import providers
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking as C
+from corpusloom.operators import language
 from corpusloom.operators import vocabulary as V
 
 from .registry import oracle, query
@@ -189,3 +190,20 @@ def _guess_sql() -> str:
 def language_guess(t):
     """The offline language scorer over whole tables and whole texts."""
     return t("documents").select("doc_id", "lang", providers.get("language")(F.col("text"), first=None).alias("guess"))
+
+
+_LANGUAGE = """ch AS (SELECT doc_id, lang, doc_id % 3 = 1 AS held_out, string_split(regexp_replace(' ' || lower(coalesce(text, '')) || ' ', '[\\x20\\x09-\\x0D]+', ' ', 'g'), '') AS c FROM documents),
+gr AS (SELECT doc_id, lang, held_out, ((unicode(c[i])::BIGINT * 4398046511104) + unicode(c[i + 1])::BIGINT * 2097152 + unicode(c[i + 2])::BIGINT) % 262139 AS b FROM (SELECT *, unnest(range(1, len(c) - 1)) AS i FROM ch)),
+cnt AS (SELECT lang, b, count(*) AS n FROM gr WHERE NOT held_out AND lang IS NOT NULL GROUP BY 1, 2),
+tot AS (SELECT lang, sum(n) AS n FROM cnt GROUP BY 1),
+pri AS (SELECT lang AS l, ln(count(*)::DOUBLE / sum(count(*)) OVER ()) AS p FROM documents WHERE doc_id % 3 <> 1 AND lang IS NOT NULL GROUP BY 1),
+per AS (SELECT doc_id, b, count(*) AS k FROM gr GROUP BY 1, 2),
+sco AS (SELECT doc_id, tot.lang AS l, sum(k * ln((coalesce(cnt.n, 0) + 1)::DOUBLE / (tot.n + 262139)::DOUBLE)) AS s FROM per CROSS JOIN tot LEFT JOIN cnt ON cnt.b = per.b AND cnt.lang = tot.lang GROUP BY 1, 2),
+whole AS (SELECT d.doc_id, d.lang, d.doc_id % 3 = 1 AS held_out, l, round(p + coalesce(s, 0), 4) AS score FROM documents d CROSS JOIN pri LEFT JOIN sco USING (doc_id, l))"""
+
+
+@query("language_model", oracle([], "SELECT doc_id, lang, held_out, l AS guess, score FROM whole QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, l) = 1", _LANGUAGE))
+def language_model(t):
+    """Languages by trigrams, learned from two thirds of the documents and told of all."""
+    docs = t("documents").select("doc_id", "lang", (F.col("doc_id") % 3 == 1).alias("held_out"), "text")
+    return language.guessed(docs, language.learn(docs.where(~F.col("held_out"))))

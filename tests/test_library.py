@@ -22,6 +22,9 @@ def test_library(spark, tmp_path):
     got = lib.query_library("bridges of Koenigsberg")
     assert got["sources"][0]["title"] == "euler.txt" and got["answer"].startswith("LLM API unavailable")
     assert lib.find_sources("clown anemones", 1)[0].startswith("1. fish.txt")
+    refined = lib.ask(spark.createDataFrame([(3, "bridges of Koenigsberg"), (4, "clwon fishes")], "query_id long, question string"), refine=True).orderBy("query_id", "place").collect()
+    assert [(r.query_id, r.title) for r in refined if r.place == 0] == [(3, "euler.txt"), (4, "fish.txt")]
+    assert all(0 < len(r.passage.split()) < 0.5 * len(r.text.split()) for r in refined)
 
     def answer(df):
         body = json.dumps({"persons": [{"name": "L. Euler", "birth_year": 1707, "calculus_number": 3}, {"name": "Leonhard Euler"}], "relationships": [{"subject": "Leonhard Euler", "predicate": "same as", "object": "L. Euler"}]})
