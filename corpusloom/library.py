@@ -17,10 +17,12 @@ from corpusloom import importable, providers
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking, compression, entities, extraction, feedback, late, retrieval, state
 from corpusloom.sources import files as SF
+from corpusloom.sources import scratch
 from corpusloom.sources.scratch import stored
 
 STATE = "path string, hash string, status string, chunks_indexed long, error string, updated_at timestamp, context_version int"
-GRAPH = "path string, status string, objects_extracted int, relationships_extracted int, error string, retry_count int"
+GRAPH = "path string, status string, objects_extracted int, relationships_extracted int, error string, retry_count int, run int"
+BIBLIOGRAPHY = "stem string, citekey string, title string, author string, date string, language string, type string"
 CHUNKS = chunking.CHUNKS + ", context string, vector array<float>"
 
 
@@ -73,7 +75,9 @@ class Library:
         Every file read writes its partition, one without chunks a row without an id, so that none keeps chunks of an older text.
         """
         before = self.table("state", STATE)
-        files = SF.to_index(SF.collect(self.spark, root, extensions), before, limit)
+        own = scratch.folder(self.spark, "library-index")
+        # read and hashed once: what is indexed is what was hashed, whatever happens to a file meanwhile
+        files = stored(SF.to_index(SF.collect(self.spark, root, extensions), before, limit), "files", within=own)
         if pages is None:
             pages = lambda f: f.select("path", F.lit(1).alias("page"), T.page_text(F.col("content").cast("string")).alias("text"))
         read = pages(files).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))
@@ -92,15 +96,27 @@ class Library:
         n = entry.count()
         if n:
             self._save(state.upsert(before, entry), "state")
+        scratch.drop(self.spark, own)
         return n
 
     def chunks(self) -> DataFrame:
         return self.table("chunks", CHUNKS).where("id is not null")
 
+    def cite(self, items: DataFrame) -> None:
+        """Keep a bibliography (as ``files.bibliography_index`` takes it): sources are then named by their title, author and year."""
+        self._save(SF.bibliography_index(items), "bibliography")
+
+    def _sources(self) -> DataFrame:
+        """The chunks with the data of their files."""
+        files = self.chunks().select("id", F.col("source_file_id").alias("path"), F.col("page_number").alias("page"), "context", "text")
+        name = F.element_at(F.split("path", "/"), -1)
+        cited = SF.with_bibliography(files, self.table("bibliography", BIBLIOGRAPHY))
+        return cited.select("id", "page", "context", "text", name.alias("file_name"), F.when(F.col("zotero_key") == "", name).otherwise(F.col("title")).alias("title"), "author", "year")
+
     # --- questions ---
 
     def ask(self, questions: DataFrame, k: int = retrieval.K_CONTEXT, refine: bool = False) -> DataFrame:
-        """``query_id``, ``question`` → the sources of each: ``place, title, page, rrf_score, text, passage``.
+        """``query_id``, ``question`` → the sources of each: ``place, title, author, year, page, rrf_score, text, passage``.
 
         ``refine`` also asks each question with the terms that its first passages add, pools both
         hypotheses, puts the best in order by late interaction, and cuts the passages to what they tell.
@@ -114,12 +130,12 @@ class Library:
             top = self._refined(questions, dense, asked, sparse, index, k)
         else:
             top = retrieval.reranked(retrieval.fused(dense, sparse), providers.get("rerank")(F.lit(""), F.lit("")), k)
-        out = top.join(self.chunks().select("id", F.element_at(F.split("source_file_id", "/"), -1).alias("title"), F.col("page_number").alias("page"), "context", "text"), "id")
-        passage = retrieval.passage(F.col("place") + 1, F.col("title"), F.col("title"), F.lit(None).cast("string"), F.lit(None).cast("int"), F.col("page"), F.col("context"), F.col("text"))
+        out = top.join(self._sources(), "id")
+        passage = retrieval.passage(F.col("place") + 1, F.col("title"), F.col("file_name"), F.col("author"), F.col("year"), F.col("page"), F.col("context"), F.col("text"))
         if refine:
             told = compression.compressed(out.select("query_id", "id", passage.alias("p")), ["query_id", "id"], "p", stored(compression.counts(self.chunks(), "text"), "pairs"))
             out, passage = out.join(told, ["query_id", "id"]), F.col("compressed")
-        return out.select("query_id", "place", "title", "page", F.round("rrf_score", 4).alias("rrf_score"), "text", passage.alias("passage"))
+        return out.select("query_id", "place", "title", "author", "year", "page", F.round("rrf_score", 4).alias("rrf_score"), "text", passage.alias("passage"))
 
     def _refined(self, questions: DataFrame, dense: DataFrame, asked: DataFrame, sparse: DataFrame, index: DataFrame, k: int) -> DataFrame:
         dense, sparse = stored(dense, "dense"), stored(sparse, "sparse")
@@ -134,11 +150,12 @@ class Library:
         rows = self.ask(q).orderBy("place").collect()  # K_CONTEXT rows
         top = self.spark.createDataFrame([(0, r.place, r.text) for r in rows], "query_id long, place int, text string")
         answer = providers.get("answer")(top).first() if rows else None
-        return {"answer": answer.answer if answer else "No sources found.", "sources": [{"title": r.title, "page": r.page, "rrf_score": r.rrf_score} for r in rows]}
+        return {"answer": answer.answer if answer else "No sources found.", "sources": [{"title": r.title, "author": r.author, "year": r.year, "page": r.page, "rrf_score": r.rrf_score} for r in rows]}
 
     def find_sources(self, topic: str, top_k: int = 5) -> list[str]:
         q = self.spark.createDataFrame([(0, topic)], "query_id long, question string")
-        return [f"{r.place + 1}. {r.title}, p. {r.page} (score {r.rrf_score})" for r in self.ask(q, top_k).orderBy("place").collect()]
+        rows = self.ask(q, top_k).orderBy("place").collect()
+        return [f"{r.place + 1}. {r.title}" + (f" — {r.author}" if r.author else "") + (f" ({r.year})" if r.year else "") + f" [score: {r.rrf_score}]" for r in rows]
 
     # --- people ---
 
@@ -149,17 +166,20 @@ class Library:
         text = self.chunks().groupBy(F.col("source_file_id").alias("path")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("passage_index", "text")))["text"], "\n").alias("text"))
         texts = todo.join(text, "path", "left").withColumn("text", F.substring("text", 1, SF.TEXT_LIMIT))
         done = extraction.retried(before, extraction.entries(answer(texts).withColumn("found", F.lit(True))))
-        done.write.mode("overwrite").parquet(f"{self.folder}/extracted.new")
-        done = self.spark.read.parquet(f"{self.folder}/extracted.new")
+        # a run has a number, which its end makes known: one that was cut off is run again under the same and replaces what it wrote
+        number = before.agg(F.coalesce(F.max("run"), F.lit(0)) + 1).first()[0]
+        path = f"{self.folder}/extracted/run={number}"
+        done.write.mode("overwrite").parquet(path)
+        done = self.spark.read.parquet(path).withColumn("run", F.lit(number))
         n = done.count()
         if n:
-            done.select("path", "persons", "relationships").where("persons is not null").write.mode("append").parquet(f"{self.folder}/extracted")
             self._save(state.upsert(before, done.select(*before.columns)), "graph")
         return n
 
     def enrich(self, people: DataFrame) -> DataFrame:
         """The ordered merge of all extracted people into a roster (``pid, name, ord``): matches, new people, edges."""
-        x = self.spark.read.parquet(f"{self.folder}/extracted").withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+        known = self.table("graph", GRAPH).select(F.coalesce("run", F.lit(0)).alias("run")).distinct()
+        x = self.spark.read.parquet(f"{self.folder}/extracted").where("persons is not null").join(known, "run", "left_semi").withColumn("file_name", F.element_at(F.split("path", "/"), -1))
         x = x.withColumn("file_ord", F.col("path"))
         persons = x.select("file_name", "file_ord", F.posexplode("persons").alias("ord", "p")).select("file_name", "file_ord", F.col("ord").cast("long").alias("ord"), F.col("p.name").alias("name"))
         relations = x.select("file_name", "file_ord", F.posexplode("relationships").alias("ord", "r")).select("file_name", "file_ord", F.col("ord").cast("long").alias("ord"), "r.*")

@@ -14,6 +14,7 @@ Null and empty texts score 0, as do questions without words.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from hashlib import md5
 
 import numpy as np
@@ -90,3 +91,21 @@ def reranked(candidates: DataFrame, questions: DataFrame, texts: DataFrame, k: i
     pairs = first.join(questions, "query_id").join(texts, "id", "left")
     out = scored(pairs)
     return top_k(out.withColumnRenamed("place", "fused_place"), ["query_id"], [out["rerank_score"].desc(), "fused_place"], k, "place")
+
+
+def text_vectors(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, vector``: the sum of the vectors of a text's words, each as often as it stands; zeros without words."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        vectors = Words()
+        for b in batches:
+            out = np.zeros((b.num_rows, DIM))
+            for n, text in enumerate(b.column(1).to_pylist()):
+                counts = Counter(_WORD.findall((text or "").lower()))
+                words = list(counts)
+                for at in range(0, len(words), BLOCK):
+                    out[n] += np.array([counts[w] for w in words[at : at + BLOCK]]) @ vectors.of(words[at : at + BLOCK])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(out), pa.list_(pa.float64()))], names=["id", "vector"])
+
+    return rows.select(id_col, text_col).mapInArrow(run, f"id {kind}, vector array<double>")

@@ -8,6 +8,7 @@ from corpusloom.functions import eras
 from corpusloom.functions import text as T
 from corpusloom.operators import entities as E
 from corpusloom.operators import people as P
+from corpusloom.operators import snapshot as S
 
 from .registry import oracle, query
 
@@ -296,3 +297,68 @@ def snapshot_entities(t):
     s = P.snapshot(t("v_people"))
     e = F.col("canonicalEntity")
     return s.select(e["id"].alias("id"), e["displayName"]["mergedValue"].alias("merged_name"), e["birthYear"]["effectiveValue"].alias("merged_birth"), e["displayName"]["values"][0]["sourceRecordId"].alias("source_record"), e["displayName"]["values"][0]["confidence"].cast("double").alias("confidence"))
+
+
+_ROSTER = """roster AS (SELECT *, CASE WHEN ord % 3 = 0 THEN 'https://w/' || CAST(ord AS STRING) END AS wikipedia_url, CASE WHEN ord % 6 = 0 THEN 'about ' || name END AS wikipedia_description, [field, country] AS schools FROM v_people_dup),
+named AS (SELECT *, replace(trim(lower(regexp_replace(name, '[^a-zA-Z0-9_\\s]', '', 'g'))), ' ', '-') || '-' || CAST(birth_year AS STRING) AS slug, replace(trim(lower(regexp_replace(name, '[^a-zA-Z0-9_\\s]', '', 'g'))), ' ', '_') || '_' || CAST(birth_year AS STRING) AS pid2, coalesce(wikipedia_url, '') <> '' AND coalesce(portrait_url, '') NOT IN ('', 'Picture') AS shown FROM roster)"""
+
+
+def _roster(t):
+    """The roster with its duplicates, a third of it with an article."""
+    w = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("https://w/"), F.col("ord").cast("string")))
+    about = F.when(F.col("ord") % 6 == 0, F.concat(F.lit("about "), "name"))
+    return t("v_people_dup").withColumns({"wikipedia_url": w, "wikipedia_description": about, "schools": F.array("field", "country")})
+
+
+def _json(rows):
+    return rows.select("id", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("record"))
+
+
+_DOMAINS = "CASE WHEN regexp_matches(lower(coalesce(field, '')), 'math|physics|chem|bio|astro|science') THEN ['domain_history', 'domain_science'] ELSE ['domain_history'] END"
+_PORTRAITS = "CASE WHEN shown THEN [{'id': 'source_media_curated_' || slug, 'sourceRecordId': 'source_record_curated_' || slug, 'label': name || ' portrait', 'kind': 'portrait', 'publicAssetPath': portrait_url, 'isPreferred': true}] ELSE [] END"
+
+
+def _told(field: str, value: str, confidence: float, raw: str | None = None) -> str:
+    more = f", 'rawPath': '{raw}'" if raw else ""
+    return f"{{'field': '{field}', 'value': to_json({value}), 'sourceKind': 'people_enriched', 'sourceRecordId': 'source_record_curated_' || slug, 'confidence': {confidence}::DOUBLE{more}}}"
+
+
+_VALUES = ", ".join((_told("displayName", "name", 0.9, "name"), _told("birthYear", "birth_year", 0.9, "birth_year"), _told("deathYear", "death_year", 0.9, "death_year"), _told("domainIds", _DOMAINS, 0.4, "field")))
+
+
+@query("snapshot_source_records", oracle(["v_people_dup"], f"""SELECT 'source_record_curated_' || slug AS id, CAST(to_json({{'id': 'source_record_curated_' || slug, 'kind': 'people_enriched', 'recordType': 'curated_person', 'externalId': CAST(ord AS STRING), 'title': name, 'displayName': name, 'slug': slug,
+  'normalizedDisplayName': lower(trim(name)), 'sourcePath': 'people_enriched.json#row[' || CAST(ord AS STRING) || ']', 'birthYear': birth_year, 'deathYear': death_year, 'aliases': []::VARCHAR[], 'domainHints': {_DOMAINS}, 'traditionHints': schools, 'placeHints': CASE WHEN coalesce(country, '') <> '' THEN [country] ELSE [] END,
+  'rawFields': {{'index': ord, 'name': name, 'birth_year': birth_year, 'death_year': death_year, 'field': field, 'country': country, 'calculus_name': NULL::VARCHAR, 'calculus_number': calculus_number, 'person_id': pid2}},
+  'fieldValues': CASE WHEN shown THEN [{_VALUES}, {_told("preferredPortrait", "'source_media_curated_' || slug", 0.8, "portrait_url")}] ELSE [{_VALUES}] END,
+  'portraitCandidates': {_PORTRAITS}, 'confidence': 0.8::DOUBLE, 'wikipedia': CASE WHEN wikipedia_url IS NOT NULL THEN {{'url': wikipedia_url, 'wikidataId': NULL::VARCHAR, 'articlePath': NULL::VARCHAR, 'citationsPath': NULL::VARCHAR}} END}}) AS VARCHAR) AS record FROM named""", _ROSTER))
+def snapshot_source_records(t):
+    return _json(S.source_records(_roster(t)))
+
+
+def _field(merged: str, values: str = "[]", effective: str | None = None) -> str:
+    return f"{{'mergedValue': to_json({merged}), 'effectiveValue': to_json({effective or merged}), 'precedence': 'merged', 'values': {values}, 'provenance': []::VARCHAR[]}}"
+
+
+@query("snapshot_canonical", oracle(["v_people_dup"], f"""SELECT 'person_' || slug AS id, CAST(to_json({{'id': 'person_' || slug, 'entityType': 'person', 'slug': slug, 'mergeStatus': 'singleton', 'reviewStatus': 'draft', 'visibility': 'draft', 'mergeConfidence': 0.8::DOUBLE, 'mergeSignals': []::VARCHAR[], 'fieldConflicts': []::VARCHAR[],
+  'sourceRecordIds': ['source_record_curated_' || slug], 'portraitCandidates': {_PORTRAITS}, 'updatedAt': '2024-01-01T00:00:00Z', 'displayName': {_field("name", f"[{_told('displayName', 'name', 0.9)}]")}, 'aliases': {_field("[]::VARCHAR[]")},
+  'birthYear': {_field("birth_year", f"[{_told('birthYear', 'birth_year', 0.9)}]")}, 'deathYear': {_field("death_year", f"[{_told('deathYear', 'death_year', 0.9)}]")},
+  'summary': {_field("coalesce(wikipedia_description, name || ', historical figure.')", effective="wikipedia_description")}, 'domainIds': {_field(_DOMAINS, f"[{_told('domainIds', _DOMAINS, 0.4)}]")}, 'traditionIds': {_field("[]::VARCHAR[]")}, 'tagIds': {_field("[]::VARCHAR[]")},
+  'preferredPortrait': {_field("CASE WHEN shown THEN 'source_media_curated_' || slug END", effective="NULL::VARCHAR")},
+  'metadata': {{'calculus_number': calculus_number, 'calculus_name': NULL::VARCHAR, 'person_id': pid2, 'schools': schools, 'cognitive_tags': []::VARCHAR[], 'math_tags': []::VARCHAR[], 'domain_tags': []::VARCHAR[], 'centrality_score': NULL::DOUBLE, 'cluster_id': NULL::VARCHAR, 'pipeline_flags': []::VARCHAR[]}}}}) AS VARCHAR) AS record FROM named""", _ROSTER))
+def snapshot_canonical(t):
+    return _json(S.canonical_entities(_roster(t), "2024-01-01T00:00:00Z"))
+
+
+@query("snapshot_candidates", oracle(["v_people_dup"], f"SELECT 'candidate_' || slug AS id, lower(trim(name)) AS normalized, array_to_string(string_split(lower(trim(name)), ' '), '|') AS tokens, array_to_string({_DOMAINS}, '|') AS hints, shown AS has_portrait FROM named", _ROSTER))
+def snapshot_candidates(t):
+    c = S.candidates(_roster(t))
+    return c.select("id", F.col("normalizedName").alias("normalized"), F.array_join("nameTokens", "|").alias("tokens"), F.array_join("domainIds", "|").alias("hints"), (F.size("portraitCandidates") > 0).alias("has_portrait"))
+
+
+@query("drive_payloads", """SELECT count(*) FILTER (WHERE k = 'index') AS "indexRecordCount", count(*) FILTER (WHERE k = 'queue_entity') AS "queueEntityCount", count(*) FILTER (WHERE k = 'proposed_addition') AS "proposedAdditionCount", count(*) FILTER (WHERE k = 'embedding') AS "embeddingCount"
+  FROM (SELECT ['index', 'queue_entity', 'proposed_addition', 'embedding', 'processing_report'][event_id % 5 + 1] AS k FROM events)""")
+def drive_payloads(t):
+    """Events as records of the drive feeds, counted for both payloads."""
+    kinds = F.array(*map(F.lit, ("index", "queue_entity", "proposed_addition", "embedding", "processing_report")))
+    r = t("events").select(F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("record_type"), "event_id")
+    return S.drive_payload(r, S.DRIVE_INDEX | S.DRIVE_SEMANTIC)

@@ -204,3 +204,22 @@ def compressed_passages(t):
     found = R.sparse_leg(*_terms(t)).where(F.col("sparse_rank") < R.K_CONTEXT).select("query_id", "id")
     passages = found.join(t("documents").select(F.col("doc_id").alias("id"), "text"), "id")
     return compression.compressed(passages, ["query_id", "id"], "text", stored(compression.counts(t("documents"), "text"), "pairs"))
+
+
+#: Vectors of the people's texts and of the questions, as sums of their words' vectors.
+_PEOPLE_VECTORS = """said AS (SELECT 'p' AS side, pid AS k, name || ' ' || coalesce(field, '') || ' ' || coalesce(country, '') AS t FROM v_people UNION ALL SELECT 'q', vec_id, label || ' ' || coalesce(n, '') FROM (SELECT c_custkey AS vec_id, c_mktsegment AS label, 'person ' || CAST(c_custkey % 700 AS STRING) AS n FROM customer WHERE c_custkey % 100 = 0)),
+tok AS (SELECT side, k, w, count(*) AS c FROM (SELECT side, k, unnest(string_split_regex(lower(t), '[^a-z0-9]+')) AS w FROM said) WHERE w <> '' GROUP BY ALL),
+gram AS (SELECT w, unnest(list_transform(range(1, length(w) + 1), lambda i: substr('<' || w || '>', i, 3))) AS g FROM (SELECT DISTINCT w FROM tok)),
+wdim AS (SELECT w, CAST('0x' || substr(md5(g), 1, 2) AS INT) % 64 AS i, sum(CASE WHEN CAST('0x' || substr(md5(g), 3, 2) AS INT) % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM gram GROUP BY 1, 2),
+wunit AS (SELECT w, i, x / sqrt(sum(x * x) OVER (PARTITION BY w)) AS x FROM wdim QUALIFY sum(x * x) OVER (PARTITION BY w) > 0),
+tdim AS (SELECT side, k, i, sum(c * x) AS x FROM tok JOIN wunit USING (w) GROUP BY 1, 2, 3),
+tunit AS (SELECT side, k, i, x / sqrt(sum(x * x) OVER (PARTITION BY side, k)) AS x FROM tdim)"""
+
+
+@query("people_leg_topk", oracle(["v_people"], """SELECT query_id, id, dense_rank, dense_score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, id) - 1 AS INT) AS dense_rank FROM (
+  SELECT q.k AS query_id, p.k AS id, round(sum(q.x * p.x), 6) + 0.0 AS dense_score FROM tunit q JOIN tunit p ON q.side = 'q' AND p.side = 'p' AND q.i = p.i GROUP BY 1, 2)) WHERE dense_rank < 5""", _PEOPLE_VECTORS))
+def people_leg_topk(t):
+    """The people nearest to questions about them: vectors of their own texts, searched as documents' are."""
+    p = t("v_people").select("pid", F.concat_ws(" ", "name", "field", "country").alias("t"))
+    q = t("customer").where("c_custkey % 100 = 0").select("c_custkey", F.concat(F.col("c_mktsegment"), F.lit(" person "), (F.col("c_custkey") % 700).cast("string")).alias("t"))
+    return R.dense_leg(late.text_vectors(q, "c_custkey", "t").withColumnRenamed("id", "query_id"), late.text_vectors(p, "pid", "t"), R.K_PEOPLE)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from corpusloom.operators import state as S
 from corpusloom.sources import files as SF
 from corpusloom.sources import json as SJ
+from corpusloom.sources import scratch
+from corpusloom.sources.tail import Tail
 
 from .registry import oracle, query
 
@@ -179,3 +181,15 @@ def path_exclusion(t):
     from corpusloom.functions.text import excluded
 
     return t("v_files").where(~excluded(F.col("path"), ("SRC1", "/9"))).select("path")
+
+
+@query("log_tail_bytes", """SELECT line FROM (SELECT *, sum(length(line) + 1) OVER (ORDER BY event_id DESC) AS back FROM (SELECT event_id, CAST(event_id AS STRING) || ' ' || event_type AS line FROM events)) WHERE back < 8000""")
+def log_tail_bytes(t):
+    """Events written as a log, and its end read by byte offset."""
+    lines = t("events").orderBy("event_id").select(F.concat_ws(" ", F.col("event_id").cast("string"), "event_type").alias("value"))
+    spark = lines.sparkSession
+    path = scratch.folder(spark, "log")
+    lines.coalesce(1).write.text(path)  # a log is one file
+    spark.dataSource.register(Tail)
+    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    return spark.read.format("tail").load(files[0]).select("line")

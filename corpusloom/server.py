@@ -99,7 +99,8 @@ def server(lib: Library, port: int = PORT) -> ThreadingHTTPServer:
 def query_library(lib: Library, given: dict) -> str:
     """Answer a question from the library, with its sources."""
     got = lib.query_library(_text(given, "question"))
-    listed = "\n".join(f"[{i}] {s['title']}" for i, s in enumerate(got["sources"], 1))
+    cited = lambda s: ", ".join(str(x) for x in (s["author"], s["title"], s["year"]) if x)
+    listed = "\n".join(f"[{i}] {cited(s)}" for i, s in enumerate(got["sources"], 1))
     return got["answer"] + (f"\n\n**Sources retrieved:**\n{listed}" if listed else "")
 
 

@@ -50,11 +50,11 @@ def hashed(files: DataFrame) -> DataFrame:
 
 
 def to_index(files: DataFrame, state: DataFrame, limit: int | None = None) -> DataFrame:
-    """The files that changed since they were indexed, in path order."""
+    """The files that changed since they were indexed; with ``limit`` the first by path.  Paths are sorted, never contents."""
     from corpusloom.operators.state import dirty
 
-    out = dirty(hashed(files), state).orderBy("path")
-    return out.limit(limit) if limit else out
+    out = dirty(hashed(files), state)
+    return out.join(out.select("path").orderBy("path").limit(limit), "path", "left_semi") if limit else out
 
 
 def texts(files: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
