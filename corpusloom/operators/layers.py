@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import differs, layer_text, strip, tex
+from corpusloom.functions.text import differs, layer_text, nonempty, strip, tex
 
 LAYERS = ("diplomatic", "normalized", "translation")
 FLOWING = ("paragraph", "list_item", "epigraph", "mathematical_expression", "colophon", "table_cell")
@@ -124,13 +124,30 @@ def latex_body(regions: DataFrame, doc: str = "doc_id", source_language: str = "
     return out.groupBy(doc).agg(F.array_join(F.array_sort(F.collect_list(F.struct("late", "seq", "line"))).getField("line"), "\n").alias("body"))
 
 
+# What a file of each template begins with (class, packages and settings in order), and what stands around its title.
+_FONTS = ("[T1]{fontenc}", "[utf8]{inputenc}", "{lmodern}")
+HEADS = {
+    "article": ("[12pt]{article}", (*_FONTS, "{microtype}", "{csquotes}", "[margin=1in]{geometry}", "{setspace}", "\\onehalfspacing", "{marginnote}"), ("\\maketitle",)),
+    "memoir": ("[12pt,oneside]{memoir}", (*_FONTS, "{microtype}", "{csquotes}", "{marginnote}"), ("\\frontmatter", "\\maketitle", "\\mainmatter")),
+    "reledpar": ("[12pt]{article}", (*_FONTS, "{reledpar}", "{reledmac}", "{csquotes}", "[margin=1in]{geometry}"), ("\\maketitle",)),
+}
+
+
+def _head(name: str) -> tuple[str, str]:
+    """A template's lines before the title's data and after it."""
+    of_class, lines, title = HEADS[name]
+    before = [f"\\documentclass{of_class}", *(x if x.startswith("\\") else f"\\usepackage{x}" for x in lines), "", ""]
+    return "\n".join(before), "\n".join(["\\begin{document}", *title, ""])
+
+
 def rendered(documents: DataFrame, bodies: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Whole LaTeX files: ``doc``, ``latex``.  ``documents``: ``doc, title, author, template``."""
-    classes = {"article": "article", "memoir": "memoir", "reledpar": "article"}
-    extra = {"article": "", "memoir": "", "reledpar": "\\usepackage{reledmac}\n\\usepackage{reledpar}\n"}
-    pick = lambda m: F.element_at(F.create_map(*(F.lit(x) for kv in m.items() for x in kv)), F.col("template"))
-    head = F.concat(F.lit("\\documentclass{"), pick(classes), F.lit("}\n"), pick(extra), F.lit("\\usepackage{marginnote}\n\\title{"), tex(F.coalesce("title", F.lit("Untitled"))), F.lit("}\n\\author{"), tex(F.coalesce("author", F.lit(""))), F.lit("}\n\\begin{document}\n\\maketitle\n"))
-    return documents.join(bodies, doc).select(doc, F.concat(head, F.col("body"), F.lit("\n\\end{document}\n")).alias("latex"))
+    """Whole LaTeX files: ``doc``, ``latex``.  ``documents``: ``doc, title, author`` (a name or an array of names), ``template`` and, if it has one, ``year``."""
+    pick = lambda n: F.element_at(F.create_map(*(F.lit(x) for k in HEADS for x in (k, _head(k)[n]))), F.coalesce("template", F.lit("article")))
+    author = F.array_join("author", " and ") if documents.schema["author"].dataType.typeName() == "array" else F.col("author")
+    year = F.coalesce(F.col("year").cast("string"), F.lit("")) if "year" in documents.columns else F.lit("")
+    title = F.when(nonempty(F.col("title")), F.col("title")).otherwise("Untitled")
+    data = F.concat(F.lit("\\title{"), tex(title), F.lit("}\n\\author{"), tex(F.coalesce(author, F.lit(""))), F.lit("}\n\\date{"), year, F.lit("}\n"))
+    return documents.join(bodies, doc).select(doc, F.concat(pick(0), data, pick(1), F.col("body"), F.lit("\n\\end{document}\n")).alias("latex"))
 
 
 def file_name(title: Column) -> Column:

@@ -94,12 +94,14 @@ def scored(queries: DataFrame, index: DataFrame, wanted: DataFrame, parts: int =
 
 def plan(queries: DataFrame, index: DataFrame, k: int = K_SPARSE, parts: int = PARTS, first: int = FIRST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What a search does: the first blocks' scores, the blocks scored after them, and ``effort`` (``query_id, blocks, read, skipped``)."""
-    every = stored(top_k(bounds(queries, index, parts), ["query_id"], [F.desc("bound"), F.col("block")], 1 << 30, "no"), "bounds")
-    begun = stored(scored(queries, index, every.where(F.col("no") < first), parts), "first-scores")
+    every = stored(bounds(queries, index, parts), "bounds")
+    top = stored(top_k(every, ["query_id"], [F.desc("bound"), F.col("block")], first).select("query_id", "block"), "first-blocks")
+    begun = stored(scored(queries, index, top, parts), "first-scores")
     reached = top_k(begun, ["query_id"], [F.desc("sparse_score"), F.col("id")], k, "n").where(F.col("n") == k - 1).select("query_id", F.col("sparse_score").alias("least"))
-    rest = every.where(F.col("no") >= first).join(reached, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") + 10.0**-PLACES >= F.col("least")))
-    read = every.select("query_id", "block", (F.col("no") < first).cast("long").alias("read")).unionByName(rest.select("query_id", F.lit(None).cast("long").alias("block"), F.lit(1).cast("long").alias("read")))
-    effort = read.groupBy("query_id").agg(F.count("block").alias("blocks"), F.sum("read").alias("read")).withColumn("skipped", F.col("blocks") - F.col("read"))
+    others = every.join(top, ["query_id", "block"], "left_anti").join(reached, "query_id", "left")
+    rest = others.where(F.col("least").isNull() | (F.col("bound") + 10.0**-PLACES >= F.col("least"))).select("query_id", "block")
+    count = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
+    effort = count(every, "blocks").join(count(top.unionByName(rest), "read"), "query_id").withColumn("skipped", F.col("blocks") - F.col("read"))
     return begun, rest, effort
 
 

@@ -6,9 +6,9 @@ row goes to the cell of its nearest centroid.  A cell is stored in blocks of abo
 ``retrieval.INDEX_BLOCK`` vectors, so a cell that holds a third of all rows is
 many rows of the index, read by many tasks.
 
-How many cells a question reads is found from the sample: enough that ``target``
-of the ``k`` nearest rows of the sample's own questions lie in the cells read
-first, counted against all rows of the sample.  The exact search goes on from
+How many cells a question reads is found from ``CALIBRATED`` rows of the sample:
+enough that ``target`` of the ``k`` nearest of them to ``QUESTIONS`` of their own lie
+in the cells read first, counted against all of them.  The exact search goes on from
 there: by the triangle inequality a row of a cell is no nearer than the centroid's
 distance less the cell's radius, so only cells that can hold a row as near as the
 k-th found are read.
@@ -33,6 +33,7 @@ from .retrieval import INDEX_BLOCK, K_DENSE, PLACES, QUESTION_BLOCK, best_of_blo
 from .rewrites import top_k
 
 SAMPLE, MAX_CELLS, ROUNDS, QUESTIONS = 64, 4096, 10, 256
+CALIBRATED = 16_384  # rows of the sample that the cells to read are found from
 TARGET = 0.95
 #: Questions and cells that a task holds before it passes them on.
 HELD = 65_536
@@ -57,14 +58,16 @@ def _sample(rows: DataFrame, bound: int) -> DataFrame:
 
 
 def fit(rows: DataFrame, n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids for ``n`` rows (``id, v``, all of one length), and the sample they were fitted to."""
+    """Centroids for ``n`` rows (``id, v``, all of one length), and some of the sample they were fitted to."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     cells = max(1, min(MAX_CELLS, round(n**0.5)))
     sample = stored(_sample(rows, SAMPLE * cells).select("v"), "sample")
     model = KMeans(k=cells, maxIter=ROUNDS, seed=seed, featuresCol="f").fit(sample.select(array_to_vector("v").alias("f")))
-    return np.array(model.clusterCenters()), np.array([r.v for r in sample.collect()])
+    centroids = np.array(model.clusterCenters())
+    some = sample.limit(CALIBRATED).toArrow().column("v").combine_chunks()
+    return centroids, some.flatten().to_numpy().reshape(-1, centroids.shape[1])
 
 
 def probes_for(sample: np.ndarray, centroids: np.ndarray, k: int, target: float) -> int:

@@ -45,8 +45,8 @@ class Extractor:
 
 def speaker(model, prompt):
     """``one`` answers even numbers, ``two`` every third, ``three`` every fifth; ``three`` merges even numbers, ``two`` every ninth."""
-    if prompt.startswith("The following"):
-        n = int(prompt.split('"')[1])
+    if not prompt.isdigit():  # several answers to merge; the question stands on a line of its own
+        n = int(prompt.split("\n")[1])
         if n % {"x/three": 2, "x/two": 9}[model]:
             raise M.Refused
         return f"{model} merged {prompt.count(']:')}"

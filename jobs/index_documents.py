@@ -48,11 +48,13 @@ def indexed(spark: SparkSession, out: str) -> DataFrame:
 
 
 def current(spark: SparkSession, out: str) -> DataFrame:
-    """The chunks of the last version of each document."""
+    """The chunks of the last version of each document: those of all batches that have ended, without the versions that later ones replace."""
     path = f"{out}/chunks"
     chunks = spark.read.schema(CHUNKS).parquet(path) if scratch.exists(spark, path) else spark.createDataFrame([], CHUNKS)
-    last = indexed(spark, out).groupBy(F.col("doc").alias("source_file_id")).agg(F.max("batch").alias("batch"))
-    return chunks.join(last, ["source_file_id", "batch"], "left_semi")
+    state = indexed(spark, out).select(F.col("doc").alias("source_file_id"), "batch")
+    last = state.groupBy("source_file_id").agg(F.max("batch").alias("last"))
+    replaced = state.join(last, "source_file_id").where("batch < last").select("source_file_id", "batch")
+    return chunks.join(state.select("batch").distinct(), "batch", "left_semi").join(replaced, ["source_file_id", "batch"], "left_anti")
 
 
 def documents(batch: DataFrame, conf: dict) -> DataFrame:

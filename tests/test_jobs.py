@@ -107,6 +107,14 @@ def test_search_index_by_language(spark, tmp_path):
     check(run("fewer"), [d for d in docs if d[2] != "fr"] + fewer)
 
 
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/asked")
+    for _ in range(2):
+        assert index_documents.run(spark, f"{tmp_path}/docs", f"{tmp_path}/chunks", f"{tmp_path}/mark", config("index_documents")).count() == 0
+        assert search_index.run(spark, f"{tmp_path}/docs", f"{tmp_path}/asked", f"{tmp_path}/out", config("search_index")).count() == 0
+
+
 def test_command_lines(spark, tmp_path):
     for name in ("index_documents", "search_index"):
         (tmp_path / f"{name}.json").write_text(json.dumps(config(name) | {"every": 1}))
