@@ -1,4 +1,4 @@
-"""What both jobs share: config files, logs, counts of what a write has seen, and the command line's session."""
+"""What both jobs share: config files, the log, and the command line's session."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ import logging
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from corpusloom import importable
 
@@ -23,20 +22,6 @@ def config(name: str, spark: SparkSession | None = None, path: str | None = None
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
-class Counted:
-    """``rows(df)`` counts the rows that pass on the way to a write; ``n`` is their number once it has ended."""
-
-    def __init__(self) -> None:
-        self.seen = Observation()
-
-    def rows(self, df: DataFrame, *more) -> DataFrame:
-        return df.observe(self.seen, F.count(F.lit(1)).alias("n"), *more)
-
-    @property
-    def n(self) -> int:
-        return self.seen.get["n"]
-
-
 def main(name: str, arguments: list[str], work: Callable[..., object]) -> None:
     """Parses ``arguments`` (paths) and ``--config``, starts a session, runs ``work(spark, *paths, config)`` and stops it."""
     parser = argparse.ArgumentParser(prog=f"python -m jobs.{name}")

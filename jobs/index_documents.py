@@ -34,7 +34,7 @@ from corpusloom.operators import chunking
 from corpusloom.sources import scratch
 from corpusloom.streaming.watch import arrivals
 
-from .common import LOG, Counted, main
+from .common import LOG, main
 
 NAME = "index_documents"
 INDEXED = "doc string, hash string, batch long"
@@ -77,17 +77,18 @@ def work(batch: DataFrame, number: int, out: str, conf: dict) -> None:
     spark = batch.sparkSession
     known = indexed(spark, out).where(F.col("batch") < number).groupBy("doc").agg(F.max_by("hash", "batch").alias("hash"))
     own = scratch.folder(spark, f"{NAME}-batch")
-    read, written, noted = Counted(), Counted(), Counted()
     rows = documents(batch, conf)
-    places = scratch.stored(read.rows(rows.select("doc", "hash", "file", "row"), F.count_if(F.col("doc").isNull()).alias("nameless")), "places", within=own)
+    places = scratch.stored(rows.select("doc", "hash", "file", "row"), "places", within=own)
     best = places.where(F.col("doc").isNotNull()).groupBy("doc").agg(F.max(F.struct("hash", "file", "row")).alias("b")).select("doc", "b.*")
     fresh = scratch.stored(best.join(known, ["doc", "hash"], "left_anti"), "fresh", within=own)
     others = scratch.stored(places.join(fresh, ["file", "row"], "left_anti").select("file", "row"), "others", within=own)
-    chunks = written.rows(chunked(rows.join(others, ["file", "row"], "left_anti"), conf["page_break"]))
+    chunks = chunked(rows.join(others, ["file", "row"], "left_anti"), conf["page_break"])
     chunks.write.partitionBy("lang").mode("overwrite").parquet(f"{out}/chunks/batch={number}")
-    noted.rows(fresh.select("doc", "hash")).write.mode("overwrite").parquet(f"{out}/indexed/batch={number}")
+    fresh.select("doc", "hash").write.mode("overwrite").parquet(f"{out}/indexed/batch={number}")
+    read = places.agg(F.count("*").alias("n"), F.count_if(F.col("doc").isNull()).alias("nameless")).first()
+    written = spark.read.schema(CHUNKS).parquet(f"{out}/chunks/batch={number}").count()
+    LOG.info("batch %d: read %d rows (%d without an id), indexed %d new or changed documents, wrote %d chunks to %s", number, read.n, read.nameless, fresh.count(), written, out)
     scratch.drop(spark, own)
-    LOG.info("batch %d: read %d rows (%d without an id), indexed %d new or changed documents, wrote %d chunks to %s", number, read.n, read.seen.get["nameless"], noted.n, written.n, out)
 
 
 def run(spark: SparkSession, source: str, out: str, checkpoint: str, conf: dict) -> DataFrame:

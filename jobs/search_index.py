@@ -15,7 +15,7 @@ which readers leave out.  Answers are written anew by each run.
 
 Questions are those whose id ``every`` divides, against all documents; only blocks
 that can hold one of the k best are scored.  Documents without an id are left out,
-null and empty texts have no terms, a null language is one of its own.
+null and empty texts have no terms; documents of no language (null or blank) are one more language.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import postings, retrieval
 
-from .common import LOG, Counted, main
+from .common import LOG, main
 
 NAME = "search_index"
 #: Folders of answers.
@@ -40,27 +40,26 @@ def read_index(spark: SparkSession, out: str, schema=None) -> DataFrame:
 
 def build(spark: SparkSession, documents: str, out: str, conf: dict) -> DataFrame:
     table = spark.read.parquet(documents)
-    docs = table.select(F.col(conf["id"]).alias("id"), F.col(conf["text"]).alias("text"), F.col(conf["lang"]).cast("string").alias("lang")).where(F.col("id").isNotNull())
-    LOG.info("index: %s has %d documents", documents, table.count())
-    written = Counted()
-    rows = written.rows(postings.parted(postings.build(docs, "id", "text", conf["docs_in_block"], by="lang"), conf["parts"]))
+    docs = table.select(F.col(conf["id"]).alias("id"), F.col(conf["text"]).alias("text"), F.nullif(F.col(conf["lang"]).cast("string"), F.lit("")).alias("lang")).where(F.col("id").isNotNull())
+    rows = postings.parted(postings.build(docs, "id", "text", conf["docs_in_block"], by="lang"), conf["parts"])
     parts = docs.select("lang").distinct().select("lang", F.explode(F.sequence(F.lit(0), F.lit(conf["parts"] - 1))).alias("part"))
     whole = rows.unionByName(parts, allowMissingColumns=True)
     # few and even files: large parts are split, small ones put together
     whole.hint("rebalance", "lang", "part").write.partitionBy("lang", "part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{out}/index")
-    LOG.info("index: wrote %d rows of terms and blocks to %s/index", written.n, out)
-    return read_index(spark, out, whole.schema)
+    index = read_index(spark, out, whole.schema)
+    LOG.info("index: read %d documents of %s, %s/index now has %d rows of terms and blocks", table.count(), documents, out, index.count())
+    return index
 
 
 def answer(spark: SparkSession, index: DataFrame, questions: str, out: str, conf: dict) -> DataFrame:
     asked = spark.read.parquet(questions).where(F.col(conf["question_id"]) % conf["every"] == 0)
     terms = retrieval.term_weights(asked, conf["question_id"], conf["question_text"], "query_id")
     named = index.withColumn("block", F.concat_ws(":", F.coalesce("lang", F.lit("")), F.col("block").cast("string")))
-    written = Counted()
     best = postings.search(terms, named, conf["k"], conf["parts"])
-    written.rows(best).withColumn("shard", F.pmod(F.xxhash64("query_id"), F.lit(SHARDS)).cast("int")).write.partitionBy("shard").mode("overwrite").parquet(f"{out}/answers")
-    LOG.info("answers: read %d questions of %s, wrote %d rows to %s/answers", asked.count(), questions, written.n, out)
-    return spark.read.schema(best.schema).parquet(f"{out}/answers").select(*best.columns)
+    best.withColumn("shard", F.pmod(F.xxhash64("query_id"), F.lit(SHARDS)).cast("int")).write.partitionBy("shard").mode("overwrite").parquet(f"{out}/answers")
+    answers = spark.read.schema(best.schema).parquet(f"{out}/answers").select(*best.columns)
+    LOG.info("answers: read %d questions of %s, wrote %d rows to %s/answers", asked.count(), questions, answers.count(), out)
+    return answers
 
 
 def run(spark: SparkSession, documents: str, questions: str, out: str, conf: dict) -> DataFrame:
