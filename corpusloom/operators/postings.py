@@ -57,7 +57,8 @@ def build(docs: DataFrame, id_col: str, text_col: str, docs_in_block: int = DOCS
     ``by``, which is stored, so that the planner knows its size.
     """
     keys = [by] if by else []
-    rows = docs.select(*keys, F.col(id_col).alias("id"), words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    rows = docs.select(*keys, F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
+    # no filter on the words here: it would be pushed below them, and they would be split once more
     rows = rows.withColumn("level", size_level(F.size("words").cast("long")))
     counts = stored(rows.groupBy(*keys, "level").agg(F.count("*").alias("of_level")), "levels")
     on = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(counts[k]) for k in [*keys, "level"]))
