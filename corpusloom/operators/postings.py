@@ -63,7 +63,8 @@ def build(docs: DataFrame, id_col: str, text_col: str, docs_in_block: int = DOCS
     counts = stored(rows.groupBy(*keys, "level").agg(F.count("*").alias("of_level")), "levels")
     on = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(counts[k]) for k in [*keys, "level"]))
     block = rows["level"].cast("long") * LEVEL + F.pmod(dealt(F.col("id")), F.ceil(F.col("of_level") / docs_in_block))
-    terms = rows.join(counts, on).select(*(rows[k] for k in keys), block.alias("block"), "id", F.explode("words").alias("term"))
+    placed = rows.join(counts, on).select(*(rows[k] for k in keys), block.alias("block"), "id", "words")
+    terms = placed.select(*keys, "block", "id", F.explode("words").alias("term"))  # apart, or the block is made again for each word
     weights = terms.groupBy(*keys, "term", "block", "id").agg(F.count("*").cast("double").alias("weight"))
     lists = weights.groupBy(*keys, "term", "block").agg(F.max("weight").alias("max_weight"), F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("p"))
     return lists.select(*keys, "term", "block", F.size("p").cast("long").alias("n"), "max_weight", F.col("p.id").alias("ids"), F.col("p.weight").alias("weights"))
