@@ -3,7 +3,8 @@
 Each part is a table with a nested row a person, so it is written by tasks side by
 side; a document's totals are counts of the same rows.  Values of unlike kinds
 (names, years, lists) stand in one list as VARIANT.  Columns that a roster lacks
-count as null, lists as empty.
+count as null, lists as empty.  Names of fields, prefixes of ids and constant texts
+are fixed values: those that readers of a snapshot look for.
 """
 
 from __future__ import annotations
