@@ -7,7 +7,8 @@ its history and its new turns stay within ``budget``; a turn that is longer than
 the budget has a window of its own, whole.  Each window after the first repeats
 the system turn and the last turns before it that fit ``history`` tokens, as far
 as the first new turn leaves room: the oldest history goes first, the system turn
-last.  The repeated assistant turns carry no loss, so each assistant text is under
+last.  A system turn may stand anywhere; the latest one leads the windows after it,
+in place of any before.  The repeated assistant turns carry no loss, so each assistant text is under
 the loss mask once, in order.
 
 Window bounds and history come from prefix sums of the turns' tokens: a span of
@@ -158,9 +159,11 @@ class Packer:
                 loss.append((at + len(opening), at + len(opening) + len(body)))
             at += len(opening) + len(body) + len(closing)
         out = Window("".join(text), loss, len(repeated), self.used(), len(repeated) + len(new))
-        if self.system is None and new[0].role == "system":
-            self.system = new[0]
-            del self.turns[self.fresh]
+        latest = next((turn for turn in reversed(new) if turn.role == "system"), None)
+        if latest:
+            # it leads the windows to come; as history it would stand there twice
+            self.system = latest
+            self.turns = [turn for turn in self.turns if turn.role != "system"]
             self.sums = [0]
             for turn in self.turns:
                 self.sums.append(self.sums[-1] + turn.tokens)

@@ -17,6 +17,11 @@ is the page's article if it outweighs all text outside boilerplate.  Names of
 <html> and <body> and what a layout has or lacks (``has-sidebar``) count for
 nothing; a form around plain blocks counts a little.
 
+Headings, list items and table cells outside boilerplate speak neither for nor
+against, whatever their length: they go with what they stand beside, which the
+cut settles.  Words are counted by spaces, and by two characters in scripts that are
+written without them.
+
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by two line feeds in page order.
 
@@ -29,7 +34,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,20 +58,30 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 _SCOPE = frozenset("div section article aside nav header footer main body ul ol table form dl".split())
 AWAY_TAGS = frozenset("nav footer aside form button menu dialog input".split())
-AWAY_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|foot\w*|header|masthead|topbar|side-?bar|aside|cookies?|consent|notice\w*|gdpr|popup|modal|overlay|comments?|comment-?list|replies|respond|disqus|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|search\w*|widget\w*|pagination|pager|toolbar|legal|copyright|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I)
+AWAY_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|alert\w*|dialog|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|foot\w*|header|masthead|topbar|side-?bar|aside|cookies?|consent|notice\w*|gdpr|popup|modal|overlay|comments?|comment-?list|replies|respond|reactions|disqus|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|search\w*|widget\w*|pagination|pager|toolbar|legal|copyright|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I)
 HOME_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|post|post-?(?:body|content|text)|entry\w*|story\w*|main\w*|content\w*|body-?text|text-?body)(?:$|[\s_-])", re.I)
 #: Names that only the main text has; with <article> and <main> they hold against boilerplate around them.
 STRONG_NAMES = re.compile(r"(?:^|\s)(?:main|main-?content|article|(?:article|post|entry|story)[_-]?(?:body|content|text)|body-?text)(?:$|\s)", re.I)
+#: What readers say below an article; inside one it may be a section of it.
+OUTSIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:discussions?|responses|talkback|feedback)(?:$|[\s_-])", re.I)
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Parts of a name that say what a layout has or lacks, not what the element is.
 _LAYOUT = re.compile(r"(?:(?<=[\s_-])|^)(?:has|no|with|without)[_-]\S+", re.I)
 _NOTICE = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved|cookie|privacy policy|terms of (?:use|service)|sign (?:in|up)|log ?in|subscribe", re.I)
 
+#: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_STOP = re.compile("[.!?] |[\u3002\uff01\uff1f\u0964\u06d4\u061f]")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Tags whose blocks go with their neighbours.
+FOLLOWS = HEADINGS | frozenset("li dt dd td th caption figcaption".split())
+
 # Fixed weights of the block scorer, in thousandths of log-odds.
 BIAS, AWAY, HOME, HEADING, PARAGRAPH, LINKED, NOTICE, PER_LOG2_WORDS, STOPS, LIST = -1500, -4500, 4500, 600, 700, -4000, -1500, 450, 500, -500
 # Weaker evidence, within the range of a block's edges: an article inside boilerplate, and a form around a page.
 DISPUTED, FORM = -2500, -2000
 # Capacities of the smoothness edges.
-ADJACENT, SAME_PARENT, SAME_SCOPE = 250, 450, 350
+ADJACENT, SAME_PARENT, SAME_SCOPE, NESTED = 250, 450, 350, 200
 
 
 @dataclass
@@ -77,6 +92,7 @@ class Block:
     parent: int
     scope: int
     mark: int  # 1 inside an article or the like, -1 inside boilerplate, 2 in an article inside boilerplate, -2 in a form, 0 none of these
+    around: int = 0  # the scope around the block's scope
 
 
 def mark_of(tag: str, names: str, mark: int) -> int:
@@ -84,6 +100,8 @@ def mark_of(tag: str, names: str, mark: int) -> int:
     away = False
     if names and tag not in ("html", "body") and AWAY_NAMES.search(names):
         away = bool(AWAY_NAMES.search(_LAYOUT.sub(" ", names)))
+    if not away and names and mark != 1 and tag not in ("html", "body") and OUTSIDE_NAMES.search(names):
+        away = True
     strong = tag in ("article", "main") or bool(names and STRONG_NAMES.search(names))
     if strong and tag not in AWAY_TAGS:
         if mark in (0, -2, -1):
@@ -108,6 +126,11 @@ class _Reader:
         self.blocks: list[Block] = []
         #: open elements: tag, number, scope's number, mark
         self.stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
+        #: how many elements of a tag are open, and of those without a scope how many in each open scope
+        self.now: Counter[str] = Counter()
+        self.within: list[Counter[str]] = [Counter()]
+        #: the scope around each scope
+        self.around: dict[int, int] = {}
         self.parts: list[str] = []
         self.linked = 0
         self.in_link = False
@@ -130,27 +153,33 @@ class _Reader:
 
     def open(self, tag: str, attributes: str) -> None:
         stack = self.stack
-        closed = CLOSES.get(tag) or (("p",) if tag in _ENDS_P else ())
-        for c in closed:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == c:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
+        for c in CLOSES.get(tag) or (("p",) if tag in _ENDS_P else ()):
+            if self.within[-1][c]:
+                self.close(c)
         if tag in VOID:
             return
         mark = stack[-1][3]
-        names = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)) if attributes else ""
+        names = _HUMP.sub("-", " ".join(a or b or c for a, b, c in _NAMED.findall(attributes))) if attributes else ""
         mark = mark_of(tag, names, mark)
         self.count += 1
+        self.now[tag] += 1
+        if tag in _SCOPE:
+            self.around[self.count] = stack[-1][2]
+            self.within.append(Counter())
+        else:
+            self.within[-1][tag] += 1
         stack.append((tag, self.count, self.count if tag in _SCOPE else stack[-1][2], mark))
 
     def close(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
+        """Close elements up to the last open ``tag``; each is passed once, an end tag of nothing costs nothing."""
+        shut = "" if self.now[tag] else tag
+        while shut != tag:
+            shut = self.stack.pop()[0]
+            self.now[shut] -= 1
+            if shut in _SCOPE:
+                self.within.pop()
+            else:
+                self.within[-1][shut] -= 1
 
 
 def read(page: str) -> list[Block]:
@@ -183,6 +212,8 @@ def read(page: str) -> list[Block]:
         r.say(page[at:])
     r.flush()
     settle(r.blocks)
+    for b in r.blocks:
+        b.around = r.around.get(b.scope, 0)
     return r.blocks
 
 
@@ -200,19 +231,26 @@ def settle(blocks: list[Block]) -> None:
 _MARKS = {0: 0, 1: HOME, -1: AWAY, 2: DISPUTED, -2: FORM}
 
 
+def words_of(text: str) -> int:
+    n = text.count(" ") + 1
+    return n if text.isascii() else n + len(_UNSPACED.findall(text)) // 2
+
+
 def log_odds(b: Block) -> int:
     """The scorer: positive where the block looks like content."""
-    words = b.text.count(" ") + 1
-    z = BIAS + PER_LOG2_WORDS * min(7, words.bit_length()) + LINKED * b.linked // max(1, len(b.text))
-    z += _MARKS[b.mark]
-    if b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+    words = words_of(b.text)
+    z = BIAS + PER_LOG2_WORDS * min(7, words.bit_length())
+    if b.tag in HEADINGS:
         z += HEADING
     elif b.tag in ("p", "blockquote", "pre", "figcaption"):
         z += PARAGRAPH
     elif b.tag == "li":
         z += LIST
-    if words >= 8 and any(s in b.text for s in (". ", "! ", "? ")):
+    if words >= 8 and _STOP.search(b.text):
         z += STOPS
+    if b.mark == 0 and b.tag in FOLLOWS:
+        z = max(z, 0)
+    z += _MARKS[b.mark] + LINKED * b.linked // max(1, len(b.text))
     if words < 30 and _NOTICE.search(b.text):
         z += NOTICE
     return z
@@ -224,7 +262,8 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
     for i, b in enumerate(blocks):
         if i:
             before = blocks[i - 1]
-            out[i - 1, i] = ADJACENT + (SAME_PARENT if before.parent == b.parent else 0)
+            nested = before.scope == b.around or before.around == b.scope
+            out[i - 1, i] = ADJACENT + (SAME_PARENT if before.parent == b.parent else NESTED if nested and before.scope != b.scope else 0)
         j = last.get(b.scope)
         if j is not None:
             out[j, i] = out.get((j, i), 0) + SAME_SCOPE

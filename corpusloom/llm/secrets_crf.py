@@ -22,6 +22,7 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -40,6 +41,10 @@ _TOKEN_CHAR = re.compile(r"[A-Za-z0-9+/_.\-]")
 _NEXT = re.compile(r"[^A-Za-z0-9_]{0,4}([A-Za-z_]+)?")
 _CONTEXT = re.compile(r"([A-Za-z_]+)?([^A-Za-z0-9_\s])?\s*([^A-Za-z0-9_\s])?$")
 KEY_WORDS = frozenset("password passwd pwd secret token key apikey api_key credential credentials auth bearer private access signature hmac".split())
+#: Words before the name of a version, which is often hexadecimal.
+VERSION_WORDS = frozenset("commit commits revision rev build hash sha sha1 checksum digest version blob tree merge parent".split())
+#: Beginnings of keys as their issuers publish them.
+ISSUED = tuple("AIza AKIA ASIA SG. dop_v1_ eyJ gho_ ghp_ ghr_ ghs_ ghu_ github_pat_ glpat- hf_ npm_ pypi- rk_live_ shpat_ sk- sk_live_ sk_test_ xapp- xoxa- xoxb- xoxp- ya29.".split())
 LABELS = ("O", "B", "I")
 TRAIN_LINES = 3000
 #: The chain's margin: a begin must beat outside by this much, so that prose is left alone.
@@ -88,13 +93,16 @@ def token_features(text: str, start: int, end: int, of_file: tuple[str, ...]) ->
     word, mark = (left[1] or "").lower(), left[3] or left[2] or ""
     after = text[end : end + 1]
     follows = (_NEXT.match(text, end)[1] or "").lower()
+    counts = np.array(list(Counter(token).values())) / n
+    spread = int(-4 * (counts * np.log2(counts)).sum() / max(1.0, np.log2(n)))  # of the largest entropy a token so long can have, in quarters
+    hexa = all(c in "0123456789abcdef" for c in token)
     kinds = (digits > 0) + (upper > 0) + (lower > 0)
     out = [
         "bias", f"len={min(n, 48) // 8}", f"kinds={kinds}", f"turns={min(7, 8 * turns // n)}", f"digits={4 * digits // n}",
-        f"hex={all(c in '0123456789abcdef' for c in token)}", f"only={'digit' if digits == n else 'alpha' if upper + lower == n else 'mix'}",
+        f"hex={hexa}{'' if not hexa else ' short' if n < 20 else ' long'}", f"spread={spread}", f"issued={n >= 16 and token.startswith(ISSUED)}", f"only={'digit' if digits == n else 'alpha' if upper + lower == n else 'mix'}",
         f"sep={sum(token.count(c) for c in '._-/') > 0}", f"pad={token.endswith('=')}", f"runs={2 * turns // max(1, kinds * kinds)}"[:7],
         f"mark={mark if mark in set('=:') else 'quote' if mark and mark in chr(34) + chr(39) + '`' else 'other' if mark else 'none'}", f"after={'quote' if after and after in chr(34) + chr(39) + '`' else 'space' if after.isspace() or not after else 'other'}",
-        f"word={'key' if word in KEY_WORDS or word.endswith(('_key', '_token', '_secret')) else 'other' if word else 'none'}", f"repeat={len(set(token)) * 3 < n}",
+        f"word={'key' if word in KEY_WORDS or word.endswith(('_key', '_token', '_secret')) else 'version' if word in VERSION_WORDS else 'other' if word else 'none'}", f"repeat={len(set(token)) * 3 < n}",
         f"next={'key' if follows in KEY_WORDS or follows.endswith(('_key', '_token', '_secret')) else 'other' if follows else 'none'}",
     ]
     return out + list(of_file)
@@ -206,7 +214,7 @@ def generated(lines: int = TRAIN_LINES, seed: int = 11) -> list[tuple[str, list[
     alnum = string.ascii_letters + string.digits
     secrets = (
         lambda: text("0123456789abcdef", 24, 64), lambda: text(alnum, 20, 44), lambda: text(alnum + "+/", 24, 64) + r.choice(("", "=", "==")), lambda: "AKIA" + text(string.ascii_uppercase + string.digits, 16, 16),
-        lambda: r.choice(("ghp_", "sk_live_", "xoxb-", "glpat-")) + text(alnum, 20, 36), lambda: text(alnum, 10, 16) + r.choice("0123456789"), lambda: ".".join(text(alnum + "_-", 20, 30) for _ in range(3)),
+        lambda: r.choice(ISSUED) + text(r.choice((alnum, alnum + "_-", string.ascii_lowercase + string.digits)), 16, 40) + r.choice("0123456789"), lambda: text(alnum, 10, 16) + r.choice("0123456789"), lambda: ".".join(text(alnum + "_-", 20, 30) for _ in range(3)),
         lambda: r.choice((" ", ":", "~")).join(text(alnum, 10, 16) + r.choice("0123456789") for _ in range(r.randint(2, 4))),
     )
     plain = (
@@ -215,7 +223,7 @@ def generated(lines: int = TRAIN_LINES, seed: int = 11) -> list[tuple[str, list[
         lambda: "".join((word(1, 3), ".", word(1, 2), str(r.randint(1, 99)))), lambda: word().title() + word().title() + str(r.randint(1, 9)) + word(), lambda: "-" * r.randint(20, 40), lambda: text("01", 8, 20),
         lambda: r.choice((" ", ":", ",")).join(text(string.digits, 8, 12) for _ in range(r.randint(2, 4))),
         lambda: f"{r.choice(('https', 'http'))}://{word()}.example.{r.choice(('com', 'org'))}/" + "/".join(r.choice((word(), str(r.randint(1, 31)), str(r.randint(1990, 2030)), f"{word()}-{r.randint(1, 99)}")) for _ in range(r.randint(1, 5))),
-        lambda: f"{r.choice(('commit', 'revision', 'build', 'hash'))} {text('0123456789abcdef', 7, 12)}", lambda: f"{word(2, 4)}/{word()}-{r.randint(1, 99)}.{r.choice(('html', 'pdf', 'tar', 'py'))}",
+        lambda: f"{r.choice(('commit', 'revision', 'build', 'hash', 'in', 'see', word()))} {text('0123456789abcdef', 6, 12)}", lambda: f"{r.choice(('commit', 'sha', 'version', 'merge'))}{r.choice((' ', ': ', '='))}{text('0123456789abcdef', 7, 12)}", lambda: f"{word(2, 4)}/{word()}-{r.randint(1, 99)}.{r.choice(('html', 'pdf', 'tar', 'py'))}",
     )
     out = []
     for _ in range(lines):
@@ -237,7 +245,7 @@ def generated(lines: int = TRAIN_LINES, seed: int = 11) -> list[tuple[str, list[
             elif kind < 0.8:
                 quote = r.choice(('"', "'", ""))
                 put(r.choice(("password", "secret", "token", "api_key", "access", "auth", "private_key", word())) + r.choice((" = ", "=", ": ", ":")) + quote)
-                put(text(string.ascii_lowercase, 3, 6) + text(string.digits, 1, 3) if r.random() < 0.15 else r.choice(secrets)(), secret=True)
+                put(text(string.ascii_lowercase, 3, 8) + text(string.digits, 1, 3) + text(string.ascii_lowercase + "!", 0, 4) if r.random() < 0.25 else r.choice(secrets)(), secret=True)
                 put(quote + r.choice((" ", "; ", "\n")))
             elif kind < 0.9:
                 put(f"{word()} = ")

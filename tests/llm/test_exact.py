@@ -152,6 +152,16 @@ def test_chat_budget():
     assert got == [(460, ["s", "a", "b", "c"], 0), (510, ["s", "c", "d"], 2), (490, ["e"], 0), (600, ["f"], 0), (100, ["s", "g"], 1)]
 
 
+def test_chat_system_turn_anywhere():
+    """A system turn that comes later leads the windows after it, and the latest one takes the place of those before, never twice."""
+    words = lambda w, n: " ".join([w] * n)
+    turns = [("user", words("a", 10)), ("system", words("s", 5)), ("assistant", words("b", 30)), ("user", words("c", 40)), ("system", words("t", 4)), ("user", words("d", 45)), ("assistant", words("e", 40))]
+    p = chat_windows.Packer(50, 20)
+    windows = [w for w in [p.add(*t) for t in turns] + [p.close()] if w]
+    got = [([text[0] for _, text in chat_windows.parsed(w.text)], w.fresh) for w in windows]
+    assert got == [(["a", "s", "b"], 0), (["s", "c", "t"], 1), (["t", "d"], 1), (["t", "e"], 1)]
+
+
 def test_chat_query(spark):
     rows = [(r.conv_id, r.turn, r.role or "", r.text or "") for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()]
     rows += [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -261,12 +271,13 @@ def test_minimum_cut_of_pages():
 
 
 def test_cut_overrules_the_scorer():
-    """A short heading amid an article's text is kept for its neighbours' sake, though it scores as boilerplate."""
+    """A short line amid an article's text is kept for its neighbours' sake, though it scores as boilerplate; a heading goes with them."""
     p = "<p>The committee met on Tuesday and agreed on a plan for the bridge over the river.</p>"
-    page = f"<div>{p}<h3>Plan</h3>{p}</div>"
-    scores = [html_extract.log_odds(b) for b in html_extract.read(page)]
-    assert scores[1] < 0 < min(scores[0], scores[2])
-    assert html_extract.extract(page).count("\n\n") == 2 and html_extract.extract("<div><h3>Plan</h3></div>") == ""
+    for page, below in ((f"<div>{p}<p>Plan</p>{p}</div>", True), (f"<div>{p}<h3>Plan</h3>{p}</div>", False)):
+        scores = [html_extract.log_odds(b) for b in html_extract.read(page)]
+        assert (scores[1] < 0) == below and scores[1] <= 0 < min(scores[0], scores[2])
+        assert html_extract.extract(page).count("\n\n") == 2
+    assert html_extract.extract("<div><h3>Plan</h3></div>") == ""
 
 
 def test_page_text(spark):
@@ -457,3 +468,51 @@ def test_mix(spark):
     assert taken[0] == taken[1] == taken[2] and 9 <= len(taken[0]) < 18
     mixed = mixing.mix(df)
     assert mixed.columns == ["doc_id", "source", "text", "bin", "mix_copy"] and mixed.count() == sum(r.taken // r.size for r in out if r.size)
+
+
+def test_page_text_without_names():
+    """Pages of plain <div>: titles, lists and tables stay with the text around them; lists of links, notices and the footer go."""
+    p = "The committee met on Tuesday and agreed on a plan for the bridge over the river. " * 4
+    links = "<ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul>"
+    page = f"<body>{links}<div><h1>T</h1><p>{p}</p><h2>Steps</h2><ul><li>One</li><li>Two</li></ul><p>{p}</p><table><tr><th>Year</th><td>1900</td></tr><tr><td>x<td>y</table><p>{p}</p><ol><li>End</li></ol></div>{links}<p>&copy; 2020 Corp</p></body>"
+    assert html_extract.extract(page).split("\n\n") == ["T", p.strip(), "Steps", "One", "Two", p.strip(), "Year", "1900", "x", "y", p.strip(), "End"]
+
+
+def test_page_text_without_spaces():
+    for p in ("\u79c1\u305f\u3061\u306f\u6628\u65e5\u3001\u6771\u4eac\u306e\u516c\u5712\u3067\u9577\u3044\u6642\u9593\u3092\u904e\u3054\u3057\u307e\u3057\u305f\u3002" * 3, "\u59d4\u5458\u4f1a\u661f\u671f\u4e8c\u5f00\u4f1a\uff0c\u540c\u610f\u4e86\u8fc7\u6cb3\u7684\u5927\u6865\u8ba1\u5212\u3002" * 3, "\u0e04\u0e13\u0e30\u0e01\u0e23\u0e23\u0e21\u0e01\u0e32\u0e23\u0e1b\u0e23\u0e30\u0e0a\u0e38\u0e21" * 4):
+        assert html_extract.extract(f"<body><div><p>{p}</p></div></body>") == p
+
+
+def test_page_text_without_readers():
+    """What readers say, and alerts, go wherever names tell; a discussion inside an article is a section of it."""
+    p = "The committee met on Tuesday and agreed on a plan for the bridge over the river. " * 4
+    for other in ("<section id='discussion'>%s</section>", "<div role='alert'>%s</div>", "<div id=userComments>%s</div>", "<div class='reactions'>%s</div>"):
+        assert html_extract.extract(f"<body><article><p>{p}</p></article>{other % f'<p>{p}</p>'}</body>") == p.strip(), other
+    assert html_extract.extract(f"<article><p>{p}</p><section id=discussion><p>{p}</p></section></article>").count("bridge") == 8
+
+
+def test_page_of_broken_tags():
+    """A megabyte of end tags of nothing, or of items that look for one to close, takes time in proportion."""
+    from time import process_time
+
+    n = 100_000
+    at = process_time()
+    assert html_extract.extract("<div>" * n + "</x>" * n) == html_extract.extract("<li><div>" + "<x-a>" * n + "<li></li>" * n) == ""
+    assert process_time() - at < 20
+
+
+def test_secrets_bare_keys_and_version_names():
+    import random
+
+    r = random.Random(5)
+    chain = secrets_crf.trained()
+    text = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    found = lambda t: [t[a:b] for _, a, b in secrets_crf.crf_spans(t, chain)]
+    keys = ["ghp_abcdefghij0123456789ABCDEFGHIJ0123"] + [k + text(alnum, n) + "7" for k in ("ghp_", "sk_live_", "xoxb-", "glpat-", "npm_") for n in range(20, 40)]
+    assert found(keys[0]) == [keys[0]]
+    assert sum(found(f"we left {k} in it") == [k] for k in keys) >= 0.95 * len(keys)
+    assert found("auth: hunter2abc") == ["hunter2abc"]
+    assert found("commit 3f2a9bc of v1.2.3") == []
+    names = [f"{w} {text('0123456789abcdef', n)}1" for w in ("commit", "revision", "in build", "merged as", "see") for n in range(6, 12) for _ in range(5)]
+    assert sum(not found(f"it was {x} of v1.2.3 on 2020-01-02") for x in names) >= 0.95 * len(names)
