@@ -18,7 +18,8 @@ block has an automaton of its own (at most two states a word) that is broadcast,
 and a task holds one of them at a time, so a larger benchmark takes more passes
 over a task's rows, not more memory.
 
-Defined results: null texts and items have no words; an item without words is
+Defined results: items without an id hit words and count as one, without a name in
+the digest; null texts and items have no words; an item without words is
 never found; repeated items count by their own ids; an empty benchmark or
 document table gives no hits or no rows; extra columns are ignored by ``scan``
 and kept by ``clean``.
@@ -322,8 +323,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
                 hit = sum(b - a for a, b in spans)
                 out["n_words"].append(n)
                 out["n_hit"].append(hit)
-                ids = sorted({str(x) for x in found})
-                out["n_items"].append(len(ids))
+                items = set(found)
+                ids = sorted(str(x) for x in items if x is not None)
+                out["n_items"].append(len(items))
                 out["items_sha256"].append(hashlib.sha256(",".join(ids).encode()).hexdigest())
                 out["contaminated"].append(hit > 0)
                 out["coverage"].append(hit / n if n else 0.0)

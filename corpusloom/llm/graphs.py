@@ -35,11 +35,17 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contracted(batches):
-    """A partition's edges as stars: each batch is joined with the stars so far."""
+    """A partition's edges as stars: edges are gathered until they are as many as the stars so far, then joined with these, so each is passed a few times."""
     nodes, tops = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    more, n = [], 0
     for batch in batches:
-        a, b = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-        nodes, tops = roots(np.concatenate([nodes, a]), np.concatenate([tops, b]))
+        more.append([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)])
+        n += batch.num_rows
+        if n >= max(200_000, len(nodes)):
+            nodes, tops = roots(*(np.concatenate([x, *(m[k] for m in more)]) for k, x in enumerate((nodes, tops))))
+            more, n = [], 0
+    if more:
+        nodes, tops = roots(*(np.concatenate([x, *(m[k] for m in more)]) for k, x in enumerate((nodes, tops))))
     keep = nodes != tops
     for at in range(0, int(keep.sum()), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[keep][at : at + 100_000]), pa.array(tops[keep][at : at + 100_000])], names=["a", "b"])

@@ -13,7 +13,10 @@ Jaccard similarity of their shingle sets is at least ``THRESHOLD``.
    forest as ties (neighbour, neighbour, common prefix), also across the bounds of partitions.
 3. The join begins with prefixes of ``DEPTH`` values.  Texts that share a node of that
    depth in some trie are brought together through the connected components of
-   the ties, and their pairs are verified exactly.  The similarities of the links found tell
+   the ties.  Many of them merely share boilerplate, so their whole signatures, a byte
+   a value, are compared first: a pair is a candidate if at least ``least_equal`` of
+   them are equal, which a pair at the threshold misses less than once in a thousand million.
+   Only the connected components of candidates are verified exactly.  The similarities of the links found tell
    how many were missed: a pair of similarity s shares a node of depth d with
    probability ``1 - (1 - s**d) ** TREES``, so each link found stands for one over
    that many.  One link at the threshold is added to what was found, as what
@@ -21,7 +24,7 @@ Jaccard similarity of their shingle sets is at least ``THRESHOLD``.
    the prefix is shortened to the longest at which it would be met, and what
    meets there for the first time is verified, down to ``least_depth``, at which a pair at
    the threshold is missed less than once in ten million.
-4. A component too large for one task is cut by classes of set size (linked
+4. Signatures and sets are both compared in pieces.  A component too large for one task is cut by classes of set size (linked
    sets differ by a factor of the threshold at most, so only neighbouring classes
    meet) and by hashed name into blocks of bounded size; each pair of blocks is a piece of work.
    A piece gives a count of links for each text and one edge to the smallest
@@ -39,6 +42,7 @@ their names, are ignored by ``classes`` and kept by ``keep_first``.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +61,8 @@ DEPTH = 8
 RECALL = 0.999999
 #: A block of a large component: texts and shingles at most (on average over hashed names).
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 400_000
+#: A block of signatures of a large component, texts at most (on average over hashed names).
+BLOCK_SIGNED = 2048
 #: Bins of similarity, from the threshold to 1, in which links are counted.
 BINS = 20
 SEED = 20240601
@@ -85,6 +91,17 @@ def least_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = D
     return next((d for d in range(depth, 1, -1) if 1 - found_share(threshold, d, trees) < 1e-7), 1)
 
 
+def least_equal(threshold: float = THRESHOLD, values: int = TREES * DEPTH) -> int:
+    """The largest number of equal values that a pair at the threshold falls short of less than once in a thousand million."""
+    below, k = 0.0, 0
+    while k < values:
+        below += math.exp(math.lgamma(values + 1) - math.lgamma(k + 1) - math.lgamma(values - k + 1) + k * math.log(threshold) + (values - k) * math.log1p(-threshold)) if threshold < 1 else 0.0
+        if below >= 1e-9:
+            break
+        k += 1
+    return k
+
+
 def estimated_recall(links: np.ndarray, depth: int, threshold: float = THRESHOLD, trees: int = TREES) -> float:
     """The share of all links that were found at ``depth``, from the counts of those found by similarity bin and one more at the threshold."""
     counts = np.concatenate([[1], links])
@@ -277,18 +294,85 @@ def links_of(ids: np.ndarray, sets: list[np.ndarray], apart: list[np.ndarray], t
     return n, top, bins
 
 
-_PIECES = "name long, links long, top long, bins array<long>"
+def close_pairs(signatures: np.ndarray, least: int) -> np.ndarray:
+    """Which two rows of bytes are equal in ``least`` places or more; tiles of rows, so that the counts stay in the processor's cache."""
+    m, width = signatures.shape
+    if m <= 32:
+        return (signatures[:, None] == signatures[None]).sum(axis=2) >= least
+    out = np.zeros((m, m), dtype=bool)
+    columns = np.ascontiguousarray(signatures.T)
+    tile = 512
+    for a in range(0, m, tile):
+        for b in range(a, m, tile):
+            x, y = columns[:, a : a + tile], columns[:, b : b + tile]
+            n = np.zeros((x.shape[1], y.shape[1]), dtype=np.uint8 if width < 256 else np.uint16)
+            for k in range(width):
+                n += x[k][:, None] == y[k]
+            out[a : a + tile, b : b + tile] = n >= least
+            out[b : b + tile, a : a + tile] = (n >= least).T
+    return out
 
 
-def _verify(threshold: float):
+def stars_of(ids: np.ndarray, close: np.ndarray) -> list[tuple[int, int]]:
+    """An edge from each text of a connected group to its smallest id; each row of ``close`` is read once."""
+    left = np.ones(len(ids), dtype=bool)
+    out = []
+    for s in np.argsort(ids):
+        if not left[s]:
+            continue
+        left[s], line = False, np.array([s])
+        while len(line):
+            near = close[line].any(axis=0) & left
+            left &= ~near
+            line = np.flatnonzero(near)
+            out.extend((int(ids[k]), int(ids[s])) for k in line)
+    return out
+
+
+def _groups(batches):
+    """Pieces in order: their key and their rows (name, block, before, sh)."""
+    key, group = None, []
+    for batch in batches:
+        cols = [batch.column(n).to_pylist() for n in ("label", "i", "j", "name", "block", "before", "sh")]
+        for label, i, j, name, block, before, sh in zip(*cols):
+            if key != (label, i, j):
+                if len(group) > 1:
+                    yield key, group
+                key, group = (label, i, j), []
+            group.append((name, block, before, sh))
+    if len(group) > 1:
+        yield key, group
+
+
+def _close(least: int):
     def run(batches):
-        key, group, out = None, [], []
+        out = []
+
+        def flush():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out)], names=["a", "b"])
+            out.clear()
+            return batch
 
-        def done():
+        for key, group in _groups(batches):
             ids, block, before = (np.array([g[k] for g in group], dtype=np.int64) for k in range(3))
-            n, top, bins = links_of(ids, [np.frombuffer(g[3], dtype=np.uint64) for g in group], [before] + [block] * (key[1] != key[2]), threshold)
-            at = np.flatnonzero(n)
-            out.extend((int(ids[k]), int(n[k]), int(top[k]), bins.tolist() if k == at[0] else None) for k in at)
+            close = close_pairs(np.frombuffer(b"".join(g[3] for g in group), dtype=np.uint8).reshape(len(group), -1)[:, 1::2], least)  # the low byte of each value
+            for x in [before] + [block] * (key[1] != key[2]):
+                close &= x[:, None] != x[None, :]
+            out += stars_of(ids, close)
+            if len(out) > 20_000:
+                yield flush()
+        if out:
+            yield flush()
+
+    return run
+
+
+_PIECES = "name long, links long, top long, bins array<long>"
+
+
+def _verify(threshold: float):
+    def run(batches):
+        out = []
 
         def flush():
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
@@ -296,18 +380,13 @@ def _verify(threshold: float):
             out.clear()
             return batch
 
-        for batch in batches:
-            cols = [batch.column(n).to_pylist() for n in ("label", "i", "j", "name", "block", "before", "sh")]
-            for label, i, j, name, block, before, sh in zip(*cols):
-                if key != (label, i, j):
-                    if len(group) > 1:
-                        done()
-                    key, group = (label, i, j), []
-                    if len(out) > 20_000:
-                        yield flush()
-                group.append((name, block, before, sh))
-        if len(group) > 1:
-            done()
+        for key, group in _groups(batches):
+            ids, block, before = (np.array([g[k] for g in group], dtype=np.int64) for k in range(3))
+            n, top, bins = links_of(ids, [np.frombuffer(g[3], dtype=np.uint64) for g in group], [before] + [block] * (key[1] != key[2]), threshold)
+            at = np.flatnonzero(n)
+            out.extend((int(ids[k]), int(n[k]), int(top[k]), bins.tolist() if k == at[0] else None) for k in at)
+            if len(out) > 20_000:
+                yield flush()
         if out:
             yield flush()
 
@@ -333,10 +412,20 @@ def _pieces(sets: DataFrame, parts: DataFrame, threshold: float, block_texts: in
     return sets.join(parts, "name").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "name")
 
 
+def _met(parts: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Components (``name``, ``label``) with each text's component of the round before; those that are as they were have nothing new."""
+    if before is None:
+        return parts.withColumn("before", F.col("name"))
+    now = parts.join(before.withColumnRenamed("label", "before"), "name", "left").withColumn("before", F.coalesce("before", "name"))
+    grown = now.groupBy("label").agg((F.min("before") < F.max("before")).alias("grown")).where("grown").select("label")
+    return now.join(grown, "label", "left_semi")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, size: int = SHINGLE, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES, report: dict | None = None) -> DataFrame:
     """``doc_id``, ``rep_id`` (smallest id with the same text), ``class_id``, ``n_links`` (other texts it is linked to).
 
-    ``report`` gets the prefixes used (``depths``), the links by similarity (``links``) and the estimated ``recall``.
+    ``report`` gets the prefixes used (``depths``), how many texts went to exact verification at each (``verified``), the links by
+    similarity (``links``) and the estimated ``recall``.
     """
     return _classes(docs, threshold, trees, recall, size, block_texts, block_shingles, report).drop("tkey")
 
@@ -351,27 +440,27 @@ def _classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES,
     ties = forest(texts_, trees, least)
     met = ties.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     sets = cut(_sets(docs, texts_.select("name", "rep", "tkey", "n").join(met, "name", "left_semi"), size))
-    before, links, found, depths = None, np.zeros(BINS, dtype=np.int64), [], []
+    signatures = texts_.select("name", F.col("labels").alias("sh"))
+    coarse_before, before, edges, links, found, depths, verified = None, None, None, np.zeros(BINS, dtype=np.int64), [], [], []
     depth: int | None = DEPTH
     while depth is not None:
         depths.append(depth)
-        parts = components(ties.where(F.col("depth") >= depth).select("a", "b")).withColumnRenamed("id", "name")
-        if before is None:
-            now = parts.withColumn("before", F.col("name"))
-        else:
-            now = parts.join(before, "name", "left").withColumn("before", F.coalesce("before", "name"))
-            # components that are as they were at the longer prefix have nothing new to verify
-            grown = now.groupBy("label").agg((F.min("before") < F.max("before")).alias("grown")).where("grown").select("label")
-            now = now.join(grown, "label", "left_semi")
-        now = cut(now.join(sets.select("name", "n"), "name"))
+        coarse = components(ties.where(F.col("depth") >= depth).select("a", "b")).withColumnRenamed("id", "name")
+        now = cut(_met(coarse, coarse_before).join(sets.select("name", "n"), "name"))
+        close = cut(_pieces(signatures, now, threshold, BLOCK_SIGNED, 2**62).mapInArrow(_close(least_equal(threshold, trees * DEPTH)), "a long, b long"))
+        edges = close if edges is None else edges.union(close)
+        parts = components(edges).withColumnRenamed("id", "name")
+        now = cut(_met(parts, before).join(sets.select("name", "n"), "name"))
+        if report is not None:
+            verified.append(now.count())
         links_now = cut(_pieces(sets.select("name", "sh"), now, threshold, block_texts, block_shingles).mapInArrow(_verify(threshold), _PIECES))
         found.append(links_now.select("name", "links", "top"))
         for k, c in links_now.where("bins is not null").select(F.posexplode("bins").alias("k", "c")).groupBy("k").agg(F.sum("c").alias("c")).collect():
             links[k] += c
-        before = parts.withColumnRenamed("label", "before")
+        coarse_before, before = coarse, parts
         depth = next_depth(links, depth, least, threshold, trees, recall)
     if report is not None:
-        report |= {"depths": depths, "links": links.tolist(), "recall": estimated_recall(links, depths[-1], threshold, trees)}
+        report |= {"depths": depths, "verified": verified, "links": links.tolist(), "recall": estimated_recall(links, depths[-1], threshold, trees)}
     all_ = found[0]
     for x in found[1:]:
         all_ = all_.union(x)

@@ -516,3 +516,38 @@ def test_secrets_bare_keys_and_version_names():
     assert found("commit 3f2a9bc of v1.2.3") == []
     names = [f"{w} {text('0123456789abcdef', n)}1" for w in ("commit", "revision", "in build", "merged as", "see") for n in range(6, 12) for _ in range(5)]
     assert sum(not found(f"it was {x} of v1.2.3 on 2020-01-02") for x in names) >= 0.95 * len(names)
+
+
+def test_join_boilerplate(spark):
+    """Texts that share a long block meet in the tries at short prefixes, but only what is nearly alike is verified, and no link is lost."""
+    import random
+
+    r = random.Random(3)
+    block = " ".join(f"b{i}" for i in range(120))
+    own = [" ".join(f"w{r.randrange(10**6)}" for _ in range(80)) for _ in range(400)]
+    rows = [(i, f"{block} {x}") for i, x in enumerate(own)] + [(1000 + i, f"{block} {own[i]} end{i}") for i in range(0, 400, 40)]
+    report: dict = {}
+    got = {x.doc_id: (x.class_id, x.n_links) for x in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), recall=1.0, report=report).collect()}
+    want = {i: (i, int(i % 40 == 0)) for i in range(400)} | {1000 + i: (i, 1) for i in range(0, 400, 40)}
+    assert got == want and report["depths"][-1] == 3 and sum(report["verified"]) <= 2 * 10 * len(report["depths"])
+
+
+def test_close_pairs():
+    r = np.random.default_rng(4)
+    for m, width in ((2, 24), (33, 192), (1100, 48), (40, 300)):
+        s = r.integers(0, 3, (m, width)).astype(np.uint8)
+        s[m // 2] = s[0]
+        want = np.array([(s == x).sum(axis=1) >= width // 2 for x in s])
+        assert (ngram_join.close_pairs(s, width // 2) == want).all()
+        ids = r.permutation(10 * m)[:m]
+        i, j = np.nonzero(want)
+        nodes, tops = ngram_join.roots(ids[i], ids[j])
+        assert sorted(ngram_join.stars_of(ids, want)) == sorted((int(a), int(b)) for a, b in zip(nodes, tops) if a != b)
+
+
+def test_items_without_ids(spark):
+    """An item without an id hits words and counts as one; it has no name in the digest."""
+    words = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(None, words), (None, words + " more"), (7, words)], "item_id long, text string")
+    (row,) = decontam.scan(spark.createDataFrame([(1, "a " + words)], "doc_id long, text string"), items).collect()
+    assert (row.n_words, row.n_hit, row.n_items, row.items_sha256) == (13, 12, 2, plain.sha("7"))
