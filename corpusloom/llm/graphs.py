@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 _EDGE = "a long, b long"
+#: A graph of so many contracted edges at most (16 bytes each) is solved by one task; a larger one by rounds of joins.
+SMALL = 500_000
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,17 +53,28 @@ def _contracted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[keep][at : at + 100_000]), pa.array(tops[keep][at : at + 100_000])], names=["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _solved(batches):
+    """The last step of a small graph: every node and the smallest node it is connected with."""
+    pairs = [[batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)] for batch in batches]
+    if pairs:
+        nodes, tops = roots(*(np.concatenate([p[k] for p in pairs]) for k in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(tops)], names=["id", "label"])
+
+
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """``edges`` (``a``, ``b``, longs) → ``id``, ``label`` (the smallest id of the component) for each node that has an edge.
 
     Each task first turns its edges into stars, so that a node has one edge a task
     at most; a node's neighbours are then tied to the smallest of them instead of to
     the node, which keeps what is connected and leaves a node hardly more than one
     edge.  Then every node takes the smallest label next to it and its label's
-    label, until nothing changes.
+    label, until nothing changes.  With ``small`` edges left at most, one task does that in one step.
     """
     stars = edges.select("a", "b").mapInArrow(_contracted, _EDGE).groupBy("a").agg(F.collect_set("b").alias("bs"), F.min("b").alias("b"))
     stars = stars.select("b", F.explode(F.array_append("bs", F.col("a"))).alias("a")).where("a > b").distinct()
+    stars = cut(stars)
+    if stars.limit(small + 1).count() <= small:
+        return cut(stars.coalesce(1).mapInArrow(_solved, "id long, label long"))
     both = cut(stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
     while True:

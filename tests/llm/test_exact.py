@@ -551,3 +551,19 @@ def test_items_without_ids(spark):
     items = spark.createDataFrame([(None, words), (None, words + " more"), (7, words)], "item_id long, text string")
     (row,) = decontam.scan(spark.createDataFrame([(1, "a " + words)], "doc_id long, text string"), items).collect()
     assert (row.n_words, row.n_hit, row.n_items, row.items_sha256) == (13, 12, 2, plain.sha("7"))
+
+
+def test_components(spark):
+    """By rounds and in one step: the smallest node of each component."""
+    import random
+
+    from corpusloom.llm import graphs
+
+    r = random.Random(8)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)]
+    nodes, tops = graphs.roots(*(np.array(x) for x in zip(*edges)))
+    want = {int(a): int(b) for a, b in zip(nodes, tops) if any(a in e and e[0] != e[1] for e in edges)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    for small in (0, graphs.SMALL):
+        assert {x.id: x.label for x in graphs.components(df, small).collect()} == want
+        assert graphs.components(df.limit(0), small).count() == 0
