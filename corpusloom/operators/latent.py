@@ -148,7 +148,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, rank: int = RANK, more: int
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), _lists(_normals(b.column(0).to_pylist(), width))], names=["term", "v"])
 
-    terms = idf.select("term").mapInArrow(random, "term string, v array<double>")
+    # stored, as the planner takes an array that isn't for one number, and would send all of them to every task
+    terms = stored(idf.select("term").mapInArrow(random, "term string, v array<double>"), "random")
     for _ in range(power + 1):
         by_doc = stored(_orthonormal(stored(_summed(cells.join(terms, "term"), "id", width), "by-doc"), "id", width), "basis")
         terms = stored(_summed(cells.join(by_doc, "id"), "term", width), "by-term")  # the transpose times the basis
@@ -157,7 +158,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, rank: int = RANK, more: int
     kept = values > 1e-9 * max(values[0], 1e-300)
     sign = np.where(u[np.abs(u).argmax(0), np.arange(width)] < 0, -1.0, 1.0)
     m = np.where(kept, sign / np.where(kept, values, 1.0), 0.0)[None, :rank] * u[:, :rank]
-    return Space(idf.join(_times(terms, "term", m), "term"), values[:rank])
+    return Space(stored(idf.join(stored(_times(terms, "term", m), "multiplied"), "term"), "space"), values[:rank])
 
 
 def vectors(docs: DataFrame, id_col: str, text_col: str, space: Space, rank: int | None = None) -> DataFrame:
