@@ -54,7 +54,8 @@ def current(spark: SparkSession, out: str) -> DataFrame:
     state = indexed(spark, out).select(F.col("doc").alias("source_file_id"), "batch")
     last = state.groupBy("source_file_id").agg(F.max("batch").alias("last"))
     replaced = state.join(last, "source_file_id").where("batch < last").select("source_file_id", "batch")
-    return chunks.join(state.select("batch").distinct(), "batch", "left_semi").join(replaced, ["source_file_id", "batch"], "left_anti")
+    # a number a run, sent to all: dealt by batch, the chunks of a large one would be one task's
+    return chunks.join(F.broadcast(state.select("batch").distinct()), "batch", "left_semi").join(replaced, ["source_file_id", "batch"], "left_anti")
 
 
 def documents(batch: DataFrame, conf: dict) -> DataFrame:
