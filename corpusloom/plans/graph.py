@@ -137,8 +137,11 @@ def target_navigation(t):
 @query("band_pair_counts", oracle([], "SELECT s.s_suppkey AS supplier, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS sizes FROM supplier s JOIN part p ON abs(s.s_suppkey % 60 - p.p_size) <= 5 GROUP BY 1"))
 def band_pair_counts(t):
     """A band join as an equal join on bands: suppliers against parts of near size."""
-    s, p = t("supplier").select("s_suppkey", (F.col("s_suppkey") % 60).alias("at")), t("part").select("p_partkey", F.col("p_size").cast("long").alias("size"))
-    return band_pairs(s, p, "at", "size", 5).groupBy(F.col("s_suppkey").alias("supplier")).agg(F.count("*").alias("n"), F.sum("size").alias("sizes"))
+    s, p = t("supplier").select("s_suppkey", (F.col("s_suppkey") % 60).alias("at")), t("part").select(F.col("p_size").cast("long").alias("size"))
+    # sums of each size before the join: a place has as many pairs as there are sizes, however many parts
+    s, p = s.groupBy("s_suppkey", "at").agg(F.count("*").alias("times")), p.groupBy("size").agg(F.count("*").alias("parts"))
+    places = band_pairs(s.select("at").distinct(), p, "at", "size", 5).groupBy("at").agg(F.sum("parts").alias("n"), F.sum(F.col("parts") * F.col("size")).alias("sizes"))
+    return s.join(places, "at").groupBy(F.col("s_suppkey").alias("supplier")).agg(F.sum(F.col("times") * F.col("n")).alias("n"), F.sum(F.col("times") * F.col("sizes")).alias("sizes"))
 
 
 @query("stars_clamped", "SELECT l_orderkey, l_linenumber, greatest(0, least(10, CAST(floor(l_quantity) AS INT))) AS stars FROM lineitem")
