@@ -41,7 +41,8 @@ def build_edges(people: DataFrame, relations: DataFrame, hypotheses: bool = Fals
     it), ``owner_name, position, source, target, relation_type, weight, assertion_layer``.
     A source is looked up by name, then the owner's name, then the owner's id; the
     last person of a name wins; self-loops and unknown targets go.  The position
-    is part of an edge's identity, so only repeats across rows of one person collapse.
+    is part of an edge's identity, so only repeats across rows of one person collapse:
+    the smallest owner's stays, of several that owner has the lightest, whatever the order of rows.
     """
     ids = last_wins(people.select("name", "id", "ord"), ["name"], "ord").drop("ord")
     layer = F.coalesce("assertion_layer", F.lit("canonical"))
@@ -51,7 +52,8 @@ def build_edges(people: DataFrame, relations: DataFrame, hypotheses: bool = Fals
     named = lambda c, a: ids.select(F.col("name").alias(c), F.col("id").alias(a))
     r = r.join(named("target", "t"), "target").join(named("source", "s"), "source", "left").join(named("owner_name", "o"), "owner_name", "left")
     r = r.withColumn("s", F.coalesce("s", "o", "owner")).where(F.col("s") != F.col("t"))
-    first = F.min_by(F.struct(F.coalesce("weight", F.lit(0.5)).alias("weight"), "assertion_layer"), F.struct("owner", "position"))
+    r = r.withColumn("weight", F.coalesce("weight", F.lit(0.5)))
+    first = F.min_by(F.struct("weight", "assertion_layer"), F.struct("owner", "weight", "assertion_layer"))
     out = r.groupBy("s", "t", "relation_type", "position").agg(first.alias("x"))
     return out.select(F.col("s").alias("source"), F.col("t").alias("target"), "relation_type", "position", "x.weight", "x.assertion_layer", edge_color(F.col("relation_type"), F.col("x.assertion_layer")).alias("color"))
 
