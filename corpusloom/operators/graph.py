@@ -34,7 +34,7 @@ def dimmed(color: Column) -> Column:
     return F.when(F.startswith(color, F.lit("#")) & (F.length(color) == 7), F.concat(color, F.lit("33"))).otherwise(color)
 
 
-def build_edges(people: DataFrame, relations: DataFrame, hypotheses: bool = False) -> DataFrame:
+def build_edges(people: DataFrame, relations: DataFrame, hypotheses: bool = False, touching: str | None = None) -> DataFrame:
     """Edges between people of the roster.
 
     ``people``: ``id, name, ord``; ``relations``: ``owner`` (the id of the person that has
@@ -43,12 +43,22 @@ def build_edges(people: DataFrame, relations: DataFrame, hypotheses: bool = Fals
     last person of a name wins; self-loops and unknown targets go.  The position
     is part of an edge's identity, so only repeats across rows of one person collapse:
     the smallest owner's stays, of several that owner has the lightest, whatever the order of rows.
+
+    ``touching`` asks for the edges of one id only.  At most one name leads to it, so
+    relations without that name and that owner go before any name is joined.
     """
     ids = last_wins(people.select("name", "id", "ord"), ["name"], "ord").drop("ord")
     layer = F.coalesce("assertion_layer", F.lit("canonical"))
     r = relations.withColumn("assertion_layer", layer)
     if not hypotheses:
         r = r.where(F.col("assertion_layer") != "ai_hypothesis")
+    if touching is not None:
+        # some edges of others stay: a source that is known hides its owner
+        mine = ids.where(F.col("id") == touching).agg(F.max("name").alias("__mine"))
+        near = F.lit(False)
+        for c in ("target", "source", "owner_name"):
+            near = near | F.coalesce(F.col(c) == F.col("__mine"), F.lit(False))
+        r = r.crossJoin(F.broadcast(mine)).where(near | (F.col("owner") == touching)).drop("__mine")
     named = lambda c, a: ids.select(F.col("name").alias(c), F.col("id").alias(a))
     r = r.join(named("target", "t"), "target").join(named("source", "s"), "source", "left").join(named("owner_name", "o"), "owner_name", "left")
     r = r.withColumn("s", F.coalesce("s", "o", "owner")).where(F.col("s") != F.col("t"))

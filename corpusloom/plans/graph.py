@@ -20,11 +20,11 @@ def _people(t):
     return t("v_people").select(F.col("pid").cast("string").alias("id"), "pid", "name", "ord", "calculus_number", "centrality_score", "cluster_id", "field", F.array("country").alias("schools"), F.when(F.col("pid") % 2 == 0, F.array("field")).alias("suggested_schools"))
 
 
-def _edges(t, hypotheses=True):
+def _edges(t, hypotheses=True, touching=None):
     p = t("v_people").select("pid", "name")
     e = t("v_edges").join(p.select(F.col("pid").alias("source"), F.col("name").alias("sn")), "source").join(p.select(F.col("pid").alias("target"), F.col("name").alias("tn")), "target", "left")
     r = e.select(F.col("source").cast("string").alias("owner"), F.col("sn").alias("owner_name"), (F.col("target") % 3).alias("position"), F.when(F.col("target") % 2 == 0, F.col("sn")).otherwise("Nobody").alias("source"), F.coalesce("tn", F.lit("unknown")).alias("target"), "relation_type", "weight", "assertion_layer")
-    return G.build_edges(_people(t), r, hypotheses)
+    return G.build_edges(_people(t), r, hypotheses, touching)
 
 
 _BUILT = """ids AS (SELECT name, CAST(arg_max(pid, ord) AS STRING) AS id FROM v_people GROUP BY 1),
@@ -60,9 +60,9 @@ def visible_nodes(t):
     return G.visible_nodes(_people(t), _ERAS, ["NATION_1", "NATION_2", "BUILDING"]).select("id")
 
 
-def _visible(t):
+def _visible(t, touching=None):
     nodes = G.visible_nodes(_people(t), _ERAS)
-    return nodes, G.visible_edges(_edges(t), nodes)
+    return nodes, G.visible_edges(_edges(t, touching=touching), nodes)
 
 
 @query("visible_edges", oracle(["v_people", "v_edges"], "SELECT source, target, relation_type, position FROM vis_edges", _BUILT))
@@ -72,12 +72,12 @@ def visible_edges(t):
 
 @query("neighbourhood", oracle(["v_people", "v_edges"], "SELECT id FROM near", _BUILT))
 def neighbourhood(t):
-    return G.neighbours(_visible(t)[1], _SELECTED)
+    return G.neighbours(_visible(t, _SELECTED)[1], _SELECTED)
 
 
 @query("dimmed_nodes", oracle(["v_people", "v_edges"], "SELECT id FROM vis WHERE id <> '0' AND id NOT IN (SELECT id FROM near)", _BUILT))
 def dimmed_nodes(t):
-    nodes, edges = _visible(t)
+    nodes, edges = _visible(t, _SELECTED)
     return G.dimmed_nodes(nodes, edges, _SELECTED)
 
 
