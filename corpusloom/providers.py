@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import nonempty
+from corpusloom.functions.text import let, nonempty
 
 REGISTRY: dict[tuple[str, str], Callable] = {}
 
@@ -78,12 +78,17 @@ def by_stop_words(text: Column, first: int | None = 500) -> Column:
     """The language with the most stop words among the ``first`` characters (None: all); English if none has any."""
     text = F.coalesce(text, F.lit(""))
     words = F.split(F.lower(text if first is None else F.substring(text, 1, first)), r"(?U)\W+")
-    score = lambda lang: F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS[lang])))
-    best = F.greatest(*map(score, STOP_WORDS))
-    out = F.lit("en")
-    for lang in reversed([x for x in STOP_WORDS if x != "en"]):
-        out = F.when((score(lang) == best) & (score("en") < best), lang).otherwise(out)
-    return F.when(nonempty(text), out).otherwise("en")
+    known = F.filter(words, lambda w: w.isin(*(x for lang in STOP_WORDS.values() for x in lang)))
+    score = lambda found, lang: F.size(F.filter(found, lambda w: w.isin(*STOP_WORDS[lang])))
+
+    def likeliest(scores: Column) -> Column:
+        best, out = F.array_max(scores), F.lit("en")
+        for n, lang in reversed([(n, x) for n, x in enumerate(STOP_WORDS) if x != "en"]):
+            out = F.when((scores[n] == best) & (scores[list(STOP_WORDS).index("en")] < best), lang).otherwise(out)
+        return out
+
+    # words are told apart once, and only stop words looked at again
+    return F.when(nonempty(text), let(known, lambda found: let(F.array(*(score(found, x) for x in STOP_WORDS)), likeliest))).otherwise("en")
 
 
 @provider("context", "metadata")
