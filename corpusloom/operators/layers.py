@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import differs, layer_text, nonempty, strip, tex
+from corpusloom.functions.text import differs, layer_text, let, nonempty, strip, tex
 
 LAYERS = ("diplomatic", "normalized", "translation")
 FLOWING = ("paragraph", "list_item", "epigraph", "mathematical_expression", "colophon", "table_cell")
@@ -15,22 +15,25 @@ def region_type(bbox: dict[str, Column], width: Column, height: Column, spans: C
     """What a block of a page is, by its place and its fonts; ``spans`` is an array of ``text, size, flags``."""
     # The thresholds, and the order in which they are asked.
     x0, y0, x1, y1 = (bbox[k] for k in ("x0", "y0", "x1", "y1"))
-    said = F.filter(spans, lambda s: F.coalesce(strip(s["text"]) != "", F.lit(False)))
-    sizes = F.array_sort(F.transform(said, lambda s: s["size"]))
-    middle, largest = F.try_element_at(sizes, (F.floor(F.size(sizes) / 2) + 1).cast("int")), F.try_element_at(sizes, F.lit(-1))
-    bold = F.exists(said, lambda s: F.coalesce(s["flags"], F.lit(0)).bitwiseAND(16) != 0)
-    raw = F.array_join(F.transform(said, lambda s: s["text"]), " ")
-    return (
-        F.when((y1 < height * 0.08) | (y0 > height * 0.92), "running_title")
-        .when(F.size(said) == 0, "paragraph")
-        .when((middle <= 8.5) & (y0 > height * 0.70), "footnote")
-        .when(middle <= 7.5, "footnote")
-        .when(largest >= 14.0, "heading")
-        .when((largest >= 11.5) & bold, "subheading")
-        .when((x1 - x0 < width * 0.22) & ((x0 < width * 0.07) | (x1 > width * 0.93)), "margin_note")
-        .when((middle <= 9.5) & raw.rlike(r"(?i)^(Fig\.|Table|Plate|Tableau)\s"), "caption")
-        .otherwise("paragraph")
-    )
+    said = F.filter(spans, lambda s: F.coalesce(s["text"].rlike(r"(?U)\S"), F.lit(False)))
+    sizes = lambda said: F.array_sort(F.transform(said, lambda s: s["size"]))
+    bold = lambda said: F.exists(said, lambda s: F.coalesce(s["flags"], F.lit(0)).bitwiseAND(16) != 0)
+    raw = lambda said: F.array_join(F.transform(said, lambda s: s["text"]), " ")
+
+    def by_fonts(said: Column, sizes: Column) -> Column:
+        middle, largest = F.try_element_at(sizes, (F.floor(F.size(sizes) / 2) + 1).cast("int")), F.try_element_at(sizes, F.lit(-1))
+        return (
+            F.when(F.size(said) == 0, "paragraph")
+            .when((middle <= 8.5) & (y0 > height * 0.70), "footnote")
+            .when(middle <= 7.5, "footnote")
+            .when(largest >= 14.0, "heading")
+            .when((largest >= 11.5) & bold(said), "subheading")
+            .when((x1 - x0 < width * 0.22) & ((x0 < width * 0.07) | (x1 > width * 0.93)), "margin_note")
+            .when((middle <= 9.5) & raw(said).rlike(r"(?i)^(Fig\.|Table|Plate|Tableau)\s"), "caption")
+            .otherwise("paragraph")
+        )
+
+    return F.when((y1 < height * 0.08) | (y0 > height * 0.92), "running_title").otherwise(let(said, lambda said: let(sizes(said), lambda sizes: by_fonts(said, sizes))))
 
 
 IMAGE = 1  # a block's kind, as layout readers number it
@@ -64,9 +67,10 @@ def text_layers(regions: DataFrame, language: Column, composed: bool = False) ->
     english = language == "eng"
     layer = lambda kind, text, note: F.struct(F.lit(kind).alias("layer_type"), text.alias("text"), note.alias("translation_note"))
     none = F.lit(None).cast("string")
-    rows = F.array(layer("diplomatic", F.col("text"), none), layer("normalized", norm, none), layer("translation", F.when(english, norm).otherwise(""), F.when(~english, "pending")))
+    rows = F.array(layer("diplomatic", F.col("text"), none), layer("normalized", F.col("__norm"), none), layer("translation", F.when(english, F.col("__norm")).otherwise(""), F.when(~english, "pending")))
     keys = [c for c in regions.columns if c != "text"]
-    return regions.select(*keys, F.explode(rows).alias("l")).select(*keys, "l.*")
+    # a column of its own, or it is made for each layer
+    return regions.withColumn("__norm", norm).select(*keys, F.explode(rows).alias("l")).select(*keys, "l.*")
 
 
 def pivoted(layers: DataFrame, key: str = "region_id") -> DataFrame:
@@ -99,8 +103,8 @@ def latex_body(regions: DataFrame, doc: str = "doc_id", source_language: str = "
     t = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
     r = regions.select(doc, "seq", "region_type", t("diplomatic").alias("d"), t("normalized").alias("n"), t("translation").alias("tr"), (template_name if template_name is not None else F.lit("article")).alias("tpl"))
     r = r.where("n <> '' or d <> ''").where(F.col("region_type") != "running_title").withColumn("b", F.when(F.col("n") != "", F.col("n")).otherwise(F.col("d")))
-    r = r.withColumns({"tb": tex(F.col("b")), "td": tex(F.col("d")), "tt": tex(F.col("tr"))})  # each escaped once, used in many branches
-    note = F.when((F.col("d") != "") & (F.col("n") != "") & differs(F.col("d"), F.col("n")), F.concat(F.lit("\\footnote{Diplomatic: "), F.col("td"), F.lit("}"))).otherwise("")
+    r = r.withColumns({"tb": tex(F.col("b")), "tt": tex(F.col("tr"))})  # each escaped once, used in many branches
+    note = F.when((F.col("d") != "") & (F.col("n") != "") & differs(F.col("d"), F.col("n")), F.concat(F.lit("\\footnote{Diplomatic: "), tex(F.col("d")), F.lit("}"))).otherwise("")
     columns = (F.col("tpl") == "reledpar") & (F.lit(source_language) != "eng") & (F.col("tr") != "")
     flows = F.col("region_type").isin(*FLOWING) & ~columns
     r = r.withColumns({"note": note, "columns": F.col("region_type").isin(*FLOWING) & columns, "flush": F.when(flows, F.col("seq"))})
