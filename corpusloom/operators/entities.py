@@ -105,10 +105,11 @@ def merged_edges(resolved: DataFrame, relations: DataFrame) -> DataFrame:
     """Relations whose subject is a known key, as edges of that person, each (source, target, type) once, the first in order."""
     keys = resolved.select("key", "person").distinct()
     r = relations.withColumn("key", match_key(F.coalesce("subject", F.lit("")))).where("key <> ''").join(keys, "key")
-    edge = semantic_relation(F.col("file_name"), F.col("subject"), F.col("predicate"), F.col("object"), F.col("evidence"))
-    r = r.select("person", "ord", edge.alias("e")).select("person", "ord", "e.*")
-    cols = r.columns
-    return r.groupBy("person", "source", "target", "relation_type").agg(F.min_by(F.struct(*cols), "ord").alias("__r")).select("__r.*")
+    r = r.select("person", "ord", F.coalesce("subject", F.lit("")).alias("source"), F.coalesce("object", F.lit("")).alias("target"), F.coalesce("predicate", F.lit("related to")).alias("relation_type"), "file_name", "evidence")
+    # only what the first relation tells is carried; the rest of an edge is made of its key, or always the same
+    first = r.groupBy("person", "source", "target", "relation_type").agg(F.min_by(F.struct("ord", "file_name", "evidence"), "ord").alias("r"))
+    edge = semantic_relation(F.col("r.file_name"), F.col("source"), F.col("relation_type"), F.col("target"), F.col("r.evidence"))
+    return first.select("person", F.col("r.ord").alias("ord"), edge.alias("e")).select("person", "ord", "e.*")
 
 
 # --- the whole merge, in order ------------------------------------------------------
