@@ -5,8 +5,10 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from corpusloom.functions import eras
 from corpusloom.functions.text import let, norm
@@ -114,9 +116,6 @@ def merged_edges(resolved: DataFrame, relations: DataFrame) -> DataFrame:
 
 # --- the whole merge, in order ------------------------------------------------------
 
-EVENTS = "person string, name string, kind string, file_name string, source string, target string, relation_type string, evidence_type string, ord long"
-
-
 def _key(name: str | None) -> str:
     plain = unicodedata.normalize("NFD", name or "").encode("ascii", "ignore").decode("ascii")
     return " ".join(plain.split()).lower()
@@ -128,10 +127,11 @@ class Merge:
     def __init__(self) -> None:
         self.by_key: dict[str, str] = {}
         self.by_last: dict[str, set[str]] = {}
-        self.edges: set[tuple[str, str, str, str]] = set()
+        self.since: dict[str, object] = {}
 
-    def know(self, key: str, person: str) -> None:
+    def know(self, key: str, person: str, since=None) -> None:
         self.by_key[key] = person
+        self.since[key] = since
         self.by_last.setdefault(key.rsplit(" ", 1)[-1], set()).add(key)
 
     def find(self, key: str) -> str | None:
@@ -142,70 +142,90 @@ class Merge:
         ends = [k for k in self.by_last.get(key.rsplit(" ", 1)[-1], ()) if k.endswith(key)]
         return self.by_key[ends[0]] if len(ends) == 1 else None
 
-    def person(self, name: str) -> tuple[str, bool] | None:
+    def person(self, name: str, at=None) -> tuple[str, bool] | None:
         key = _key(name)
         if not key:
             return None
         found = self.find(key)
         if found is None:
             found = "new:" + key
-            self.know(key, found)
+            self.know(key, found, at)
             return found, True
         if key not in self.by_key:
-            self.know(key, found)
+            self.know(key, found, at)
         return found, False
 
 
-def resolve_all(people: DataFrame, persons: DataFrame, relations: DataFrame) -> DataFrame:
-    """The ordered merge, suffix matches included: matches, new people and edges as rows.
+def known_names(people: DataFrame, persons: DataFrame, subjects: DataFrame) -> DataFrame:
+    """What each name means: ``stage`` (1 a name of ``persons``, 2 of ``subjects``), ``name``, ``person``, ``is_new``, ``since``.
+
+    A key means one person from the moment it is known, so only the first
+    occurrence of a name walks through the merge; ``is_new`` says that it made the
+    person, ``since`` is the ``file_ord`` from which its key is known (null: from
+    the start).  Subjects make nothing known; those never known are left out.
 
     A suffix match depends on the names known at that moment.  An end of two words
     or more covers the last word and the letter before it, so names interact only
     if their keys agree in both (or are one word, and equal).  Each such tail is a
     group of its own that runs through its files in order (``file_ord``, text or
-    number), so a last word that half of all names have is many groups; relations
-    go with their subject's tail.  Rows are sorted and stream past; a task holds
-    the keys and edges of one tail.
+    number), so a last word that half of all names have is many groups.  Rows are
+    sorted and stream past; a task holds the keys of one tail.
     """
-    last = lambda c: F.regexp_extract(match_key(F.coalesce(F.col(c), F.lit(""))), r"(?:[^ ] )?[^ ]+$", 0)
-    empty = F.lit("").alias
+    tail = F.regexp_extract(match_key(F.coalesce("name", F.lit(""))), r"(?:[^ ] )?[^ ]+$", 0)
     kind = persons.schema["file_ord"].dataType
-    none = F.lit("" if kind.simpleString() == "string" else 0).cast(kind).alias("file_ord")
-    p = people.select(last("name").alias("last"), F.lit(0).alias("stage"), "ord", none, F.col("pid").cast("string").alias("person"), "name", empty("file_name"), empty("target"), empty("relation_type"), empty("evidence"))
-    e = persons.select(last("name").alias("last"), F.lit(1).alias("stage"), "ord", "file_ord", empty("person"), "name", "file_name", empty("target"), empty("relation_type"), empty("evidence"))
-    r = relations.select(last("subject").alias("last"), F.lit(2).alias("stage"), "ord", "file_ord", empty("person"), F.col("subject").alias("name"), "file_name", F.coalesce("object", F.lit("")).alias("target"), F.coalesce("predicate", F.lit("related to")).alias("relation_type"), F.coalesce("evidence", F.lit(DEFAULT_EVIDENCE)).alias("evidence"))
-
-    names = [f.split()[0] for f in EVENTS.split(", ")]
+    none = F.lit(None)
+    last = people.groupBy("name").agg(F.max(F.struct("ord", F.col("pid").cast("string").alias("person"))).alias("r"))
+    first = persons.groupBy("name").agg(F.min(F.struct("file_ord", "ord")).alias("r"))
+    rows = (
+        last.select("name", F.lit(0).alias("stage"), F.col("r.ord").alias("ord"), none.cast(kind).alias("file_ord"), "r.person")
+        .unionByName(first.select("name", F.lit(1).alias("stage"), F.col("r.ord").alias("ord"), F.col("r.file_ord").alias("file_ord"), none.cast("string").alias("person")))
+        .unionByName(subjects.select("name").distinct().select("name", F.lit(2).alias("stage"), none.cast("long").alias("ord"), none.cast(kind).alias("file_ord"), none.cast("string").alias("person")))
+    )
+    schema = StructType([StructField("stage", IntegerType()), StructField("name", StringType()), StructField("person", StringType()), StructField("is_new", BooleanType()), StructField("since", kind)])
 
     def run(batches):
-        at, m, out = None, Merge(), []
-
-        def flush():
-            rows = pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64() if n == "ord" else pa.string()) for n, c in zip(names, zip(*out))], names=names)
-            out.clear()
-            return rows
-
+        at, m, kinds = None, Merge(), to_arrow_schema(schema)
         for batch in batches:
-            for last_, stage, ord_, person, name, file, target, relation, evidence in zip(*(batch.column(i).to_pylist() for i in range(9))):
+            out = []
+            for last_, stage, name, file_ord, person in zip(*(c.to_pylist() for c in batch.columns)):
                 if last_ != at:
                     at, m = last_, Merge()
+                key = _key(name)
+                if not key:
+                    continue
                 if stage == 0:
-                    if _key(name):
-                        m.know(_key(name), person)
+                    m.know(key, person)
                 elif stage == 1:
-                    if got := m.person(name):
-                        out.append((got[0], name, "new" if got[1] else "match", file, None, None, None, None, ord_))
-                else:
-                    found = m.by_key.get(_key(name))
-                    edge = (found, name, target, relation)
-                    if found is not None and edge not in m.edges:
-                        m.edges.add(edge)
-                        out.append((found, name, "edge", file, name, target, relation, evidence, ord_))
-            if len(out) > 10_000:
-                yield flush()
-        if out:
-            yield flush()
-
-    rows = p.unionByName(e).unionByName(r).where("last is not null and last <> ''")
-    rows = rows.repartition("last").sortWithinPartitions("last", F.col("stage") > 0, "file_ord", "stage", "ord")
-    return rows.select("last", "stage", F.col("ord").cast("long").alias("ord"), "person", "name", "file_name", "target", "relation_type", "evidence").mapInArrow(run, EVENTS)
+                    found, made = m.person(name, file_ord)
+                    out.append((stage, name, found, made, m.since[key]))
+                elif key in m.by_key:
+                    out.append((stage, name, m.by_key[key], False, m.since[key]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
+
+    # names without a key are passed over in the tasks, and dealt over them: a filter would be pushed below the aggregates and make a key for each row
+    dealt = F.when(F.col("last") == "", F.col("name")).otherwise(F.col("last"))
+    rows = rows.withColumn("last", tail).repartition(dealt).sortWithinPartitions("last", "stage", "file_ord", "ord", "name")
+    return rows.select("last", "stage", "name", "file_ord", "person").mapInArrow(run, schema)
+
+
+def resolve_all(people: DataFrame, persons: DataFrame, relations: DataFrame) -> DataFrame:
+    """The ordered merge, suffix matches included: matches, new people and edges as rows.
+
+    Only distinct names are merged in order (``known_names``); the rows themselves
+    are joined with what their name means.  An edge is the first relation of its
+    person, subject, object and type from the file on in which the subject's key
+    is known; within a file persons come before relations.
+    """
+    r = relations.select(F.col("subject").alias("name"), F.coalesce("object", F.lit("")).alias("target"), F.coalesce("predicate", F.lit("related to")).alias("relation_type"), "file_ord", F.col("ord").cast("long").alias("ord"), "file_name", F.coalesce("evidence", F.lit(DEFAULT_EVIDENCE)).alias("evidence_type"))
+    known = known_names(people, persons, r)
+    null = lambda n: F.lit(None).cast("string").alias(n)
+
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("file_ord", "ord"))
+    e = persons.select("name", "file_ord", F.col("ord").cast("long").alias("ord"), "file_name").withColumn("nth", nth).join(known.where("stage = 1").select("name", "person", "is_new").hint("shuffle_hash"), "name")
+    found = e.select("person", "name", F.when(F.col("is_new") & (F.col("nth") == 1), "new").otherwise("match").alias("kind"), "file_name", null("source"), null("target"), null("relation_type"), null("evidence_type"), "ord")
+
+    r = r.join(known.where("stage = 2").select("name", "person", "since").hint("shuffle_hash"), "name").where("since is null or file_ord >= since")
+    first = r.groupBy("person", "name", "target", "relation_type").agg(F.min(F.struct("file_ord", "ord", "file_name", "evidence_type")).alias("r"))
+    edges = first.select("person", "name", F.lit("edge").alias("kind"), "r.file_name", F.col("name").alias("source"), "target", "relation_type", "r.evidence_type", "r.ord")
+    return found.unionByName(edges)
